@@ -115,14 +115,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     id_col = options.get("id_col", "doc_id")
     plan = mix(docs, **options)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.greatest(F.col("epochs"), F.lit(1))).cast("int")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), copies.alias("_copies"))
-    plan = materialize(plan.groupBy("_id", "_source", "_size").agg(F.array_sort(F.collect_list("_copies")).alias("_copies")), "mix-copies")
+    # rows equal in id, source and size share their copies: each takes the mean, rounded up
+    plan = plan.groupBy("doc_id", "source", "size").agg(F.ceil(F.avg(copies)).cast("int").alias("times")).filter("times > 0")
+    plan = materialize(plan, "mix-copies")
     source_col, text_col = options.get("source_col", "source"), options.get("text_col", "text")
-    sized = docs.withColumn("_words", word_count(F.col(text_col)))
-    joined = sized.join(plan, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    # rows equal in id, source and size share the list of their copies: each takes the mean, rounded up for the first
-    times = F.ceil(F.aggregate("_copies", F.lit(0), lambda a, x: a + x) / F.size("_copies")).cast("int")
-    return joined.withColumn("_times", times).filter("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row")).select("row", word_count(F.col("row")[text_col]).alias("n_words"))
+    row = F.col("d.row")
+    same = row[id_col].eqNullSafe(F.col("p.doc_id")) & row[source_col].eqNullSafe(F.col("p.source")) & (F.col("d.n_words") == F.col("p.size"))
+    joined = rows.alias("d").join(plan.alias("p"), same)
+    return joined.select("d.row", F.explode(F.sequence(F.lit(1), F.col("p.times")))).select("row.*")
 
 
 ORACLE = r"""

@@ -125,8 +125,8 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataF
     Rows that repeat this id are one row of it; rows of a null id stay only if no id of the group is known.
     """
     found = near_duplicates(docs, id_col=id_col, **options)
-    gone = materialize(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
-    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    gone = materialize(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "duplicates")
+    kept = docs.alias("d").join(gone.alias("g"), F.col(f"d.{id_col}").eqNullSafe(F.col("g.doc_id")), "left_anti")
     return kept.dropDuplicates([id_col])
 
 

@@ -135,14 +135,14 @@ def candidate(host: Column, path: Column, shape: tuple[int, int]) -> Column:
 
 
 def rule_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    return spark.createDataFrame([(r.key, r.verdict, len(r.key)) for r in rules], "key string, verdict string, length int")
+    return spark.createDataFrame([(r.key, r.verdict, len(r.key), len(r.host)) for r in rules], "key string, verdict string, length int, host_length int")
 
 
 def judge(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url", otherwise: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict for every url.
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest (host and path
-    together) wins. No fitting rule: rule is null and the verdict ``otherwise``, as the cascade says that no
+    together, of equals that with the longer host) wins. No fitting rule: rule is null and the verdict ``otherwise``, as the cascade says that no
     key is listed. Null and malformed urls have empty host and path and fit no rule. Repeated rows are judged
     one by one; an empty table gives an empty result; other columns are dropped. Rules' hosts are lower-case.
     """
@@ -165,7 +165,7 @@ def judge(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_c
     found = []
     for shape in shapes:
         key = candidate(F.col("host"), F.col("path"), shape)
-        found.append(F.when(key.isNotNull() & cascade.member(key), F.struct(F.length(key).alias("length"), key.alias("key"))))
+        found.append(F.when(key.isNotNull() & cascade.member(key), F.struct(F.length(key).alias("length"), F.lit(-shape[1]).alias("host"), key.alias("key"))))
     best = F.array_max(F.array_compact(F.array(*found)))["key"]
     judged = parts.withColumn("rule", best)
     verdict = F.when(F.col("rule").isNull(), F.lit(otherwise)).when(blocking.member(F.col("rule")), F.lit("block")).otherwise(F.lit("allow"))
@@ -180,7 +180,7 @@ def judge_by_join(parts: DataFrame, rules: list[Rule], otherwise: str) -> DataFr
     keys = F.array_compact(F.array(*[candidate(F.col("host"), F.col("start"), s) for s in shapes]))
     pairs = materialize(parts.select("host", short.alias("start")).distinct().withColumn("key", F.explode(keys)), "url-keys")
     fitting = pairs.join(rule_frame(parts.sparkSession, rules), "key")
-    best = materialize(fitting.groupBy("host", "start").agg(F.max(F.struct("length", "key", "verdict")).alias("best")), "url-rules")
+    best = materialize(fitting.groupBy("host", "start").agg(F.max(F.struct("length", "host_length", "key", "verdict")).alias("best")), "url-rules")
     joined = parts.withColumn("start", short).join(best, ["host", "start"], "left")
     return joined.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
 
