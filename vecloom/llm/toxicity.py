@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is a logistic function of its words and their beginnings;
+A document is a bag of sentences. A sentence's score is a logistic function of its different words and their beginnings;
 a document's is the noisy-or of its sentences', 1 - prod(1 - p). Only documents have labels: the weights are
 fitted to the documents' likelihood, and the sentences' scores then tell where the offence is.
 """
@@ -48,7 +48,7 @@ class NoisyOr:
         """start, end (code points) and score of every sentence."""
         out = []
         for m in SENTENCE.finditer(text):
-            z = self.bias + sum(map(self.weight, WORDS.findall(m.group().lower())))
+            z = self.bias + sum(map(self.weight, sorted(set(WORDS.findall(m.group().lower())))))
             out.append((m.start(), m.end(), 1 / (1 + np.exp(-np.clip(z, -30, 30)))))
         return out
 
@@ -61,7 +61,7 @@ class NoisyOr:
         return float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), [x for x in found if x[2] >= 0.5]
 
 
-def train(bags: list[str], labels: list[int], rounds: int = 300, rate: float = 0.1, decay: float = 1e-3, min_docs: int = 3, min_z: float = 3.0) -> NoisyOr:
+def train(bags: list[str], labels: list[int], rounds: int = 300, rate: float = 0.1, decay: float = 0.05, spread: float = 50.0, min_docs: int = 3, min_z: float = 3.0) -> NoisyOr:
     """Full-batch Adam on the noisy-or likelihood.
 
     Features are screened first: those in at least ``min_docs`` documents whose share among toxic documents
@@ -86,7 +86,7 @@ def train(bags: list[str], labels: list[int], rounds: int = 300, rate: float = 0
     for doc, text in enumerate(bags):
         for sentence in SENTENCE.findall(text.lower()):
             at = len(owner)
-            for w in WORDS.findall(sentence):
+            for w in sorted(set(WORDS.findall(sentence))):
                 for f in features(w):
                     if f in place:
                         rows.append(at)
@@ -97,6 +97,9 @@ def train(bags: list[str], labels: list[int], rounds: int = 300, rate: float = 0
     # rare offences in many sentences: start from a low bias and from the features' log ratios, positive ones
     w = np.array([max(0.0, np.log((seen[1][f] + 0.5) / n1) - np.log((seen[0][f] + 0.5) / n0)) for f in place])
     params = np.concatenate([w * 0.5, [-6.0]])
+    # a weight is the dearer the fewer documents have the feature: what many words begin with is preferred to the words
+    shown = np.array([seen[0][f] + seen[1][f] for f in place], float)
+    cost = decay / len(y) * (1 + spread / np.maximum(shown, 1))
     m, v = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, rounds + 1):
         z = np.bincount(rows, params[cols], minlength=len(owner)) + params[-1]
@@ -106,7 +109,7 @@ def train(bags: list[str], labels: list[int], rounds: int = 300, rate: float = 0
         ds = np.where(y == 1, -1 / np.expm1(np.minimum(s, 50)), 1.0) * balance / len(y)
         dz = ds[owner] / (1 + np.exp(-z))
         grad = np.concatenate([np.bincount(cols, dz[rows], minlength=len(place)), [dz.sum()]])
-        grad[:-1] += decay * params[:-1] / len(y)
+        grad[:-1] += cost * params[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params = params - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return NoisyOr({f: float(params[i]) for f, i in place.items() if abs(params[i]) > 1e-3}, float(params[-1]))
