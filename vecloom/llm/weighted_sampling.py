@@ -38,56 +38,66 @@ class Sampler:
 
     def __init__(self, slots: int = 64, seed: int = 1):
         self.slots = slots
-        steps = np.arange(1, 5 * slots + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        self.steps = _mix(steps + np.uint64(seed)).reshape(5, slots)
+        steps = np.arange(1, 3 * slots + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        self.steps = _mix(steps + np.uint64(seed)).reshape(3, slots)
         self.index: dict[tuple[bytes, int], int] = {}
         self.value = np.empty((CACHE, slots), np.float32)
-        self.code = np.empty((CACHE, slots), np.uint16)
+        self.level = np.empty((CACHE, slots), np.int32)
+        self.hash = np.empty(CACHE, np.uint64)
+
+    def samples(self, hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For hashes and weights of terms: the values that compete in each slot, and the levels t of the weights."""
+        weight = np.log(weights).astype(np.float32)[:, None]
+
+        def uniforms(i: int) -> tuple[np.ndarray, np.ndarray]:
+            """Two of 24 bits, strictly between 0 and 1, from each word of 64."""
+            mixed = _mix(hashes[:, None] ^ self.steps[i])
+            parts = mixed >> np.uint64(40), (mixed >> np.uint64(16)) & np.uint64(0xFFFFFF)
+            return tuple((x.astype(np.float32) + np.float32(0.5)) * np.float32(2**-24) for x in parts)
+
+        u, v = uniforms(0)
+        r = -np.log(u * v)
+        u, v = uniforms(1)
+        log_c = np.log(-np.log(u * v))
+        b, _ = uniforms(2)
+        t = np.floor(weight / r + b)
+        return log_c - r * (t - b) - r, t.astype(np.int32)
 
-    def samples(self, terms: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """For (term, weight) pairs: the values that compete in each slot, and the codes the winners leave."""
+    def rows(self, terms: list[tuple[bytes, int]]) -> np.ndarray:
+        """Places of the terms' samples, made where they are new."""
         from xxhash import xxh64_intdigest
 
-        n, k = len(terms), self.slots
-        hashes = np.fromiter((xxh64_intdigest(t, 7) for t, _ in terms), np.uint64, n)
-        weight = np.log(np.fromiter((w for _, w in terms), np.float64, n)).astype(np.float32)[:, None]
-
-        def uniform(i: int) -> np.ndarray:
-            return ((_mix(hashes[:, None] ^ self.steps[i]) >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)
-
-        r = -np.log(uniform(0) * uniform(1))
-        log_c = np.log(-np.log(uniform(2) * uniform(3)))
-        b = uniform(4)
-        t = np.floor(weight / r + b)
-        value = log_c - r * (t - b) - r
-        mixed = _mix(hashes[:, None] + t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
-        return value, np.maximum(mixed, np.uint64(1)).astype(np.uint16).reshape(n, k)
-
-    def rows(self, terms: list[tuple[bytes, int]]) -> list[int]:
         index = self.index
-        new = [x for x in terms if x not in index]
-        if len(index) + len(new) > CACHE:
-            index.clear()
-            new = terms
-        if new:
-            at = len(index)
-            self.value[at : at + len(new)], self.code[at : at + len(new)] = self.samples(new)
-            index.update(zip(new, range(at, at + len(new))))
-        return [index[x] for x in terms]
+        found = [index.get(x, -1) for x in terms]
+        if -1 in found:
+            new = [x for x, i in zip(terms, found) if i < 0]
+            if len(index) + len(new) > CACHE:
+                index.clear()
+                new = terms
+            at, end = len(index), len(index) + len(new)
+            self.hash[at:end] = [xxh64_intdigest(t, 7) for t, _ in new]
+            self.value[at:end], self.level[at:end] = self.samples(self.hash[at:end], np.array([w for _, w in new], np.float64))
+            index.update(zip(new, range(at, end)))
+            found = [index[x] for x in terms]
+        return np.array(found)
 
     def slots_of(self, data: bytes) -> np.ndarray:
         """The codes of a UTF-8 text; blocks of terms bound the memory, and the least of all blocks wins."""
-        terms = sorted(Counter(data.lower().split()).items())
-        best, code = np.full(self.slots, np.inf, np.float32), np.zeros(self.slots, np.uint16)
+        terms = list(Counter(data.lower().split()).items())
+        best = np.full(self.slots, np.inf, np.float32)
+        term, level = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int64)
         every = np.arange(self.slots)
         for at in range(0, len(terms), 4096):
-            rows = np.array(self.rows(terms[at : at + 4096]))
+            rows = self.rows(terms[at : at + 4096])
             values = self.value[rows]
             least = values.argmin(axis=0)
-            value = values[least, every]
+            value, row = values[least, every], rows[least]
             better = value < best
-            best[better], code[better] = value[better], self.code[rows[least], every][better]
-        return code
+            best[better], term[better], level[better] = value[better], self.hash[row][better], self.level[row, every][better]
+        if not terms:
+            return np.zeros(self.slots, np.uint16)
+        mixed = _mix(term + level.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+        return np.maximum(mixed, np.uint64(1)).astype(np.uint16)
 
     @staticmethod
     def shown(code: np.ndarray) -> str:
