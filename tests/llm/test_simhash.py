@@ -106,6 +106,20 @@ def test_deduplicated_keeps_one_of_each_group(docs):
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(want)
 
 
+def test_deduplicated_with_repeated_and_unknown_ids(odd_docs):
+    kept = simhash.deduplicated(odd_docs)
+    groups = {r["group_key"] for r in simhash.near_duplicates(odd_docs).collect()}
+    assert kept.count() == len(groups) and kept.columns == odd_docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert ids.count(2) == 1 and ids.count(8) == 1 and None not in ids
+
+
+def test_deduplicated_where_one_id_has_two_texts(spark):
+    rows = [(5, "a b c d"), (5, "w x y z q r"), (3, "w x y z q r"), (None, "only null"), (None, "other null one"), (7, "same text"), (7, "same text")]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, (rows[i] for i in (0, 2, 3, 4, 5))))
+
+
 @pytest.mark.parametrize("kind", ["chain", "star", "random", "empty", "loops"])
 def test_components(spark, kind):
     rng = random.Random(4)

@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.durable import materialize
+from vecloom.durable import broadcast_if_small, materialize
 from vecloom.llm.common import map_batches, utf8
 from vecloom.llm.components import connected_components
 
 SEGMENTS, SEGMENT_BITS = 2, 32
 #: Words hashed at a time, so that a very long text needs little memory besides itself.
 CHUNK = 1 << 16
+#: Tables of two numbers a row are broadcast up to this many rows (some MB), else joined by shuffle.
+MAX_BROADCAST_ROWS = 100_000
 
 
 def _words(data: bytes):
@@ -66,14 +68,14 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, fingerprint long (the 64 bits as a signed number). Null and empty texts have fingerprint 0."""
+    """doc_id, text_key, fingerprint long (the 64 bits as a signed number). Null and empty texts have fingerprint 0."""
 
     def run(batch: pa.RecordBatch) -> dict:
         made = np.array([fingerprint(x, shingle) for x in utf8(batch, "text")], np.uint64)
-        return {"doc_id": batch.column("doc_id"), "fingerprint": pa.array(made.view(np.int64))}
+        return {"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "fingerprint": pa.array(made.view(np.int64))}
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(rows, run, "doc_id long, fingerprint long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    return map_batches(rows, run, "doc_id long, text_key long, fingerprint long")
 
 
 def segment(value: Column, number: int) -> Column:
@@ -97,9 +99,9 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach), n_links.
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach), n_links, group_key, text_key.
 
-    Documents with equal fingerprints are linked; so are texts without words (fingerprint 0). n_links counts
+    group_key is the same for all documents of a component, text_key a hash of the text. Documents with equal fingerprints are linked; so are texts without words (fingerprint 0). n_links counts
     the other fingerprints within ``distance``. A null doc_id takes part but is no component's id unless
     all its ids are null. Repeated rows give repeated results; an empty table an empty one.
     """
@@ -111,23 +113,36 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     first = distinct.join(members, distinct.fingerprint == members.node).select("node", "root", "first_id").join(degree, "node")
     first = materialize(first, "members")
     heads = materialize(first.groupBy("root").agg(F.min("first_id").alias("component_id")), "heads")
-    linked = first.join(heads, "root").select(F.col("node").alias("fingerprint"), "component_id", "n_links")
+    linked = first.join(heads, "root").select(F.col("node").alias("fingerprint"), "component_id", "n_links", F.col("root").alias("group_key"))
     alone = distinct.join(first.select(F.col("node").alias("fingerprint")), "fingerprint", "left_anti")
-    groups = linked.unionByName(alone.select("fingerprint", F.col("first_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+    groups = linked.unionByName(alone.select("fingerprint", F.col("first_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.col("fingerprint").alias("group_key")))
     groups = materialize(groups, "groups")
     shown = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
-    return prints.join(groups, "fingerprint").select("doc_id", shown.alias("fingerprint"), "component_id", "n_links")
+    return prints.join(groups, "fingerprint").select("doc_id", shown.alias("fingerprint"), "component_id", "n_links", "group_key", "text_key")
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """Documents, columns unchanged, one of each group: the row whose id is the group's.
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Documents, columns unchanged, one of each group: the one of smallest id, null last, then smallest text hash.
 
-    Rows that repeat this id are one row of it; rows of a null id stay only if no id of the group is known.
+    Rows that repeat the document that stays are one row of it. Only rows that go, and repeated ones, are looked
+    up: where these are few, no text is shuffled.
     """
-    found = near_duplicates(docs, id_col=id_col, **options)
-    gone = materialize(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "duplicates")
-    kept = docs.alias("d").join(gone.alias("g"), F.col(f"d.{id_col}").eqNullSafe(F.col("g.doc_id")), "left_anti")
-    return kept.dropDuplicates([id_col])
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    found = materialize(found.select("doc_id", "text_key", "group_key"), "grouped")
+    rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")
+    stays = materialize(found.groupBy("group_key").agg(F.min(rank).alias("stays")), "stays")
+    marked = found.join(stays, "group_key").withColumn("gone", ~(F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_key") == F.col("stays.text_key"))))
+    counted = marked.groupBy("doc_id", "text_key").agg(F.bool_or("gone").alias("gone"), F.count(F.lit(1)).alias("n"))
+    counted = materialize(counted.filter("gone OR n > 1"), "counted")
+
+    rows = docs.alias("d")
+    key = F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("m.doc_id")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("m.text_key"))
+    kept = rows.join(broadcast_if_small(counted, MAX_BROADCAST_ROWS).alias("m"), key, "left_anti")
+    repeated = materialize(counted.filter("NOT gone"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = rows.join(broadcast_if_small(repeated, MAX_BROADCAST_ROWS).alias("m"), key, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.unionByName(once)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
