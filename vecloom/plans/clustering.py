@@ -213,6 +213,20 @@ def uniform_init(spark, sf_dir):
     return points(spark, sf_dir).orderBy(key, "id").limit(10).select("id")
 
 
+@query("SELECT id FROM (SELECT i AS id, row_number() OVER (ORDER BY md5('9:' || CAST(i AS VARCHAR))) AS r FROM (SELECT unnest(range(0, 100)) AS i)) WHERE r <= 7 ORDER BY id")
+def random_combination(spark, sf_dir):
+    """A sorted 7-combination of 0..99, by hash order."""
+    key = F.md5(F.concat(F.lit("9:"), F.col("id").cast("string")).cast("binary"))
+    return spark.range(100).orderBy(key).limit(7).orderBy("id")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (ORDER BY md5('4:' || CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR)), l_orderkey, l_linenumber) <= 200")
+def evaluation_subsample(spark, sf_dir):
+    """A fixed number of rows uniformly at random: the limit is the operator. Each task keeps its first 200."""
+    key = F.md5(F.concat(F.lit("4:"), F.col("l_orderkey").cast("string"), F.lit(":"), F.col("l_linenumber").cast("string")).cast("binary"))
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").orderBy(key, "l_orderkey", "l_linenumber").limit(200)
+
+
 @query(
     f"WITH {POINTS}, c0 AS (SELECT id AS k, x AS u FROM p WHERE id < 3), {assigned('a', 'c0')}, "
     "s AS (SELECT id, d, sum(d) OVER (ORDER BY id) AS cum, sum(d) OVER () AS total FROM a) SELECT min(id) AS id, round(max(total), 6) AS total FROM s WHERE cum >= total * 0.375"
