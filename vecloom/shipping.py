@@ -9,10 +9,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch on its way to Python: with Spark's 64 MB the copies of a task take several hundred MB.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package's sources to the executors, once for each application."""
+    """Sends the package's sources to the executors, once for each application, and bounds Arrow batches.
+
+    A size of batches that the session has set itself stays.
+    """
+    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
