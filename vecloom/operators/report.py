@@ -102,6 +102,14 @@ def command_lines(logs: DataFrame, column: str) -> DataFrame:
     return logs.withColumn("command", found).filter(F.col("command") != "")
 
 
+def logged_record(logs: DataFrame, column: str) -> DataFrame:
+    """A map ``record`` from each log's first line that begins with -- (names) and the line after it (values)."""
+    lines = F.split(column, "\n")
+    at = F.array_position(F.transform(lines, lambda x: x.startswith("--")), True).cast("int")
+    names, values = F.split(F.get(lines, at - 1), ","), F.split(F.get(lines, at), ",")
+    return logs.withColumn("record", F.when(at > 0, F.map_from_arrays(names, values)))
+
+
 def single_value(df: DataFrame, column: str) -> Column:
     """The column's only value other than null; an error if there are several."""
     return F.when(F.count_distinct(column) <= 1, F.max(column)).otherwise(F.raise_error(F.lit(f"{column} has several values")))

@@ -271,6 +271,23 @@ def factorized_kmeans_objective(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(model.trace)), "iter int, objective double").withColumn("n_param", F.lit(model.n_param))
 
 
+@query()
+def factorized_kmeans_minibatch(spark, sf_dir):
+    """The batch-wise variant: the same sums, an empty cluster takes a random member of the largest."""
+    pts = points(spark, sf_dir)
+    u = first_rows(pts, 16)
+    u[5] = u[2]
+    return factorized_kmeans(pts, u, n_factors=3, sparsity=4, max_iter=3, palm_iter=20, empty="random", seed=3).transform(pts)
+
+
+@query()
+def experiment_record(spark, sf_dir):
+    from vecloom.experiment import Options, as_frame, run
+
+    options = Options(k=8, init="first", max_iter=3, test=50, nn=True, ami=True, nystrom=100)
+    return as_frame(spark, run(points(spark, sf_dir), options).record).drop("seconds")
+
+
 @query()
 def factorized_kmeans_assign(spark, sf_dir):
     pts = points(spark, sf_dir)

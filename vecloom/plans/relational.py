@@ -273,6 +273,14 @@ def log_commands(spark, sf_dir):
     return rp.command_lines(logs, "log").select("event_id", "command")
 
 
+@query("SELECT event_id, event_type AS kind, CAST(user_id AS VARCHAR) AS run FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, NULL, NULL FROM events WHERE event_id % 3 = 0")
+def log_records(spark, sf_dir):
+    head = F.when(F.col("event_id") % 3 != 0, F.lit("--kind,--run\n")).otherwise(F.lit("kind,run\n"))
+    text = F.concat(F.lit("start\n"), head, F.col("event_type"), F.lit(","), F.col("user_id").cast("string"), F.lit("\nend"))
+    logs = rp.logged_record(load(spark, sf_dir, "events").select("event_id", text.alias("log")), "log")
+    return logs.select("event_id", F.col("record")["--kind"].alias("kind"), F.col("record")["--run"].alias("run"))
+
+
 @query(f"WITH {_R} SELECT dataset, model, CAST(NULL AS INTEGER) AS k, seed FROM r WHERE model = 'palm' UNION ALL SELECT dataset, model, k, NULL FROM r WHERE model <> 'palm'")
 def union_runs(spark, sf_dir):
     rows = typed(spark, sf_dir)

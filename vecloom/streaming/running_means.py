@@ -17,13 +17,14 @@ class RunningMeans:
 
     centroids: np.ndarray
     counts: np.ndarray
-    #: the objective of each batch under the centroids before it
+    #: the objective of each batch under the centroids before it; with ``everything``, of all points after it
     trace: list[float] = field(default_factory=list)
+    everything: DataFrame | None = None
     last_batch: int = -1
 
     @classmethod
-    def start(cls, centroids: np.ndarray) -> RunningMeans:
-        return cls(np.array(centroids, np.float64), np.zeros(len(centroids), np.int64))
+    def start(cls, centroids: np.ndarray, everything: DataFrame | None = None) -> RunningMeans:
+        return cls(np.array(centroids, np.float64), np.zeros(len(centroids), np.int64), everything=everything)
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
         """One batch of (id, x). A batch that is replayed after a failure changes nothing."""
@@ -34,6 +35,8 @@ class RunningMeans:
         moved = (self.counts[:, None] * self.centroids + got.sums) / np.maximum(total, 1)[:, None]
         self.centroids = np.where(got.counts[:, None] > 0, moved, self.centroids)
         self.counts, self.last_batch = total, batch_id
+        if self.everything is not None:
+            got = pass_over(self.everything, self.centroids)
         self.trace.append(float(got.objective.sum()))
 
 
