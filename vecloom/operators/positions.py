@@ -1,4 +1,4 @@
-"""Consecutive row positions in a global order, without gathering the rows in one task."""
+"""Row positions and prefix sums in a global order, without gathering the rows in one task."""
 
 from __future__ import annotations
 
@@ -24,3 +24,17 @@ def with_position(df: DataFrame, order: str, name: str = "pos") -> DataFrame:
     # one row a range: bounded by the number of partitions
     placed = dealt.withColumn("_inside", inside).join(F.broadcast(offsets), "_part").select(order, (F.col("_inside") + F.col("_offset")).cast("long").alias(name))
     return df.join(placed, order)
+
+
+def with_prefix_sum(df: DataFrame, order: str, value: str, name: str = "cum") -> DataFrame:
+    """(order, value, name): the sum of ``value`` up to and with the row, by ``order`` (unique values).
+
+    Ranges are summed on their own; a table of one row a range gives what comes before each.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(order, value).repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
+    dealt = materialize(dealt, "ranges")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_part").agg(F.sum(value).alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("_inside", inside).join(F.broadcast(offsets), "_part").select(order, value, (F.col("_inside") + F.col("_offset")).alias(name))

@@ -32,9 +32,9 @@ def categories(df: DataFrame, column: str, most: int = 1000) -> list:
 
 
 def label_encode(df: DataFrame, column: str, name: str = "code") -> DataFrame:
-    """Consecutive numbers in the order of the distinct values; only those are ranked, then joined back."""
+    """Consecutive numbers in the order of the distinct values; only those are ranked, in ranges, then joined back."""
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    codes = values.withColumn(name, F.row_number().over(Window.orderBy(column)) - 1)
+    codes = with_position(values, column, name).withColumn(name, F.col(name).cast("int"))
     return df.join(codes, column, "left")
 
 
@@ -74,10 +74,19 @@ def hash_split(df: DataFrame, key: str, test_share: float, seed: int = 0) -> Dat
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_share: float) -> DataFrame:
-    """In every class the floor(share * n) rows of smallest md5(key) are test."""
-    order = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)
-    size = F.count(F.lit(1)).over(Window.partitionBy(label))
-    return df.withColumn("split", F.when(F.row_number().over(order) <= F.floor(size * test_share), "test").otherwise("train"))
+    """In every class the floor(share * n) rows of smallest md5(key) are test.
+
+    A class is ranked in 4,096 ranges of the digest, each in a task of its own; the ranges' counts give the rest.
+    """
+    digest = F.md5(F.col(key).cast("string").cast("binary"))
+    rows = df.withColumn("_digest", digest).withColumn("_range", F.substring("_digest", 1, 3))
+    counts = rows.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(label, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(label)).alias("_size"))
+    inside = F.row_number().over(Window.partitionBy(label, "_range").orderBy("_digest", key))
+    ranked = rows.withColumn("_inside", inside).alias("r").join(offsets.alias("o"), F.col(f"r.{label}").eqNullSafe(F.col(f"o.{label}")) & (F.col("r._range") == F.col("o._range")))
+    chosen = F.when(F.col("_before") + F.col("_inside") <= F.floor(F.col("_size") * test_share), "test").otherwise("train")
+    return ranked.select(*[F.col(f"r.{c}") for c in df.columns], chosen.alias("split"))
 
 
 def blobs(spark: SparkSession, n: int, d: int, centers: int, std: float = 1.0, seed: int = 0) -> DataFrame:

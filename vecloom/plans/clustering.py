@@ -10,6 +10,7 @@ from vecloom.durable import new_path
 from vecloom.functions.vectors import l1_ball, l1_norm, sq_dist, sq_norm
 from vecloom.operators import dense, lloyd, prepare
 from vecloom.operators.factorized_kmeans import factorized_after_kmeans, factorized_kmeans
+from vecloom.operators.positions import with_prefix_sum
 from vecloom.plans.registry import COORDINATES, POINTS, assigned, averaged, first_centroids, query, sq
 from vecloom.plans.registry import lloyd as lloyd_sql
 from vecloom.sources.tables import feature_points, first_rows, load, points
@@ -234,18 +235,9 @@ def evaluation_subsample(spark, sf_dir):
 def kmeanspp_step(spark, sf_dir):
     """The draw of one k-means++ round at the quantile 0.375, by prefix sums over ranges of ids."""
     pts = points(spark, sf_dir)
-    d2 = dense.assign(pts, first_rows(pts, 3))
-    from pyspark.sql import Window
-
-    width = 64
-    blocks = d2.withColumn("block", F.floor(F.col("id") / width))
-    sums = blocks.groupBy("block").agg(F.sum("d2").alias("s"))
-    total = sums.agg(F.sum("s").alias("total"))
-    before = F.coalesce(F.sum("s").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    offsets = sums.select("block", before.alias("before"))
-    inside = F.sum("d2").over(Window.partitionBy("block").orderBy("id"))
-    cum = blocks.withColumn("inside", inside).join(offsets, "block").join(F.broadcast(total)).withColumn("cum", F.col("inside") + F.col("before"))
-    return cum.filter(F.col("cum") >= F.col("total") * 0.375).agg(F.min("id").alias("id"), F.round(F.max("total"), 6).alias("total"))
+    cum = with_prefix_sum(dense.assign(pts, first_rows(pts, 3)), "id", "d2")
+    total = cum.agg(F.max("cum").alias("total"))
+    return cum.join(F.broadcast(total)).filter(F.col("cum") >= F.col("total") * 0.375).agg(F.min("id").alias("id"), F.round(F.max("total"), 6).alias("total"))
 
 
 @query()
