@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.durable import materialize
 from vecloom.llm.common import SPACE, SPACES
 
 
@@ -110,15 +111,14 @@ class Estimate:
         return self.rejected / max(self.seconds, 1e-6)
 
 
-def order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, spread: int = 20, **columns) -> list[Estimate]:
-    """The rules with their cost and selectivity on ``sample_rows`` rows, best first; ties keep the given order.
+def order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, **columns) -> list[Estimate]:
+    """The rules with their cost and selectivity on about ``sample_rows`` random rows, best first; ties keep the given order.
 
-    Measured on a sample because only the order depends on it; every document meets the rules themselves. The
-    rows are the first of a random ``spread`` times as many, so about one in ``spread`` partitions is read.
+    Measured on a sample because only the order depends on it; every document meets the rules themselves.
     """
-    share = sample_rows * spread / max(1, docs.count())
-    rows = (docs.sample(share, 1) if share < 1 else docs).take(sample_rows)
-    sample = measured(docs.sparkSession.createDataFrame(rows, docs.schema), **columns).cache()
+    share = sample_rows / max(1, docs.count())
+    rows = materialize(docs.sample(share, 1) if share < 1 else docs, "rule-sample")
+    sample = measured(rows, **columns).cache()
     n = max(1, sample.count())
     found = []
     for rule in rules:
