@@ -23,7 +23,7 @@ from vecloom.shipping import ship
 #: (term, weight) pairs whose samples a Python worker keeps; all are dropped when it is full.
 CACHE = 1 << 17
 #: Buckets of consecutive documents for each shuffle partition; their bounds are quantiles of the ids.
-BUCKETS_EACH = 8
+BUCKETS_EACH, MAX_BUCKETS = 8, 20_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -146,8 +146,8 @@ def in_sequence(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = BUCKETS_EACH * parts
-    bounds = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], F.lit(20 * n))).first()[0] or []
+    n = min(BUCKETS_EACH * parts, MAX_BUCKETS)
+    bounds = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], F.lit(10 * n))).first()[0] or []
     cuts = -np.unique(np.array(bounds, np.int64))[::-1]  # ascending in the order of descending ids
 
     @F.pandas_udf("int")
@@ -157,7 +157,7 @@ def in_sequence(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         out[known] = np.searchsorted(cuts, -ids[known].to_numpy(np.int64), side="left")
         return pd.Series(out)
 
-    # one row a bucket: at most n rows
+    # one row a bucket: at most MAX_BUCKETS rows
     heads = rows.select("doc_id").withColumn("bucket", bucket_of("doc_id")).groupBy("bucket").agg(F.max("doc_id").alias("head")).orderBy("bucket").collect()
     order = [(r["bucket"], r["head"]) for r in heads]
     before = {b: order[i - 1][0] for i, (b, _) in enumerate(order)}
