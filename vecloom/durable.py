@@ -47,7 +47,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once and read it back: lineage is cut and a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._durable_path = path
+    return table
+
+
+def release(table: DataFrame | None) -> None:
+    """Delete what ``materialize`` wrote for ``table``, when nothing that is still to run reads it. Others are left alone."""
+    path = getattr(table, "_durable_path", None)
+    if path:
+        drop(table.sparkSession, path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:

@@ -148,8 +148,8 @@ def runs(spark, sf_dir: str) -> DataFrame:
     return got.select(
         F.concat(F.lit("d"), F.col("dataset").cast("string")).alias("dataset"),
         (F.col("model") == 0).alias("kmeans"),
-        (F.col("model") == 1).alias("palm"),
-        (F.col("model") == 2).alias("qmeans"),
+        (F.col("model") == 1).alias("two_step"),
+        (F.col("model") == 2).alias("factorized"),
         "seed",
         (F.col("size") * 8 + 8).cast("string").alias("k"),
         F.when(F.col("n_param") % 7 == 0, F.lit("None")).otherwise(F.col("objective").cast("string")).alias("objective"),
@@ -157,12 +157,12 @@ def runs(spark, sf_dir: str) -> DataFrame:
     )
 
 
-_R = """r AS (SELECT 'd' || dataset AS dataset, CASE model WHEN 0 THEN 'kmeans' WHEN 1 THEN 'palm' ELSE 'qmeans' END AS model, seed, CAST(size * 8 + 8 AS INTEGER) AS k,
+_R = """r AS (SELECT 'd' || dataset AS dataset, CASE model WHEN 0 THEN 'kmeans' WHEN 1 THEN 'two_step' ELSE 'factorized' END AS model, seed, CAST(size * 8 + 8 AS INTEGER) AS k,
   CASE WHEN n_param % 7 = 0 THEN NULL ELSE objective END AS objective, n_param
 FROM (SELECT c_nationkey % 4 AS dataset, c_nationkey % 3 AS model, o_orderstatus AS seed, c_nationkey % 5 AS size, round(avg(o_totalprice), 2) AS objective, count(*) AS n_param
       FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3, 4))"""
 
-MODELS = {"kmeans": "kmeans", "palm": "palm", "qmeans": "qmeans"}
+MODELS = {"kmeans": "kmeans", "two_step": "two_step", "factorized": "factorized"}
 
 
 def typed(spark, sf_dir: str) -> DataFrame:
@@ -199,10 +199,10 @@ def max_param_filter(spark, sf_dir):
     return rp.at_largest(typed(spark, sf_dir), "k").select("dataset", "model", "seed", "k")
 
 
-@query(f"WITH {_R} SELECT a.dataset, a.k, a.seed, a.n_param, b.n_param AS other FROM (SELECT * FROM r WHERE model = 'kmeans') a LEFT JOIN (SELECT * FROM r WHERE model = 'qmeans') b ON a.dataset = b.dataset AND a.k = b.k AND a.seed = b.seed")
+@query(f"WITH {_R} SELECT a.dataset, a.k, a.seed, a.n_param, b.n_param AS other FROM (SELECT * FROM r WHERE model = 'kmeans') a LEFT JOIN (SELECT * FROM r WHERE model = 'factorized') b ON a.dataset = b.dataset AND a.k = b.k AND a.seed = b.seed")
 def compare_join(spark, sf_dir):
     rows = typed(spark, sf_dir)
-    other = rows.filter("model = 'qmeans'").select("dataset", "k", "seed", F.col("n_param").alias("other"))
+    other = rows.filter("model = 'factorized'").select("dataset", "k", "seed", F.col("n_param").alias("other"))
     return rp.compare(rows.filter("model = 'kmeans'").select("dataset", "k", "seed", "n_param"), other, ["dataset", "k", "seed"])
 
 
@@ -212,9 +212,9 @@ def lookup_filter(spark, sf_dir):
     return typed(spark, sf_dir).join(F.broadcast(limits), "dataset").filter("objective <= lim").select("dataset", "model", "seed", "k")
 
 
-@query("SELECT CAST(k AS INTEGER) AS k, CAST(seed AS INTEGER) AS seed, model FROM (SELECT unnest([8, 16, 32]) AS k), (SELECT unnest(range(0, 5)) AS seed), (SELECT unnest(['kmeans', 'palm', 'qmeans']) AS model)")
+@query("SELECT CAST(k AS INTEGER) AS k, CAST(seed AS INTEGER) AS seed, model FROM (SELECT unnest([8, 16, 32]) AS k), (SELECT unnest(range(0, 5)) AS seed), (SELECT unnest(['kmeans', 'two_step', 'factorized']) AS model)")
 def grid_expand(spark, sf_dir):
-    got = rp.grid(spark, k=[8, 16, 32], seed=list(range(5)), model=["kmeans", "palm", "qmeans"])
+    got = rp.grid(spark, k=[8, 16, 32], seed=list(range(5)), model=["kmeans", "two_step", "factorized"])
     return got.select(F.col("k").cast("int").alias("k"), F.col("seed").cast("int").alias("seed"), "model")
 
 
@@ -281,10 +281,10 @@ def log_records(spark, sf_dir):
     return logs.select("event_id", F.col("record")["--kind"].alias("kind"), F.col("record")["--run"].alias("run"))
 
 
-@query(f"WITH {_R} SELECT dataset, model, CAST(NULL AS INTEGER) AS k, seed FROM r WHERE model = 'palm' UNION ALL SELECT dataset, model, k, NULL FROM r WHERE model <> 'palm'")
+@query(f"WITH {_R} SELECT dataset, model, CAST(NULL AS INTEGER) AS k, seed FROM r WHERE model = 'two_step' UNION ALL SELECT dataset, model, k, NULL FROM r WHERE model <> 'two_step'")
 def union_runs(spark, sf_dir):
     rows = typed(spark, sf_dir)
-    return rp.union_runs([rows.filter("model = 'palm'").select("dataset", "model", "seed"), rows.filter("model <> 'palm'").select("dataset", "model", "k")])
+    return rp.union_runs([rows.filter("model = 'two_step'").select("dataset", "model", "seed"), rows.filter("model <> 'two_step'").select("dataset", "model", "k")])
 
 
 @query(f"WITH {_R} SELECT dataset, coalesce(CAST(objective AS VARCHAR), 'None') = 'None' AS missing, count(*) AS n FROM r GROUP BY 1, 2")
@@ -298,10 +298,10 @@ def distinct_sorted(spark, sf_dir):
     return typed(spark, sf_dir).select("dataset", "k").distinct().orderBy("dataset", "k")
 
 
-@query(f"WITH {_R} SELECT dataset, model, seed, k FROM r WHERE NOT (model = 'palm') AND (dataset IN ('d0', 'd2') OR seed = 'F')")
+@query(f"WITH {_R} SELECT dataset, model, seed, k FROM r WHERE NOT (model = 'two_step') AND (dataset IN ('d0', 'd2') OR seed = 'F')")
 def boolean_filter(spark, sf_dir):
     rows = typed(spark, sf_dir)
-    return rows.filter(~(F.col("model") == "palm") & (F.col("dataset").isin("d0", "d2") | (F.col("seed") == "F"))).select("dataset", "model", "seed", "k")
+    return rows.filter(~(F.col("model") == "two_step") & (F.col("dataset").isin("d0", "d2") | (F.col("seed") == "F"))).select("dataset", "model", "seed", "k")
 
 
 @query(f"WITH {_R} SELECT dataset, max(CASE WHEN k % 8 = 0 THEN 8 END) AS unit FROM r GROUP BY dataset")
