@@ -10,46 +10,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.durable import materialize
+from vecloom.durable import materialize, release
 
 
 def _flatten(parent: DataFrame) -> DataFrame:
-    """(node, root) of a forest given as (node, root) with root < node: roots are replaced by their own roots."""
+    """(node, root, moved) of a forest given as (node, root) with root < node: roots are replaced by their own roots.
+
+    The table passed in and all but the last of those made here are deleted.
+    """
     while True:
-        up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        jumped = parent.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
+        links = parent.select("node", "root")
+        up = links.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        jumped = links.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
         jumped = materialize(jumped, "jump")
-        parent = jumped.select("node", "root")
+        release(parent)
+        parent = jumped
         if jumped.filter("moved").isEmpty():
-            return parent
+            return jumped
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """From edges (a, b) of any orderable type: (node, root) for every node that has an edge to another.
 
     root is the smallest node of the component. Loops, repeated and reversed edges are harmless, edges with
-    a null end are ignored; no edges give an empty table.
+    a null end are ignored; no edges give an empty table. Tables of finished rounds are deleted.
     """
-    spark = edges.sparkSession
-    edges = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = materialize(edges, "edges")
-    known = None
+
+    def clean(pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+
+    edges, known = clean(edges), None
     while not edges.isEmpty():
         hooked = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
-        roots = _flatten(materialize(hooked, "hook"))
+        flat = _flatten(materialize(hooked, "hook"))
+        roots = flat.select("node", "root")
         up = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        if known is None:
-            known = roots
-        else:
-            moved = known.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
-            # labels that hooked in this round for the first time were roots until now and are not in `known`
-            known = materialize(moved.unionByName(roots.join(known.select("node"), "node", "left_anti")), "labels")
+        before, known = known, roots
+        if before is not None:
+            moved = before.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+            # labels that hook for the first time were roots until now and have no row yet
+            known = moved.unionByName(roots.join(before.select("node"), "node", "left_anti"))
+        known = materialize(known, "labels")
+        rewritten = edges
         for end in ("a", "b"):
             renamed = roots.select(F.col("node").alias(end), F.col("root").alias("above"))
-            edges = edges.join(renamed, end, "left").withColumn(end, F.coalesce("above", end)).drop("above")
-        edges = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges = materialize(edges, "edges")
+            rewritten = rewritten.join(renamed, end, "left").withColumn(end, F.coalesce("above", end)).drop("above")
+        contracted = clean(rewritten)
+        for done in (edges, flat, before):
+            release(done)
+        edges = contracted
     if known is None:
-        return spark.createDataFrame([], edges.select(F.col("a").alias("node"), F.col("b").alias("root")).schema)
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     tops = known.select(F.col("root").alias("node")).distinct()
     return materialize(known.unionByName(tops.withColumn("root", F.col("node"))), "components")
