@@ -26,6 +26,19 @@ def id_crc(column: str | Column) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer partitions than the cluster has cores, dealt evenly to as many; else ``df`` itself.
+
+    So few partitions hold little, and the work on a text costs far more than to move it. Plans with a shuffle
+    have their partitions from it and are left alone.
+    """
+    execution = df._jdf.queryExecution()
+    if execution.executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < execution.toRdd().getNumPartitions() < cores else df
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[dict]], schema: str, rows: int = 256) -> DataFrame:
     """mapInArrow by slices of at most ``rows`` rows, so that Python holds few texts at a time.
 
@@ -48,7 +61,7 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[dic
                     arrays = [x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, type=f.type) for f in target]
                     yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    return df.mapInArrow(run, kind)
+    return spread(df).mapInArrow(run, kind)
 
 
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.durable import materialize
-from vecloom.llm.common import SPACE, SPACES
+from vecloom.llm.common import SPACE, SPACES, spread
 
 
 @dataclass(frozen=True)
@@ -137,7 +137,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, **columns) -> DataFr
     table gives an empty result; other columns are dropped.
     """
     ranked = order(docs, rules, **columns)
-    rows = measured(docs, **columns).withColumn("base_failed", F.expr(BASE_FAILED))
+    rows = measured(spread(docs), **columns).withColumn("base_failed", F.expr(BASE_FAILED))
     verdict = F.when(F.col("base_failed"), F.lit("base"))
     for e in ranked:
         verdict = verdict.when(F.expr(e.rule.rejects), F.lit(e.rule.name))
