@@ -29,19 +29,26 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}~" for n in STEMS if len(word) >= n)]
 
 
+#: Weights of words under the model in use; a worker meets many models in its life and keeps one memo.
+_MEMO: tuple[NoisyOr | None, dict[str, float]] = (None, {})
+
+
 class NoisyOr:
     """weights: by feature; bias: a sentence's score without any."""
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.cache: dict[str, float] = {}
 
     def weight(self, word: str) -> float:
-        found = self.cache.get(word)
+        global _MEMO
+        if _MEMO[0] is not self:
+            _MEMO = (self, {})
+        cache = _MEMO[1]
+        found = cache.get(word)
         if found is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            found = self.cache[word] = float(sum(self.weights.get(f, 0.0) for f in features(word)))
+            if len(cache) >= CACHE:
+                cache.clear()
+            found = cache[word] = float(sum(self.weights.get(f, 0.0) for f in features(word)))
         return found
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
