@@ -197,7 +197,11 @@ def hierarchical_palm_product(spark, sf_dir):
     return coordinates(spark, found.matrix)
 
 
-@query()
+@query(
+    f"WITH {POINTS}, m AS (SELECT id AS i, unnest(x[1:32]) AS v, unnest(range(0, 32)) AS j FROM p WHERE id < 16), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY j ORDER BY round(abs(v), 10) DESC, i) AS rc, row_number() OVER (PARTITION BY i ORDER BY round(abs(v), 10) DESC, j) AS rr FROM m) "
+    "SELECT CAST(i AS INTEGER) AS k, CAST(j AS INTEGER) AS pos, round(CASE WHEN rc <= 2 OR rr <= 4 THEN v ELSE 0 END, 6) + 0.0 AS value FROM r"
+)
 def palm_projection(spark, sf_dir):
     return coordinates(spark, TopRowCol(64).project(target(spark, sf_dir)))
 

@@ -305,6 +305,17 @@ def streaming_running_means(spark, sf_dir):
     return coordinates(spark, state.centroids)
 
 
+@query(lloyd_sql(K, 1) + "\n" + COORDINATES.format("c1"))
+def streaming_one_batch(spark, sf_dir):
+    """All points in one micro-batch: the running means are those of one pass."""
+    pts = points(spark, sf_dir)
+    source = new_path(spark, "stream-points")
+    pts.select("id", "x").write.parquet(source)
+    state = RunningMeans.start(first_rows(pts, K))
+    cluster_stream(spark.readStream.schema("id long, x array<double>").parquet(source), state, new_path(spark, "stream-state")).awaitTermination()
+    return coordinates(spark, state.centroids)
+
+
 @query("SELECT CAST(kk AS INTEGER) AS k, count(*) AS n FROM (SELECT CASE WHEN (l_quantity - 10) ** 2 <= (l_quantity - 40) ** 2 THEN 0 ELSE 1 END AS kk FROM lineitem) GROUP BY kk")
 def assign_wide(spark, sf_dir):
     rows = feature_points(load(spark, sf_dir, "lineitem"), "l_orderkey", ["l_quantity"])
