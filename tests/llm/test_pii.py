@@ -116,3 +116,14 @@ def test_overlapping_kinds_are_replaced_once():
     spans = pii.all_spans(text, {}.keys())
     assert [s[3] for s in spans] == ["email", "ip"]
     assert pii.sanitised(text, spans, {}, 1.0) == "a <email> z"
+
+
+def test_defaults_find_the_planted_term(spark):
+    """One document in seven with the name is without the address; clean documents stay as they are."""
+    docs = corpus(spark)
+    assert "quixano" in {r["term"] for r in pii.disclosing_terms(docs).collect()}
+    got = {r["doc_id"]: r for r in pii.scan(docs).collect()}
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all("Quixano" not in got[i]["sanitised"] for i in before if "Quixano" in before[i])
+    clean = [i for i in before if "Quixano" not in before[i] and not pii.base_spans(before[i])]
+    assert len(clean) > 200 and all(got[i]["spans"] == "" and got[i]["sanitised"] == before[i] for i in clean)
