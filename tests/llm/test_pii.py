@@ -127,3 +127,14 @@ def test_defaults_find_the_planted_term(spark):
     assert all("Quixano" not in got[i]["sanitised"] for i in before if "Quixano" in before[i])
     clean = [i for i in before if "Quixano" not in before[i] and not pii.base_spans(before[i])]
     assert len(clean) > 200 and all(got[i]["spans"] == "" and got[i]["sanitised"] == before[i] for i in clean)
+
+
+def test_texts_that_grow_in_lower_case_are_searched(spark):
+    """U+0130 is two code points in lower case: offsets are those of the text, and the word itself is a term like others."""
+    text = "İstanbul, then Quixano and İstanbul."
+    spans = pii.all_spans(text, {"quixano": 1.0, "İstanbul".lower(): 1.0}.keys())
+    assert [(text[s:e], kind) for s, _, e, kind in spans] == [("İstanbul", "term"), ("Quixano", "term"), ("İstanbul", "term")]
+    rows = [(i, f"word{i} İsmet wrote ism@mail.example.org here{i} İzmir") for i in range(4)] + [(i, f"İzmir other{i} words{i}") for i in range(4, 300)]
+    rows.append((300, "İsmet alone"))
+    got = {r["doc_id"]: r["sanitised"] for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("İsmet" not in got[i] for i in (0, 1, 2, 3, 300)) and got[100] == rows[100][1]

@@ -101,6 +101,11 @@ def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> set[t
     return out
 
 
+def _terms(text: Column) -> Column:
+    """A text's different terms, cut first and then each in lower case, as ``contexts`` has them."""
+    return F.array_distinct(F.transform(F.split(text, r"[^\p{L}\p{N}]+"), F.lower))
+
+
 def disclosing_terms(docs: DataFrame, *, window: int = 8, support: int = 3, generalise: float = 0.9, text_col: str = "text") -> DataFrame:
     """term, degree (the largest over entities) of terms that disclose an entity; counted over all documents."""
     spark = docs.sparkSession
@@ -138,7 +143,7 @@ def disclosing_terms(docs: DataFrame, *, window: int = 8, support: int = 3, gene
     if candidates.isEmpty():
         return spark.createDataFrame([], "term string, degree double")
     # n(t): the number of documents with the term, over the whole corpus
-    words = F.array_distinct(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}]+"))
+    words = _terms(F.col("text"))
     found = rows.select(F.explode(words).alias("term"))
     found = found.join(F.broadcast(candidates) if candidates.count() <= MAX_TERMS else candidates, "term", "left_semi")
     frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
@@ -151,8 +156,8 @@ def all_spans(text: str, terms) -> list[tuple[int, int, int, str]]:
     base = base_spans(text)
     out = [(s, k, e, KINDS[k]) for s, k, e in base]
     if terms:
-        lowered = text.lower()
-        if len(lowered) == len(text) and not terms.isdisjoint(TERM.findall(lowered)):
+        # each term in lower case by itself: a text's own lower case may be longer and cut terms in two
+        if not terms.isdisjoint(map(str.lower, TERM.findall(text))):
             taken = sorted((s, e) for s, _, e in base)
             i, reach = 0, 0
             for m in TERM.finditer(text):
@@ -195,7 +200,7 @@ def _held(docs: DataFrame, terms: DataFrame):
 
 def _own_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, text_key, terms (term, degree): each text's own disclosing terms, where all are too many for the workers."""
-    words = F.array_distinct(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}]+"))
+    words = _terms(F.col("text"))
     found = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(words).alias("term")).distinct().join(terms, "term")
     return found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("term", "degree")).alias("terms"))
 
