@@ -138,3 +138,26 @@ def test_texts_that_grow_in_lower_case_are_searched(spark):
     rows.append((300, "İsmet alone"))
     got = {r["doc_id"]: r["sanitised"] for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all("İsmet" not in got[i] for i in (0, 1, 2, 3, 300)) and got[100] == rows[100][1]
+
+
+def brute_contexts(text, spans, window):
+    free = [m for m in re.finditer(r"[^\W_]+", text) if not any(a < m.end() and m.start() < e for a, _, e in spans)]
+    out = set()
+    for span in spans:
+        left, right = [m for m in free if m.end() <= span[0]][-window:], [m for m in free if m.start() >= span[2]][:window]
+        out |= {(pii.entity(text, span), m.group().lower()) for m in left + right}
+    return out
+
+
+def test_contexts_are_whole():
+    """Contact lists, terms far away by characters, and short names."""
+    people = [f"Name{i} Li{i} n.{i}@host{i}.example.org +1 (234) 555-{1000 + i}" for i in range(60)]
+    far = "Quixano" + " " * 900 + "x" * 700 + " Wu bob@mail.example.org, 王伟 " + "-" * 2000 + " Ana"
+    for text in (" ".join(people), " ".join(people[:5]), far, "a 1.2.3.4@b.c z", "bob@mail.example.org", ""):
+        spans = pii.base_spans(text)
+        for window in (1, 2, 8):
+            assert pii.contexts(text, spans, window) == brute_contexts(text, spans, window)
+    terms = {t for _, t in pii.contexts(far, pii.base_spans(far), 8)}
+    assert terms == {"quixano", "x" * 700, "wu", "王伟", "ana"}
+    terms = {t for _, t in pii.contexts(" ".join(people), pii.base_spans(" ".join(people)), 8)}
+    assert "name30" in terms and not terms & {"example", "org", "555", "host30"}

@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -87,17 +90,28 @@ def entity(text: str, span: tuple[int, int, int]) -> str:
     return f"{KINDS[span[1]]}:{value if span[1] < 2 else re.sub('[^0-9]', '', value)}"
 
 
+def _free_terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """The terms that touch none of the sorted spans: one walk over both."""
+    i, reach = 0, 0
+    for m in TERM.finditer(text):
+        while i < len(spans) and spans[i][0] < m.end():
+            reach, i = max(reach, spans[i][2]), i + 1
+        if m.start() >= reach:
+            yield m
+
+
 def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> set[tuple[str, str]]:
     """(entity, term) for the ``window`` terms on either side of each span; spans themselves hold no terms."""
     out = set()
-    reach = window * 40
+    starts, ends = array("q"), array("q")
+    for m in _free_terms(text, spans):
+        starts.append(m.start())
+        ends.append(m.end())
     for span in spans:
-        name, low, high = entity(text, span), max(0, span[0] - reach), span[2] + reach
-        inside = [(a, e) for a, _, e in spans if e > low and a < high] if len(spans) < 50 else [(span[0], span[2])]
-        found = [m for m in TERM.finditer(text, low, min(high, len(text))) if not any(a < m.end() and m.start() < e for a, e in inside)]
-        left = [m.group().lower() for m in found if m.end() <= span[0]][-window:]
-        right = [m.group().lower() for m in found if m.start() >= span[2]][:window]
-        out.update((name, t) for t in left + right if len(t) > 2)
+        left, right = bisect_right(ends, span[0]), bisect_left(starts, span[2])
+        near = [*range(max(0, left - window), left), *range(right, min(right + window, len(starts)))]
+        name = entity(text, span)
+        out.update((name, text[starts[i] : ends[i]].lower()) for i in near)
     return out
 
 
@@ -158,13 +172,7 @@ def all_spans(text: str, terms) -> list[tuple[int, int, int, str]]:
     if terms:
         # each term in lower case by itself: a text's own lower case may be longer and cut terms in two
         if not terms.isdisjoint(map(str.lower, TERM.findall(text))):
-            taken = sorted((s, e) for s, _, e in base)
-            i, reach = 0, 0
-            for m in TERM.finditer(text):
-                while i < len(taken) and taken[i][0] < m.end():
-                    reach, i = max(reach, taken[i][1]), i + 1
-                if m.start() >= reach and m.group().lower() in terms:
-                    out.append((m.start(), len(KINDS), m.end(), "term"))
+            out += [(m.start(), len(KINDS), m.end(), "term") for m in _free_terms(text, base) if m.group().lower() in terms]
     return sorted(out)
 
 
