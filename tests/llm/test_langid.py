@@ -74,3 +74,14 @@ def test_odd_rows(odd_docs, no_docs, docs):
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 4
     empty = langid.fit(no_docs, ~langid.held_out())
     assert {r["lang_pred"] for r in langid.identify(odd_docs, empty).collect()} == {"und"}
+
+
+def test_long_runs_of_letters_count_whole():
+    assert len(langid.grams("a" * 100)) == 100
+    for n in (1, 39, 40, 41, 80, 81, 200):
+        word = "".join(chr(97 + i % 26) for i in range(n))
+        assert [g for p in langid.pieces(word) for g in langid.marked_grams(p)] == langid.grams(word)
+        assert max(map(len, langid.pieces(word))) <= 42
+    m = model()
+    lang, score, chosen = m.infer("theandwiththathavethis" * 4 + "derunddienichteinesichmitdemauchwerden" * 20)
+    assert lang == "de" and {k for k, _ in chosen} == {"de", "en"} and score > 0.7

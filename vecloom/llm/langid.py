@@ -23,16 +23,27 @@ LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Words whose likelihoods a worker keeps.
 CACHE = 1 << 18
+#: Trigrams that are drawn from one language together. A run of letters without spaces may be a whole text in many.
+PIECE = 40
 
 
-def grams(word: str) -> list[str]:
-    """Trigrams of a word between marks; letters beyond the 40th are left out of the likelihood of one word."""
-    marked = f"^{word[:40]}$"
+def marked_grams(marked: str) -> list[str]:
     return [marked[i : i + 3] for i in range(len(marked) - 2)]
 
 
+def grams(word: str) -> list[str]:
+    """Trigrams of a word between marks: one for each letter."""
+    return marked_grams(f"^{word}$")
+
+
+def pieces(word: str) -> list[str]:
+    """A word between marks; one of over PIECE letters in pieces that overlap by two, so that each trigram is in one."""
+    marked = f"^{word}$"
+    return [marked[i : i + PIECE + 2] for i in range(0, len(word), PIECE)]
+
+
 class Memo:
-    """Likelihoods of words under one model."""
+    """Likelihoods of pieces of words under one model."""
 
     def __init__(self, owner: Mixture):
         self.owner = owner
@@ -62,7 +73,7 @@ class Mixture:
         self.log_p = np.vstack([np.log((table + alpha) / total), np.log(alpha / total)]).astype(np.float32)
 
     def word_rows(self, words: list[str]) -> np.ndarray:
-        """Log-likelihoods of words, word by language."""
+        """Log-likelihoods of words as ``pieces`` gives them, word by language."""
         kept = memo(self)
         known = kept.words
         new = [w for w in words if w not in known]
@@ -71,7 +82,7 @@ class Mixture:
             new = words
         if new:
             get, other = self.row.get, len(self.row)
-            parts = [[get(g, other) for g in grams(w)] for w in new]
+            parts = [[get(g, other) for g in marked_grams(w)] for w in new]
             start = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
             flat = self.log_p[[i for p in parts for i in p]]
             at = len(known)
@@ -96,7 +107,11 @@ class Mixture:
 
         Languages equal in proportion stand in the order of their names.
         """
-        count = Counter(w for w in LETTERS.findall(text.lower()) if w.isalpha() or any(c.isalpha() for c in w))
+        count: Counter[str] = Counter()
+        for w, times in Counter(LETTERS.findall(text.lower())).items():
+            if w.isalpha() or any(c.isalpha() for c in w):
+                for piece in pieces(w):
+                    count[piece] += times
         if not count or not self.languages:
             return UNKNOWN, 0.0, []
         n = np.fromiter(count.values(), np.float64, len(count))
