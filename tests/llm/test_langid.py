@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from vecloom.llm import langid
 
@@ -85,3 +86,21 @@ def test_long_runs_of_letters_count_whole():
     m = model()
     lang, score, chosen = m.infer("theandwiththathavethis" * 4 + "derunddienichteinesichmitdemauchwerden" * 20)
     assert lang == "de" and {k for k, _ in chosen} == {"de", "en"} and score > 0.7
+
+
+def test_long_texts_teach(spark):
+    """A language with long texts only is learned, and every trigram of a text is in one of its parts."""
+    text = "der und die nicht eine xİx İx " * 30 + "unddasistlang" * 20
+    for size in (7, 50, 1000):
+        got = [g for low in range(0, len(text), size) for w in langid.marked_runs(text, low, low + size) for g in langid.marked_grams(w)]
+        assert sorted(got) == sorted(g for w in langid.LETTERS.findall(text.lower()) for g in langid.grams(w))
+    rows = [(i, "the and with that have this from they", "en") for i in range(40)] + [(100 + i, "der und die nicht eine sich mit dem " * 1000, "de") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.fit(docs, F.lit(True))
+    assert m.languages == ["de", "en"] and m.infer("und die nicht")[0] == "de"
+
+
+def test_without_a_model_letters_decide(spark, odd_docs):
+    unlabelled = odd_docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = langid.documents_in_a_language(unlabelled, langid.fit(unlabelled, F.lit(True)))
+    assert kept.count() == odd_docs.count() - 4

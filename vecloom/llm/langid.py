@@ -42,6 +42,22 @@ def pieces(word: str) -> list[str]:
     return [marked[i : i + PIECE + 2] for i in range(0, len(word), PIECE)]
 
 
+def words_of(text: str) -> Counter[str]:
+    """The runs with a letter, and how often they occur."""
+    return Counter(w for w in LETTERS.findall(text.lower()) if w.isalpha() or any(c.isalpha() for c in w))
+
+
+def marked_runs(text: str, low: int, high: int) -> list[str]:
+    """The runs of letters in a part of a text, between marks; at an edge within a run its next letter stands for the mark."""
+    out = [f"^{w}$" for w in LETTERS.findall(text[low:high].lower())]
+    within = lambda at: 0 < at < len(text) and LETTERS.fullmatch(text[at - 1].lower()[-1] + text[at].lower()[0])
+    if within(low):
+        out[0] = text[low - 1].lower()[-1] + out[0][1:]
+    if within(high):
+        out[-1] = out[-1][:-1] + text[high].lower()[0]
+    return out
+
+
 class Memo:
     """Likelihoods of pieces of words under one model."""
 
@@ -108,10 +124,9 @@ class Mixture:
         Languages equal in proportion stand in the order of their names.
         """
         count: Counter[str] = Counter()
-        for w, times in Counter(LETTERS.findall(text.lower())).items():
-            if w.isalpha() or any(c.isalpha() for c in w):
-                for piece in pieces(w):
-                    count[piece] += times
+        for w, times in words_of(text).items():
+            for piece in pieces(w):
+                count[piece] += times
         if not count or not self.languages:
             return UNKNOWN, 0.0, []
         n = np.fromiter(count.values(), np.float64, len(count))
@@ -139,31 +154,35 @@ def _parts(words: list[str], size: int = CACHE // 2) -> list[list[str]]:
 def fit(docs: DataFrame, learn: Column, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_each: int = 1500, max_chars: int = 20_000, min_count: int = 2) -> Mixture:
     """The model from a bounded sample of the rows for which ``learn`` holds: about ``docs_each`` of each language.
 
-    The sample is drawn by a hash of the id against a threshold from the language's number of rows, so no
-    group of rows is gathered anywhere. Texts over ``max_chars`` and null or empty langs teach nothing. Trigrams
-    seen fewer than ``min_count`` times are left out.
+    What is drawn are parts of ``max_chars`` letters of the texts, so that texts of any length teach in proportion
+    to it: by a hash of the id and the part's number against a threshold from the language's number of parts. No
+    group of rows is gathered anywhere. Null or empty langs teach nothing. Trigrams seen fewer than ``min_count``
+    times are left out.
     """
     known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("doc_id"))
-    known = known.filter(learn & F.col("lang").isNotNull() & (F.col("lang") != "") & (F.length("text") <= max_chars))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
+    known = known.filter(learn & F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull())
+    n_parts = F.greatest(F.lit(1), F.ceil(F.length("text") / max_chars)).cast("int")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum(n_parts).alias("n")).collect()}  # one row a language
     if not sizes:
         return Mixture([], {})
     languages = sorted(sizes)
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30))
+    draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     limit = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1 << 30, (docs_each << 30) // sizes[k])))])
-    sample = known.filter(draw < limit[F.col("lang")])
+    # the first part is drawn by the id alone
+    drawn = lambda part: F.pmod(F.when(part == 0, draw).otherwise(F.xxhash64(draw, part)), F.lit(1 << 30)) < limit[F.col("lang")]
+    sample = known.select("lang", "text", F.filter(F.sequence(F.lit(0), n_parts - 1), drawn).alias("parts")).filter(F.size("parts") > 0)
 
     def run(batch: pa.RecordBatch) -> dict:
         found: dict[str, Counter] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), texts(batch, "text")):
+        for lang, text, parts in zip(batch.column("lang").to_pylist(), texts(batch, "text"), batch.column("parts").to_pylist()):
             into = found.setdefault(lang, Counter())
-            for word, n in Counter(LETTERS.findall(text.lower())).items():
-                for g in grams(word):
-                    into[g] += n
+            for part in parts:
+                for marked, n in Counter(marked_runs(text, part * max_chars, (part + 1) * max_chars)).items():
+                    for g in marked_grams(marked):
+                        into[g] += n
         flat = [(lang, g, n) for lang, c in found.items() for g, n in c.items()]
         return {"lang": [x[0] for x in flat], "gram": [x[1] for x in flat], "n": [x[2] for x in flat]}
 
-    sample = sample.select("lang", "text")
     counted = map_batches(sample, run, "lang string, gram string, n long", 1024).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = {k: i for i, k in enumerate(languages)}
     counts: dict[str, list[float]] = {}
@@ -198,13 +217,15 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def documents_in_a_language(docs: DataFrame, model: Mixture) -> DataFrame:
-    """Documents, columns unchanged, without those that are in no language (und)."""
+    """Documents, columns unchanged, without those that are in no language (und): with no model, without a letter."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def known(text):
-        return text.map(lambda x: held.value.infer(x or "")[0] != UNKNOWN).astype(bool)
+        mixture = held.value
+        found = (lambda x: mixture.infer(x)[0] != UNKNOWN) if mixture.languages else (lambda x: bool(words_of(x)))
+        return text.map(lambda x: found(x or "")).astype(bool)
 
     return spread(docs).filter(known("text"))
 
