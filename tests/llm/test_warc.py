@@ -4,6 +4,7 @@ import base64
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from vecloom.durable import new_path
 from vecloom.llm import warc
@@ -62,3 +63,27 @@ def test_no_pages(spark, pages):
     path = new_path(spark, "warc-test")
     warc.write_archive(pages.filter("false"), path)
     assert warc.read_archive(spark, path).count() == 0
+
+
+def damaged(records, kind):
+    record = F.when(F.col("record_type") == kind, F.concat("record", F.lit(b"x"))).otherwise(F.col("record"))
+    return records.withColumn("record", record)
+
+
+def test_query_rebuilds_records(spark, sf_dir, monkeypatch):
+    """A record that is put together wrongly fails the query."""
+    read = warc.read_archive
+    monkeypatch.setattr(warc, "read_archive", lambda *a: damaged(read(*a), "response"))
+    with pytest.raises(Exception, match="not what was archived"):
+        warc.query(spark, sf_dir).collect()
+
+
+def test_rebuilt_records_of_both_kinds(spark, pages):
+    path = new_path(spark, "test-warc")
+    warc.write_archive(pages, path)
+    records = warc.read_archive(spark, path)
+    assert warc.rebuilt(records).filter("payload_digest is not null").count() == len(ROWS)
+    for kind in ("response", "revisit"):
+        assert records.filter(F.col("record_type") == kind).count() > 0
+        with pytest.raises(Exception, match="not what was archived"):
+            warc.rebuilt(damaged(records, kind)).collect()

@@ -104,6 +104,16 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return joined.select("page_id", "url", "record_type", "refers_to", "payload_bytes", agrees.alias("payload_digest"), "payload", record.alias("record"))
 
 
+def rebuilt(records: DataFrame) -> DataFrame:
+    """The records of ``read_archive``; fails if a response's record has not the payload of its digest, or a revisit's has one."""
+    start = F.octet_length("record") - F.col("payload_bytes").cast("int") - 3
+    held = F.when(start > 0, base32_sha1(F.substring("record", start, F.col("payload_bytes").cast("int"))))
+    none = F.substring("record", -8, 8) == F.lit("\r\n" * 4).cast("binary")
+    right = F.when(F.col("record_type") == "revisit", none).otherwise(held == F.col("payload_digest"))
+    wrong = F.raise_error(F.lit("a record is not what was archived")).cast("string")
+    return records.withColumn("payload_digest", F.when(F.coalesce(right, F.lit(False)), F.col("payload_digest")).otherwise(wrong))
+
+
 ORACLE = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
 b AS (
@@ -120,4 +130,4 @@ FROM b
 def query(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return rebuilt(read_archive(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
