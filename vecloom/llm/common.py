@@ -20,6 +20,11 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def typed(df: DataFrame, column: str) -> str:
+    """A column's name and type for a schema: ids keep the type that they come with."""
+    return f"{column} {df.schema[column].dataType.simpleString()}"
+
+
 def id_crc(column: str | Column) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     c = F.col(column) if isinstance(column, str) else column

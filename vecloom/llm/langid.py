@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import id_crc, map_batches, spread, texts
+from vecloom.llm.common import id_crc, map_batches, spread, texts, typed
 from vecloom.shipping import ship
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -86,6 +86,7 @@ class Mixture:
         table = np.array(list(counts.values()), np.float64).reshape(len(counts), len(languages))
         total = table.sum(axis=0) + alpha * (len(counts) + 1)
         self.row = {g: i for i, g in enumerate(counts)}
+        self.n_letters = len({c for g in counts for c in g}) or 1
         self.log_p = np.vstack([np.log((table + alpha) / total), np.log(alpha / total)]).astype(np.float32)
 
     def word_rows(self, words: list[str]) -> np.ndarray:
@@ -123,28 +124,32 @@ class Mixture:
 
         Languages equal in proportion stand in the order of their names.
         """
+        return self.judge(text)[:3]
+
+    def judge(self, text: str) -> tuple[str, float, list[tuple[str, float]], bool]:
+        """``infer``'s, and whether the selected set explains the trigrams better than letters drawn at random do."""
         count: Counter[str] = Counter()
         for w, times in words_of(text).items():
             for piece in pieces(w):
                 count[piece] += times
         if not count or not self.languages:
-            return UNKNOWN, 0.0, []
+            return UNKNOWN, 0.0, [], False
         n = np.fromiter(count.values(), np.float64, len(count))
         logs = np.concatenate([self.word_rows(part) for part in _parts(list(count))]).astype(np.float64)
         top = logs.max(axis=1, keepdims=True)
         p = np.maximum(np.exp(logs - top), 1e-12)
         share, _ = self.proportions(p, n)
         order = np.argsort(-share, kind="stable")
-        best, chosen, weak = -np.inf, order[:1], 0
+        best, chosen, cost = -np.inf, order[:1], self.penalty * np.log(n.sum() + 1)
         for size in range(1, len(order) + 1):
-            part, likely = self.proportions(p[:, order[:size]], n)
-            value = likely - self.penalty * (size - 1) * np.log(n.sum() + 1)
-            if value > best:
-                best, chosen, shares, weak = value, order[:size], part, 0
-            elif (weak := weak + 1) == 2:  # two languages more that do not pay: those after them have smaller shares still
+            if -cost * (size - 1) <= best:  # no likelihood is above 0 here: larger sets can't be better
                 break
+            part, likely = self.proportions(p[:, order[:size]], n)
+            if likely - cost * (size - 1) > best:
+                best, chosen, shares = likely - cost * (size - 1), order[:size], part
         ranked = sorted(zip(-shares, chosen))
-        return self.languages[ranked[0][1]], float(-ranked[0][0]), [(self.languages[i], float(-s)) for s, i in ranked]
+        at_random = -3 * np.log(self.n_letters) * sum((len(piece) - 2) * times for piece, times in count.items())
+        return self.languages[ranked[0][1]], float(-ranked[0][0]), [(self.languages[i], float(-s)) for s, i in ranked], bool(best + n @ top[:, 0] > at_random)
 
 
 def _parts(words: list[str], size: int = CACHE // 2) -> list[list[str]]:
@@ -208,26 +213,36 @@ def identify(docs: DataFrame, model: Mixture, *, id_col: str = "doc_id", text_co
             "languages": [[{"lang": k, "share": s} for k, s in x[2]] for x in out],
         }
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(rows, run, "doc_id long, lang_pred string, score double, languages array<struct<lang string, share double>>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return map_batches(rows, run, f"{typed(rows, 'doc_id')}, lang_pred string, score double, languages array<struct<lang string, share double>>")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return id_crc(id_col) % 4 == 2
 
 
-def documents_in_a_language(docs: DataFrame, model: Mixture) -> DataFrame:
-    """Documents, columns unchanged, without those that are in no language (und): with no model, without a letter."""
+def documents_in_a_language(docs: DataFrame, model: Mixture, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Documents, columns unchanged, without those that are in no language; ``lang`` is the one that is inferred.
+
+    In no language are null texts, texts without a letter, and texts that letters drawn at random explain better than
+    the selected languages do. A model without a language knows only letters: it keeps texts with one and every
+    lang. Repeated rows are judged one by one; texts are read whole; an empty table gives an empty one.
+    """
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def known(text):
+    def language(text: str) -> str | None:
         mixture = held.value
-        found = (lambda x: mixture.infer(x)[0] != UNKNOWN) if mixture.languages else (lambda x: bool(words_of(x)))
-        return text.map(lambda x: found(x or "")).astype(bool)
-
-    return spread(docs).filter(known("text"))
+        if not mixture.languages:
+            return UNKNOWN if words_of(text) else None
+        lang, _, _, known = mixture.judge(text)
+        return lang if known else None
+
+    inferred = F.pandas_udf(lambda text: text.map(lambda x: language(x or "")).astype(object), "string")
+    rows = spread(docs).select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    rows = rows.select("row", inferred(F.col("row")[text_col]).alias("found")).filter("found IS NOT NULL")
+    lang = F.col("found") if model.languages else F.col("row")[lang_col]
+    return rows.select(*[(lang if c == lang_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import map_batches, texts
+from vecloom.llm.common import map_batches, texts, typed
 
 ESCAPED_SPACE = "▁".encode()
 
@@ -125,25 +125,23 @@ class PieceCodec:
         self.width = np.array([1 if p.type == byte else len(p.piece.encode()) for p in model.pieces], np.int64)
         self.unknown = self.library.unk_id() if not model.trainer_spec.byte_fallback else -1
 
-    def ends(self, data: bytes, ids: list[int]) -> np.ndarray:
+    def ends(self, data: bytes, ids: list[int]) -> np.ndarray | None:
         """The source byte at which each piece ends; a piece starts where the one before it ends.
 
-        The pieces must spell the normalised text. An unknown piece has no length of its own: it takes what
-        the others leave if it is the only one.
+        An unknown piece has no length of its own: it takes what the others leave if it is the only one. None where
+        spans can't be told: with several unknown pieces, and for models whose pieces do not spell the normalised text.
         """
         normal, source = self.normalizer.normalize(data)
         width = self.width[np.array(ids, np.int64)] if ids else np.zeros(0, np.int64)
         if self.unknown in ids:
             unknown = np.flatnonzero(np.array(ids) == self.unknown)
             if len(unknown) > 1:
-                raise ValueError("several unknown pieces: their spans can't be told apart")
+                return None
             width[unknown] = len(normal) - (width.sum() - width[unknown[0]])
         end = np.cumsum(width)
-        if (end[-1] if len(end) else 0) != len(normal):
-            raise ValueError("the pieces do not spell the normalised text")
-        return source[end]
+        return source[end] if (end[-1] if len(end) else 0) == len(normal) and (width >= 0).all() else None
 
-    def encode(self, batch: list[str]) -> list[tuple[list[int], np.ndarray]]:
+    def encode(self, batch: list[str]) -> list[tuple[list[int], np.ndarray | None]]:
         return [(ids, self.ends(text.encode(), ids)) for text, ids in zip(batch, self.library.encode(batch, num_threads=1))]
 
     def decode(self, batch: list[list[int]]) -> list[str]:
@@ -167,7 +165,7 @@ def model_path() -> str:
 
 
 def encode(docs: DataFrame, *, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids array<int>, ends array<long>: each piece's end in the original text's UTF-8 bytes.
+    """doc_id, ids array<int>, ends array<long>: each piece's end in the original text's UTF-8 bytes (null: see ``PieceCodec.ends``).
 
     Null counts as empty and gives no ids. Every row gives one row, repeated rows too; an empty table gives
     an empty result; other columns are dropped. The model file must exist on every executor at the same
@@ -178,8 +176,8 @@ def encode(docs: DataFrame, *, model: str | None = None, id_col: str = "doc_id",
         out = codec(model or model_path()).encode(texts(batch, "text"))
         return {"doc_id": batch.column("doc_id"), "ids": [x for x, _ in out], "ends": [x for _, x in out]}
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(rows, run, "doc_id long, ids array<int>, ends array<long>", 64)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return map_batches(rows, run, f"{typed(rows, 'doc_id')}, ids array<int>, ends array<long>", 64)
 
 
 def decode(encoded: DataFrame, *, model: str | None = None) -> DataFrame:
@@ -188,7 +186,8 @@ def decode(encoded: DataFrame, *, model: str | None = None) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column("doc_id"), "text": codec(model or model_path()).decode([x or [] for x in batch.column("ids").to_pylist()])}
 
-    return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, text string", 64)
+    rows = encoded.select("doc_id", "ids")
+    return map_batches(rows, run, f"{typed(rows, 'doc_id')}, text string", 64)
 
 
 def sha(text: str) -> str:
@@ -198,24 +197,23 @@ def sha(text: str) -> str:
 def round_trip(docs: DataFrame, *, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Digests of encoding and decoding in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256 (and ids).
 
-    spans_sha256 is of the pieces' ends as decimal numbers joined by commas. Cases as in ``encode``.
+    spans_sha256 is of the pieces' ends as decimal numbers joined by commas (null where there are no spans). Texts
+    that stand in a batch several times, as the copies of a mix do, are encoded once there. Cases as in ``encode``.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string" + ", ids array<int>" * with_ids
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    names = ("n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256", *(["ids"] if with_ids else []))
+    schema = f"{typed(rows, 'doc_id')}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batch: pa.RecordBatch) -> dict:
-        tool = codec(model or model_path())
-        out = tool.encode(texts(batch, "text"))
-        back = tool.decode([ids for ids, _ in out])
-        columns = {
-            "doc_id": batch.column("doc_id"),
-            "n_tokens": [len(ids) for ids, _ in out],
-            "ids_sha256": [sha(",".join(map(str, ids))) for ids, _ in out],
-            "decoded_sha256": [sha(text) for text in back],
-            "spans_sha256": [sha(",".join(map(str, ends.tolist()))) for _, ends in out],
-        }
-        return columns | ({"ids": [ids for ids, _ in out]} if with_ids else {})
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        tool, given = codec(model or model_path()), texts(batch, "text")
+        different = list(dict.fromkeys(given))
+        out = tool.encode(different)
+        made = {}
+        for text, (ids, ends), back in zip(different, out, tool.decode([ids for ids, _ in out])):
+            spans = None if ends is None else sha(",".join(map(str, ends.tolist())))
+            made[text] = (len(ids), sha(",".join(map(str, ids))), sha(back), spans, ids)
+        return {"doc_id": batch.column("doc_id")} | {name: [made[text][i] for text in given] for i, name in enumerate(names)}
+
     return map_batches(rows, run, schema, 64)
 
 

@@ -9,6 +9,7 @@ copies makes all its pairs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.durable import broadcast_if_small, materialize
-from vecloom.llm.common import map_batches, utf8
+from vecloom.llm.common import map_batches, typed, utf8
 from vecloom.llm.components import connected_components
 
 SEGMENTS, SEGMENT_BITS = 2, 32
@@ -43,11 +44,11 @@ def _long(data: bytes):
         yield chunk
 
 
-def fingerprint(data: bytes, shingle: int = 3) -> int:
-    """Of a UTF-8 text: a bit is 1 if set in over half of the XXH64 (seed 42) of its word shingles, repeats included."""
+def shingle_hashes(data: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """The XXH64 (seed 42) of a UTF-8 text's word shingles in order, A-Z lower-cased; of fewer words the whole sequence's."""
     from xxhash import xxh64_intdigest
 
-    counts, total, kept = np.zeros(64, np.int64), 0, []
+    found, kept = False, []
     for chunk in _words(data.lower()):  # bytes.lower changes A-Z only
         words = kept + chunk
         joined = b" ".join(words)
@@ -58,12 +59,18 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
         start = np.concatenate([[0], np.cumsum(length)])
         n = len(words) - shingle + 1
         begin, end = start[:n].tolist(), (start[shingle:] - 1).tolist()
-        hashes = np.array([xxh64_intdigest(joined[i:j], 42) for i, j in zip(begin, end)], np.uint64)
+        yield np.array([xxh64_intdigest(joined[i:j], 42) for i, j in zip(begin, end)], np.uint64)
+        found, kept = True, words[-(shingle - 1) :] if shingle > 1 else []
+    if kept and not found:
+        yield np.array([xxh64_intdigest(b" ".join(kept), 42)], np.uint64)
+
+
+def fingerprint(data: bytes, shingle: int = 3) -> int:
+    """Of a UTF-8 text: a bit is 1 if set in over half of the hashes of its word shingles, repeats included; no words: 0."""
+    counts, total = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(data, shingle):
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        total += n
-        kept = words[-(shingle - 1) :] if shingle > 1 else []
-    if not total:
-        return xxh64_intdigest(b" ".join(kept), 42) if kept else 0
+        total += len(hashes)
     return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
 
 
@@ -74,8 +81,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         made = np.array([fingerprint(x, shingle) for x in utf8(batch, "text")], np.uint64)
         return {"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "fingerprint": pa.array(made.view(np.int64))}
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    return map_batches(rows, run, "doc_id long, text_key long, fingerprint long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    return map_batches(rows, run, f"{typed(rows, 'doc_id')}, text_key long, fingerprint long")
 
 
 def segment(value: Column, number: int) -> Column:
@@ -121,13 +128,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.join(groups, "fingerprint").select("doc_id", shown.alias("fingerprint"), "component_id", "n_links", "group_key", "text_key")
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def deduplicated(docs: DataFrame, found: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Documents, columns unchanged, one of each group: the one of smallest id, null last, then smallest text hash.
 
-    Rows that repeat the document that stays are one row of it. Only rows that go, and repeated ones, are looked
-    up: where these are few, no text is shuffled.
+    ``found``: doc_id, text_key and group_key of every row (None: those of ``near_duplicates``). Rows that repeat
+    the document that stays are one row of it. Only rows that go, and repeated ones, are looked up: where these
+    are few, no text is shuffled. An empty table gives an empty one.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    if found is None:
+        found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     found = materialize(found.select("doc_id", "text_key", "group_key"), "grouped")
     rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")
     stays = materialize(found.groupBy("group_key").agg(F.min(rank).alias("stays")), "stays")
@@ -136,7 +145,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     counted = materialize(counted.filter("gone OR n > 1"), "counted")
 
     rows = docs.alias("d")
-    key = F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("m.doc_id")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("m.text_key"))
+    key = F.col(f"d.{id_col}").eqNullSafe(F.col("m.doc_id")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("m.text_key"))
     kept = rows.join(broadcast_if_small(counted, MAX_BROADCAST_ROWS).alias("m"), key, "left_anti")
     repeated = materialize(counted.filter("NOT gone"), "repeated")
     if repeated.isEmpty():
