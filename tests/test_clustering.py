@@ -134,7 +134,7 @@ def test_initial_centroids(spark, data):
     assert len(np.unique(far, axis=0)) == 5
     same = frame(spark, np.ones((4, 2)))
     assert len(lloyd.plus_plus(same, 3)) == 1  # there are no three different points
-    assert lloyd.gaussian(3, 4, 1).shape == (3, 4)
+    assert lloyd.gaussian(spark, 3, 4, 1).shape == (3, 4)
 
 
 def test_plus_plus_prefers_far_points(spark):

@@ -65,7 +65,7 @@ def initial(points: DataFrame, options: Options) -> np.ndarray:
         return lloyd.plus_plus(points, options.k, options.seed)
     if options.init == "first":
         return np.array([r["x"] for r in points.orderBy("id").limit(options.k).select("x").collect()], np.float64)
-    return lloyd.gaussian(options.k, len(points.select("x").first()["x"]), options.seed)
+    return lloyd.gaussian(points.sparkSession, options.k, len(points.select("x").first()["x"]), options.seed)
 
 
 def cluster(points: DataFrame, options: Options) -> tuple[np.ndarray, list[float], int]:

@@ -58,6 +58,18 @@ def hadamard_sign(i: Column, j: Column) -> Column:
     return F.when(F.bit_count(i.bitwiseAND(j)) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
 
 
+def walsh_hadamard(x: Column) -> Column:
+    """The unnormalised transform of a vector whose length is a power of two, natural order: log2(n) stages of sums and differences."""
+
+    def stage(a: Column, s: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1), s)
+        return F.transform(a, lambda v, i: F.when(i.bitwiseAND(step) == 0, v + F.get(a, i + step)).otherwise(F.get(a, i - step) - v))
+
+    stages = F.sequence(F.lit(0), F.log2(F.size(x).cast("double")).cast("int") - 1)
+    whole = x.cast("array<double>")
+    return F.when(F.size(x) < 2, whole).otherwise(F.aggregate(stages, whole, stage))
+
+
 def gray(i: Column) -> Column:
     """The i-th reflected Gray code, as a number."""
     return i.bitwiseXOR(F.shiftright(i, 1))

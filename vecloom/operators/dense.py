@@ -22,6 +22,8 @@ from vecloom.shipping import ship
 BLOCK = 4096
 #: Centroid values sent to every executor at most (64 MB of doubles); `evaluate.one_nn` compares larger tables, block by block.
 MAX_CENTROID_VALUES = 8_000_000
+#: Centroid values that stand as literals in a plan at most.
+MAX_LITERAL_VALUES = 20_000
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -76,20 +78,35 @@ def assign(points: DataFrame, centroids: np.ndarray, keys: list[int] | None = No
 
 def assign_native(points: DataFrame, centroids: np.ndarray) -> DataFrame:
     """The same in the JVM, with centroids as a literal: for few centroids."""
-    u = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(float(v)) for v in row]).alias("u")) for k, row in enumerate(centroids)])
+    u = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(float(v)) for v in row]).alias("u")) for k, row in enumerate(literal(centroids))])
     best = F.array_min(F.transform(u, lambda c: F.struct(sq_dist(F.col("x"), c["u"]).alias("d2"), c["k"].alias("k"))))
     return points.select("id", best.alias("best")).select("id", "best.k", "best.d2")
 
 
 def distances(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Every pair (id, k, d2) of points and a small table of centroids (k, u): n x K rows, for inspection."""
-    return points.join(F.broadcast(centroids)).select("id", "k", sq_dist(F.col("x"), F.col("u")).alias("d2"))
+    """Every pair (id, k, d2) of points and a small table of centroids (k, u): n x K rows, which is the result asked for."""
+    return points.join(F.broadcast(small(centroids))).select("id", "k", sq_dist(F.col("x"), F.col("u")).alias("d2"))
+
+
+def small(centroids: DataFrame) -> DataFrame:
+    """A table (k, u) that may be sent to every executor, by its size; an error otherwise."""
+    values = centroids.agg(F.sum(F.size("u"))).first()[0] or 0
+    if values > MAX_CENTROID_VALUES:
+        raise ValueError("too many centroids to send to every executor")
+    return centroids
+
+
+def literal(centroids: np.ndarray) -> np.ndarray:
+    """Centroids that may stand as literals in a plan; an error otherwise."""
+    if centroids.size > MAX_LITERAL_VALUES:
+        raise ValueError("too many centroids for literals of a plan: use assign")
+    return centroids
 
 
 def operator_scores(points: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """id, k and |u|^2 - 2 u.x of the nearest centroid: the assignment without the norm of the point."""
+    """id, k and |u|^2 - 2 u.x of the nearest centroid: the assignment without the norm of the point. For few centroids."""
     u = F.array(
-        *[F.struct(F.lit(k).alias("k"), F.lit(float((row * row).sum())).alias("n"), F.array(*[F.lit(float(v)) for v in row]).alias("u")) for k, row in enumerate(centroids)]
+        *[F.struct(F.lit(k).alias("k"), F.lit(float((row * row).sum())).alias("n"), F.array(*[F.lit(float(v)) for v in row]).alias("u")) for k, row in enumerate(literal(centroids))]
     )
     best = F.array_min(F.transform(u, lambda c: F.struct((c["n"] - dot(c["u"], F.col("x")) * 2).alias("score"), c["k"].alias("k"))))
     return points.select("id", best.alias("best")).select("id", "best.k", "best.score")
@@ -109,40 +126,67 @@ class Sums:
         return self.sums / np.maximum(self.counts, 1)[:, None]
 
 
+#: Partial sums of all tasks are added in so many groups for each centroid, and these once more.
+GROUPS = 64
+
+
 def pass_over(points: DataFrame, centroids: np.ndarray) -> Sums:
     """Assigns the points and gathers K counts, sums, squared distances.
 
-    Every task folds its rows into K partial sums first; those of all tasks (tasks x K rows) are added in
-    Spark by k. Nothing that grows with the points reaches the driver.
+    Every task folds its rows into K partial sums; those of all tasks are folded again, as a stream, in GROUPS groups
+    for each k and then by k. No row holds more than one vector, and K rows reach the driver.
     """
     ship(points.sparkSession)
-    held = points.sparkSession.sparkContext.broadcast(np.asarray(centroids, np.float64))
+    centroids = np.asarray(centroids, np.float64)
+    if centroids.size > MAX_CENTROID_VALUES:
+        raise ValueError("too many centroids to send to every executor")
+    held = points.sparkSession.sparkContext.broadcast(centroids)
     n_k, d = centroids.shape
 
+    def folded(counts: np.ndarray, sums: np.ndarray, objective: np.ndarray) -> Iterator[pa.RecordBatch]:
+        some = np.flatnonzero(counts)
+        for at in range(0, len(some), 1024):
+            part = some[at : at + 1024]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(part) * d + 1, d, dtype=np.int32)), pa.array(sums[part].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part]), lists, pa.array(objective[part])], names=["k", "n", "s", "o"])
+
+    def zeros() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.zeros(n_k, np.int64), np.zeros((n_k, d)), np.zeros(n_k)
+
+    def add(sums: np.ndarray, k: np.ndarray, x: np.ndarray) -> None:
+        order = np.argsort(k, kind="stable")
+        starts = np.flatnonzero(np.diff(k[order], prepend=-1))
+        sums[k[order][starts]] += np.add.reduceat(x[order], starts, axis=0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = held.value
-        counts, sums, objective = np.zeros(n_k, np.int64), np.zeros((n_k, d)), np.zeros(n_k)
+        u, (counts, sums, objective) = held.value, zeros()
         for batch in batches:
             if batch.num_rows:
                 x = matrix(batch.column("x"))
                 k, d2 = nearest(x, u)
                 counts += np.bincount(k, minlength=n_k)
                 objective += np.bincount(k, d2, minlength=n_k)
-                order = np.argsort(k, kind="stable")
-                starts = np.flatnonzero(np.diff(k[order], prepend=-1))
-                sums[k[order][starts]] += np.add.reduceat(x[order], starts, axis=0)
-        some = np.flatnonzero(counts)
-        if len(some):
-            lists = pa.array(list(sums[some]), type=pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some]), lists, pa.array(objective[some])], names=["k", "n", "s", "o"])
-
-    parts = points.select("x").mapInArrow(run, "k int, n long, s array<double>, o double")
-    zero = F.array_repeat(F.lit(0.0), d)
-    added = F.aggregate(F.collect_list("s"), zero, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
-    out = Sums(np.zeros(n_k, np.int64), np.zeros((n_k, d)), np.zeros(n_k))
-    for row in parts.groupBy("k").agg(F.sum("n").alias("n"), added.alias("s"), F.sum("o").alias("o")).collect():  # K rows
-        out.counts[row["k"]], out.sums[row["k"]], out.objective[row["k"]] = row["n"], row["s"], row["o"]
-    return out
+                add(sums, k, x)
+        yield from folded(counts, sums, objective)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, sums, objective = zeros()
+        for batch in batches:
+            if batch.num_rows:
+                k, n, o = (batch.column(c).to_numpy(zero_copy_only=False) for c in "kno")
+                np.add.at(counts, k, n)
+                np.add.at(objective, k, o)
+                add(sums, k, matrix(batch.column("s")))
+        yield from folded(counts, sums, objective)
+
+    kind = "k int, n long, s array<double>, o double"
+    parts = points.select("x").mapInArrow(run, kind).withColumn("group", F.spark_partition_id() % GROUPS)
+    found = parts.repartition("k", "group").select("k", "n", "s", "o").mapInArrow(fold, kind).repartition("k").mapInArrow(fold, kind).toArrow()  # K rows
+    counts, sums, objective = zeros()
+    if found.num_rows:
+        k = found.column("k").to_numpy()
+        counts[k], sums[k], objective[k] = found.column("n").to_numpy(), matrix(found.column("s")), found.column("o").to_numpy()
+    return Sums(counts, sums, objective)
 
 
 def means(assigned: DataFrame) -> DataFrame:

@@ -122,38 +122,32 @@ def budgets(left: int, right: int, n_factors: int, sparsity: int, residual_on_ri
     """Constraints of each hierarchical step for a chain of n_factors (a constant first one included).
 
     Inner factors get sparsity * A entries, A = min(left, right), the outermost sparsity times their long
-    side; the residual is halved in each step and never gets fewer than an inner factor.
+    side; the residual is halved in each step and never gets fewer than an inner factor. On the right it becomes the
+    outer factor in the last step and gets no fewer than that, save in the refit of a second step.
     """
-    a = min(left, right)
-    inner, outer_left, outer_right = sparsity * a, sparsity * left, sparsity * right
-    last = n_factors - 2
+    top, a, last = TopRowCol, min(left, right), n_factors - 2
+    inner, outer_left, outer_right = top(sparsity * a), top(sparsity * left), top(sparsity * right)
+    constant: list[Constraint] = [Const()] if constant_first else []
     steps: list[Step] = []
-    top = TopRowCol
     for k in range(n_factors - 1):
+        # which of the factors after the constant one is split off: -1 for the constant itself
+        place = k - len(constant)
         if residual_on_right:
-            rest = max(inner, int(right * a / 2 ** (k if constant_first else k + 1)))
-            head: list[Constraint] = [Const(), top(outer_left)] if constant_first else [top(outer_left)]
-            between = [top(inner)] * (k - 1 if constant_first else k)
-            if k == 0:
-                split: list[Constraint] = [Const(), Ident()] if constant_first else [top(outer_left), top(rest)]
-                steps.append(Step(split, split))
-            elif constant_first and k == 1:
-                steps.append(Step([top(outer_left), top(rest)], [*head, top(rest)]))
-            else:
-                end = top(max(outer_right, rest)) if k == last else top(rest)
-                first = top(outer_left) if k == last else top(inner)
-                steps.append(Step([first, end], [*head, *between, end]))
+            rest = top(max(inner.total, int(right * a / 2 ** (place + 1))))
+            settled = [*constant, outer_left, *[inner] * k][: k + 1]
+            final = top(max(outer_right.total, rest.total)) if k == last and place > 0 else rest
+            end: Constraint = Ident() if place < 0 else final
+            first = outer_left if k == last and place > 0 else settled[k]
+            steps.append(Step([first, end], [*settled, rest if k == 1 else end]))
         else:
-            rest = max(inner, int(left * a / 2 ** (k + 1)))
-            if k == last:
-                if constant_first:
-                    steps.append(Step([Const(), top(outer_left)], [Const(), top(outer_left), *[top(inner)] * (k - 1), top(outer_right)]))
-                else:
-                    steps.append(Step([top(rest), top(inner)], [top(outer_left), *[top(inner)] * k, top(outer_right)]))
-            elif k == 0:
-                steps.append(Step([top(rest), top(outer_right)], [top(rest), top(outer_right)]))
+            rest = top(max(inner.total, int(left * a / 2 ** (k + 1))))
+            settled = [*[inner] * k, outer_right]
+            if k < last:
+                steps.append(Step([rest, settled[0]], [rest, *settled]))
+            elif constant_first:
+                steps.append(Step([Const(), outer_left], [Const(), outer_left, *settled[1:]]))
             else:
-                steps.append(Step([top(rest), top(inner)], [top(rest), *[top(inner)] * k, top(outer_right)]))
+                steps.append(Step([rest, inner], [outer_left, *settled]))
     return steps
 
 

@@ -1,21 +1,24 @@
 """K-means whose centroid matrix is a scaled product of sparse factors.
 
 Each iteration is one distributed pass (assignment, counts, sums) and one factorisation of the K x d weighted
-means on the driver. The executors get the dense product: at a few hundred dimensions one matrix product per
-batch beats a chain of sparse ones; ``Chain.dot`` applies the chain where that is wanted.
+means on the driver. A pass gives the executors the dense product: at a few hundred dimensions one matrix product
+per batch beats a chain of sparse ones. A finished model keeps its factors sparse, and ``transform`` can apply them so.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from vecloom.operators.chain import Chain
-from vecloom.operators.dense import assign, pass_over
+from vecloom.operators.dense import BLOCK, assign, matrix, pass_over
 from vecloom.operators.factorize import Constraint, Factorization, Step, budgets, flat_budget, hierarchical, palm, start_factors
 from vecloom.operators.lloyd import repair
+from vecloom.shipping import ship
 
 
 @dataclass
@@ -30,7 +33,7 @@ class FactorizedKMeansModel:
 
     @property
     def chain(self) -> Chain:
-        return Chain([self.scale * self.factors[0], *self.factors[1:]])
+        return Chain([self.scale * self.factors[0], *self.factors[1:]]).sparse()
 
     @property
     def centroids(self) -> np.ndarray:
@@ -40,8 +43,33 @@ class FactorizedKMeansModel:
     def n_param(self) -> int:
         return Chain(self.factors).non_zeros()
 
-    def transform(self, points: DataFrame, keep: tuple[str, ...] = ("id",)) -> DataFrame:
-        return assign(points, self.centroids, keep=keep)
+    def transform(self, points: DataFrame, keep: tuple[str, ...] = ("id",), factored: bool = False) -> DataFrame:
+        """``keep`` columns, k and d2. factored: by the sparse factors one after the other instead of their product."""
+        return assign_factored(points, self.chain, keep) if factored else assign(points, self.centroids, keep=keep)
+
+
+def assign_factored(points: DataFrame, chain: Chain, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The assignment to the rows of a chain, which goes to the executors as its non-zeros and is multiplied factor by factor.
+
+    Among centroids as near as rounding can tell the lowest is taken.
+    """
+    ship(points.sparkSession)
+    held = points.sparkSession.sparkContext.broadcast((chain, (chain.product() ** 2).sum(axis=1)))
+    schema = ", ".join(f"{n} {t}" for n, t in points.select(*keep).dtypes) + ", k int, d2 double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors, norms = held.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                x = matrix(part.column("x"))
+                score = norms - 2 * factors.dot(x.T).T
+                best = score.min(axis=1, keepdims=True)
+                k = (score <= best + 1e-9 * (1 + np.abs(best) + norms.max(initial=0))).argmax(axis=1)
+                d2 = np.maximum(score[np.arange(len(x)), k] + (x * x).sum(axis=1), 0)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(k.astype(np.int32)), pa.array(d2)], names=[*keep, "k", "d2"])
+
+    return points.select(*dict.fromkeys([*keep, "x"])).mapInArrow(run, schema)
 
 
 def default_factors(k: int, d: int) -> int:
@@ -77,7 +105,7 @@ def factorized_kmeans(
     flat: list[Constraint] = flat_budget(k, d, n_factors + 1, sparsity, constant_first=True)
 
     def factorise(target: np.ndarray, chain: list[np.ndarray], scale: float, in_steps: bool) -> Factorization:
-        if in_steps and on_right:
+        if in_steps:
             return hierarchical(target, chain, steps, scale, on_right, palm_iter, delta)[0]
         return palm(target, chain, flat, scale, palm_iter, delta)
 

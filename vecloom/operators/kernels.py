@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions.vectors import sq_dist, sq_norm
 from vecloom.operators.chain import hadamard_sign
-from vecloom.operators.dense import BLOCK, matrix
+from vecloom.operators.dense import BLOCK, matrix, small
 from vecloom.operators.lloyd import first_by_hash
 from vecloom.operators.positions import with_position
 from vecloom.shipping import ship
@@ -28,7 +28,7 @@ def rbf(d2: Column, gamma: float) -> Column:
 
 def kernel_table(points: DataFrame, landmarks: DataFrame, gamma: float) -> DataFrame:
     """(id, k, v): the kernel of each point with each row of a small table (k, u)."""
-    return points.join(F.broadcast(landmarks)).select("id", "k", rbf(sq_dist(F.col("x"), F.col("u")), gamma).alias("v"))
+    return points.join(F.broadcast(small(landmarks))).select("id", "k", rbf(sq_dist(F.col("x"), F.col("u")), gamma).alias("v"))
 
 
 def rbf_matrix(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:

@@ -7,12 +7,14 @@ the objective of new centroids with old assignments (they differ, and both are i
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vecloom.functions.vectors import sq_dist
 from vecloom.operators.dense import Sums, assign, pass_over
 
 POLICIES = ("farthest", "random", "zero", "error")
@@ -42,17 +44,41 @@ def project_l1(v: np.ndarray, radius: float, slack: float = 0.0) -> np.ndarray:
     return np.sign(v) * np.maximum(size - max(cut, 0.0), 0.0)
 
 
-def _stolen(points: DataFrame, centroids: np.ndarray, donor: int, empty: int, taken: list[int], policy: str, seed: int) -> tuple[int, np.ndarray] | None:
-    """A member of the donor that becomes the empty cluster's only point: one row leaves Spark."""
-    members = assign(points, centroids, keep=("id", "x")).filter((F.col("k") == donor) & ~F.col("id").isin(taken))
-    if policy == "farthest":
-        old = F.array(*[F.lit(float(v)) for v in centroids[empty]])
-        far = F.aggregate(F.zip_with("x", old, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        rank = F.struct(far, -F.col("id"))
-    else:
-        rank = F.struct(F.xxhash64(F.col("id"), F.lit(seed), F.lit(empty)), -F.col("id"))
-    row = members.agg(F.max_by(F.struct("id", "x"), rank).alias("best")).first()["best"]
-    return None if row is None else (row["id"], np.array(row["x"], np.float64))
+def donors(counts: np.ndarray) -> list[tuple[int, int]]:
+    """(empty cluster, donor) in order of ids: the donor is the then largest cluster, the lowest id of ties, with two members or more."""
+    counts, out = counts.copy(), []
+    for c in np.flatnonzero(counts == 0):
+        donor = int(counts.argmax())
+        if counts[donor] >= 2:
+            counts[donor] -= 1
+            counts[c] = 1
+            out.append((int(c), donor))
+    return out
+
+
+def _stolen(points: DataFrame, centroids: np.ndarray, wanted: list[tuple[int, int]], policy: str, seed: int) -> dict[int, tuple[int, np.ndarray]]:
+    """For each empty cluster the id and vector of the member that it takes, no member twice.
+
+    Two passes whatever the number of empty clusters: the first ranks for each the members of its donor, of which
+    as many are kept as clusters take from it; the second fetches the chosen vectors.
+    """
+    spark = points.sparkSession
+    times = Counter(donor for _, donor in wanted)
+    rows = [(c, donor, times[donor], [float(v) for v in centroids[c]]) for c, donor in wanted]
+    table = F.broadcast(spark.createDataFrame(rows, "c int, donor int, most int, u array<double>"))  # K rows at most
+    members = assign(points, centroids, keep=("id", "x")).join(table, F.col("k") == F.col("donor"))
+    rank = -sq_dist(F.col("x"), F.col("u")) if policy == "farthest" else -F.xxhash64(F.col("id"), F.lit(seed), F.col("c")).cast("double")
+    place = F.row_number().over(Window.partitionBy("c").orderBy("rank", "id"))
+    first = members.select("c", "most", "id", rank.alias("rank")).withColumn("place", place).filter(F.col("place") <= len(wanted)).filter(F.col("place") <= F.col("most"))
+    order: dict[int, list[int]] = {}
+    for r in sorted(first.collect(), key=lambda r: (r["c"], r["place"])):  # K * K ids at most
+        order.setdefault(r["c"], []).append(r["id"])
+    chosen: dict[int, int] = {}
+    for c, _ in wanted:
+        chosen[c] = next(i for i in order[c] if i not in chosen.values())
+    ids = F.broadcast(spark.createDataFrame([(i,) for i in chosen.values()], "id long"))
+    vectors = {r["id"]: np.array(r["x"], np.float64) for r in points.select("id", "x").join(ids, "id").collect()}
+    return {c: (i, vectors[i]) for c, i in chosen.items()}
 
 
 def repair(points: DataFrame, centroids: np.ndarray, got: Sums, policy: str, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -62,21 +88,18 @@ def repair(points: DataFrame, centroids: np.ndarray, got: Sums, policy: str, see
     the point farthest from its own old centroid; random: one by the hash of its id. The point leaves the
     donor before means are taken. zero: the centroid becomes the zero vector. error: ValueError.
     """
-    counts, sums = got.counts.astype(np.float64), got.sums.copy()
-    empty = np.flatnonzero(got.counts == 0)
+    counts, sums = got.counts.copy(), got.sums.copy()
+    empty = np.flatnonzero(counts == 0)
     if len(empty) and policy == "error":
         raise ValueError(f"empty clusters: {empty.tolist()}")
-    taken: list[int] = []
-    if policy in ("farthest", "random"):
-        for c in empty:
-            donor = int(counts.argmax())
-            if counts[donor] < 2 or (found := _stolen(points, centroids, donor, int(c), taken, policy, seed)) is None:
-                continue
-            taken.append(found[0])
+    wanted = donors(counts) if policy in ("farthest", "random") else []
+    if wanted:
+        found = _stolen(points, centroids, wanted, policy, seed)
+        for c, donor in wanted:
             counts[donor] -= 1
-            sums[donor] -= found[1]
-            counts[c], sums[c] = 1, found[1]
-    return sums / np.maximum(counts, 1)[:, None], counts.astype(np.int64)
+            sums[donor] -= found[c][1]
+            counts[c], sums[c] = 1, found[c][1]
+    return sums / np.maximum(counts, 1)[:, None], counts
 
 
 def updated_objective(got: Sums, means: np.ndarray, old: np.ndarray) -> float:
@@ -125,9 +148,15 @@ def minibatch_kmeans(points: DataFrame, centroids: np.ndarray, max_iter: int = 1
     return kmeans(points, centroids, max_iter, delta, empty="zero", **options)
 
 
+def uniform(*parts: Column | int | str) -> Column:
+    """A number strictly between 0 and 1 from the md5 of the parts as text, joined by colons: 52 bits."""
+    text = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
 def first_by_hash(points: DataFrame, k: int, seed: int) -> np.ndarray:
-    """k rows uniformly at random, the same in every run: the first in the order of a hash of id and seed."""
-    rows = points.select("id", "x").orderBy(F.xxhash64(F.col("id"), F.lit(seed)), "id").limit(k).collect()
+    """k rows uniformly at random, the same in every run: the first in the order of a hash of seed and id."""
+    rows = points.select("id", "x").orderBy(uniform(seed, F.col("id")), "id").limit(k).collect()
     return np.array([r["x"] for r in rows], np.float64)
 
 
@@ -139,15 +168,21 @@ def plus_plus(points: DataFrame, k: int, seed: int = 0) -> np.ndarray:
     """
     chosen = first_by_hash(points, 1, seed)
     while len(chosen) < k:
-        u = F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(len(chosen))), F.lit(1 << 52)) / float(1 << 52) + 2.0**-54
         drawn = assign(points, chosen, keep=("id", "x")).filter("d2 > 0")
-        row = drawn.agg(F.min_by("x", F.struct(-F.log(u) / F.col("d2"), F.col("id"))).alias("x")).first()["x"]
+        e = -F.log(uniform(seed, len(chosen), F.col("id")))
+        row = drawn.agg(F.min_by("x", F.struct(e / F.col("d2"), F.col("id"))).alias("x")).first()["x"]
         if row is None:
             break
         chosen = np.vstack([chosen, np.array(row, np.float64)])
     return chosen
 
 
-def gaussian(k: int, d: int, seed: int = 0) -> np.ndarray:
-    """k standard normal vectors."""
-    return np.random.default_rng(seed).standard_normal((k, d))
+def gaussian_value(*parts: Column | int | str) -> Column:
+    """A standard normal number from a hash of the parts."""
+    return F.sqrt(F.log(uniform(*parts, 1)) * -2.0) * F.cos(uniform(*parts, 2) * 6.283185307179586)
+
+
+def gaussian(spark: SparkSession, k: int, d: int, seed: int = 0) -> np.ndarray:
+    """k standard normal vectors, each value a function of seed and place."""
+    rows = spark.range(k).select(F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: gaussian_value(seed, F.col("id"), i)).alias("x"), "id").orderBy("id").collect()
+    return np.array([r["x"] for r in rows], np.float64)

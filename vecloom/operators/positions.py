@@ -8,22 +8,23 @@ from pyspark.sql import functions as F
 from vecloom.durable import materialize
 
 
+#: Bits of a row's number within its partition in monotonically increasing ids.
+INSIDE = 33
+
+
 def with_position(df: DataFrame, order: str, name: str = "pos") -> DataFrame:
-    """``df`` with its 0-based position by ``order`` (unique values). Only the ordering column is sorted.
+    """``df`` with its 0-based position by ``order``; rows of equal value stand in any order.
 
-    Ids are dealt to ranges; a window numbers them inside a range, and the ranges' counts give the offsets.
+    Whole rows are dealt to ranges and sorted there, once; the numbers in a range and the ranges' counts give the positions.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.select(order).repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
-    dealt = materialize(dealt, "ranges")
-    counts = dealt.groupBy("_part").count()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_row", F.monotonically_increasing_id())
+    dealt = materialize(dealt, "ranges").withColumn("_part", F.shiftright("_row", INSIDE))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    offsets = dealt.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_offset"))
     # one row a range: bounded by the number of partitions
-    placed = dealt.withColumn("_inside", inside).join(F.broadcast(offsets), "_part").select(order, (F.col("_inside") + F.col("_offset")).cast("long").alias(name))
-    return df.join(placed, order)
+    inside = F.col("_row").bitwiseAND(F.lit((1 << INSIDE) - 1))
+    return dealt.join(F.broadcast(offsets), "_part").select(*df.columns, (inside + F.col("_offset")).alias(name))
 
 
 def with_prefix_sum(df: DataFrame, order: str, value: str, name: str = "cum") -> DataFrame:

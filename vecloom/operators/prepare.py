@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vecloom.operators.lloyd import gaussian_value, uniform
 from vecloom.operators.positions import with_position
 
 
@@ -91,16 +92,10 @@ def stratified_split(df: DataFrame, key: str, label: str, test_share: float) ->
 
 def blobs(spark: SparkSession, n: int, d: int, centers: int, std: float = 1.0, seed: int = 0) -> DataFrame:
     """(id, x, label): Gaussian points around centres uniform in -10..10; every value is a function of id and seed."""
-
-    def uniform(*parts: Column | int) -> Column:
-        columns = [p if isinstance(p, Column) else F.lit(p) for p in parts]
-        return (F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
-
     label = F.pmod("id", F.lit(centers)).cast("int")
 
     def value(i: Column) -> Column:
-        noise = F.sqrt(F.log(uniform(F.col("id"), i, 1)) * -2.0) * F.cos(uniform(F.col("id"), i, 2) * 6.283185307179586)
-        return uniform(F.col("label"), i, 3) * 20.0 - 10.0 + noise * std
+        return uniform(seed, "c", F.col("label"), i) * 20.0 - 10.0 + gaussian_value(seed, F.col("id"), i) * std
 
     return spark.range(n).withColumn("label", label).select("id", F.transform(F.sequence(F.lit(1), F.lit(d)), value).alias("x"), "label")
 

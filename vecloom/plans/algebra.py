@@ -13,8 +13,8 @@ from vecloom.functions.vectors import pad_pow2
 from vecloom.operators import chain as c
 from vecloom.operators import projections as pr
 from vecloom.operators.factorize import TopRowCol, budgets, flat_budget, hierarchical, palm, start_factors
-from vecloom.plans.clustering import coordinates, rounded
-from vecloom.plans.registry import POINTS, query
+from vecloom.plans.clustering import centroid_table, coordinates, rounded
+from vecloom.plans.registry import POINTS, gaussian, query, text
 from vecloom.sources.tables import first_rows, load, points
 
 N = 8
@@ -86,19 +86,19 @@ def param_count(spark, sf_dir):
 
 @query(
     f"WITH {POINTS} SELECT a.id, CAST(i AS INTEGER) AS i, round(sum(CASE WHEN bit_count(i & j) % 2 = 0 THEN v ELSE -v END), 6) + 0.0 AS v "
-    "FROM (SELECT id, unnest(x) AS v, unnest(range(0, len(x))) AS j FROM p WHERE id < 100) a, (SELECT unnest(range(0, 64)) AS i) GROUP BY a.id, i"
+    "FROM (SELECT id, unnest(x) AS v, unnest(range(0, len(x))) AS j FROM p) a, (SELECT unnest(range(0, 64)) AS i) GROUP BY a.id, i"
 )
 def hadamard_apply(spark, sf_dir):
-    return c.hadamard_apply(points(spark, sf_dir).filter("id < 100").select("id", "x")).select("id", "i", rounded("v"))
+    return c.hadamard_apply(points(spark, sf_dir).select("id", "x")).select("id", "i", rounded("v"))
 
 
 @query(
     f"WITH {POINTS}, o AS (SELECT i, list_sum(list_transform(range(0, 6), lambda b: ((xor(i, i >> 1) >> b) & 1) << (5 - b))) AS nat FROM (SELECT unnest(range(0, 64)) AS i)) "
     "SELECT a.id, CAST(o.i AS INTEGER) AS i, round(sum(CASE WHEN bit_count(CAST(nat AS BIGINT) & j) % 2 = 0 THEN v ELSE -v END) / 64, 6) + 0.0 AS v "
-    "FROM (SELECT id, unnest(x) AS v, unnest(range(0, len(x))) AS j FROM p WHERE id < 100) a, o GROUP BY a.id, o.i"
+    "FROM (SELECT id, unnest(x) AS v, unnest(range(0, len(x))) AS j FROM p) a, o GROUP BY a.id, o.i"
 )
 def sequency_transform(spark, sf_dir):
-    return c.sequency_transform(points(spark, sf_dir).filter("id < 100").select("id", "x"), 6).select(F.col("id"), F.col("i").cast("int").alias("i"), rounded("v"))
+    return c.sequency_transform(points(spark, sf_dir).select("id", "x"), 6).select(F.col("id"), F.col("i").cast("int").alias("i"), rounded("v"))
 
 
 @query("SELECT i, xor(i, i >> 1) AS code, lpad(to_base(xor(i, i >> 1), 2), 8, '0') AS bits FROM (SELECT unnest(range(0, 256)) AS i)")
@@ -126,9 +126,23 @@ def structured_landmarks(spark, sf_dir):
     return rows.select("id", "i", F.posexplode("x").alias("pos", "v")).select("id", "i", "pos", rounded("v"))
 
 
-@query()
+@query(
+    f"WITH {POINTS}, s AS (SELECT id AS k, x AS u FROM p WHERE id < 3) SELECT a.id, CAST(a.k AS INTEGER) AS k, CAST(i AS INTEGER) AS i, round(sum(CASE WHEN bit_count(i & j) % 2 = 0 THEN v ELSE -v END), 6) + 0.0 AS v "
+    "FROM (SELECT p.id, s.k, unnest(list_transform(list_zip(x, u), lambda z: z[1] * z[2])) AS v, unnest(range(0, len(x))) AS j FROM p, s) a, (SELECT unnest(range(0, 64)) AS i) GROUP BY a.id, a.k, i"
+)
+def structured_operator(spark, sf_dir):
+    pts = points(spark, sf_dir)
+    return c.structured_apply(pts, centroid_table(spark, first_rows(pts, 3))).select("id", "k", "i", rounded("v"))
+
+
+_FACTOR = "(SELECT id, id // 96 AS q, id // 3 % 32 AS r, id % 3 AS b FROM (SELECT unnest(range(0, 384)) AS id))"
+
+
+@query(
+    f"SELECT CAST(q AS INTEGER) AS q, CAST((r * 17 + q * 3 + 1) % 32 AS INTEGER) AS i, CAST(((r + b) % 32 * 17 + q * 5 + 2) % 32 AS INTEGER) AS j, round({gaussian(repr('1'), text('id'))}, 6) + 0.0 AS v FROM {_FACTOR}"
+)
 def random_factors(spark, sf_dir):
-    return c.random_factors(spark, 32, 4, 3, seed=1)
+    return c.random_factors(spark, 32, 4, 3, seed=1).select("q", "i", "j", rounded("v"))
 
 
 _COST = "n * (2.0 * (least(k, d) * log2(least(k, d)) + greatest(k, d))) + CAST(least(k, d) AS DOUBLE) * greatest(k, d) + n * d"

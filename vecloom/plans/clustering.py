@@ -11,7 +11,7 @@ from vecloom.functions.vectors import l1_ball, l1_norm, sq_dist, sq_norm
 from vecloom.operators import dense, lloyd, prepare
 from vecloom.operators.factorized_kmeans import factorized_after_kmeans, factorized_kmeans
 from vecloom.operators.positions import with_prefix_sum
-from vecloom.plans.registry import COORDINATES, POINTS, assigned, averaged, first_centroids, query, sq
+from vecloom.plans.registry import COORDINATES, POINTS, assigned, averaged, first_centroids, gaussian, plus_plus, projected, query, sq, text
 from vecloom.plans.registry import lloyd as lloyd_sql
 from vecloom.sources.tables import feature_points, first_rows, load, points
 from vecloom.streaming.running_means import RunningMeans, cluster_stream
@@ -200,12 +200,15 @@ def l1_ball_projection(spark, sf_dir):
     return pts.select("id", F.posexplode(l1_ball(F.col("x"), 2.0)).alias("pos", "value")).select("id", "pos", rounded("value"))
 
 
-@query()
+_LLOYD_L1 = ",\n".join([f"WITH {POINTS}, {first_centroids(K)}"] + [f"{assigned(f'a{i}', f'c{i}')}, {averaged(f'm{i}', f'a{i}')}, {projected(f'c{i + 1}', f'm{i}', 2.0)}" for i in range(3)])
+
+
+@query(_LLOYD_L1 + "\nSELECT CAST(k AS INTEGER) AS k, round(list_sum(list_transform(u, lambda v: abs(v))), 6) AS l1, CAST(len(list_filter(u, lambda v: abs(v) > 1e-12)) AS INTEGER) AS non_zeros FROM c3")
 def lloyd_l1(spark, sf_dir):
     pts = points(spark, sf_dir)
-    model = lloyd.kmeans(pts, first_rows(pts, K), max_iter=3, l1_radius=2.0)
+    model = lloyd.kmeans(pts, first_rows(pts, K), max_iter=3, delta=0.0, l1_radius=2.0)
     table = centroid_table(spark, model.centroids)
-    return table.select("k", F.round(l1_norm(F.col("u")), 6).alias("l1"), F.size(F.filter("u", lambda v: v != 0)).alias("non_zeros"))
+    return table.select("k", F.round(l1_norm(F.col("u")), 6).alias("l1"), F.size(F.filter("u", lambda v: F.abs(v) > 1e-12)).alias("non_zeros"))
 
 
 @query("SELECT vec_id AS id FROM (SELECT vec_id, row_number() OVER (ORDER BY md5('3:' || CAST(vec_id AS VARCHAR)), vec_id) AS r FROM embeddings) WHERE r <= 10")
@@ -228,27 +231,27 @@ def evaluation_subsample(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").orderBy(key, "l_orderkey", "l_linenumber").limit(200)
 
 
+@query(plus_plus(6, 1) + "\nSELECT CAST(n AS INTEGER) AS k, CAST(i AS INTEGER) AS pos, round(v, 6) + 0.0 AS value FROM (SELECT n, unnest(x) AS v, unnest(range(0, len(x))) AS i FROM x6)")
+def kmeanspp_init(spark, sf_dir):
+    pts = points(spark, sf_dir)
+    return coordinates(spark, lloyd.plus_plus(pts, 6, seed=1))
+
+
 @query(
     f"WITH {POINTS}, c0 AS (SELECT id AS k, x AS u FROM p WHERE id < 3), {assigned('a', 'c0')}, "
     "s AS (SELECT id, d, sum(d) OVER (ORDER BY id) AS cum, sum(d) OVER () AS total FROM a) SELECT min(id) AS id, round(max(total), 6) AS total FROM s WHERE cum >= total * 0.375"
 )
-def kmeanspp_step(spark, sf_dir):
-    """The draw of one k-means++ round at the quantile 0.375, by prefix sums over ranges of ids."""
+def prefix_sum_draw(spark, sf_dir):
+    """The row at the quantile 0.375 of the squared distances, by prefix sums over ranges of ids."""
     pts = points(spark, sf_dir)
     cum = with_prefix_sum(dense.assign(pts, first_rows(pts, 3)), "id", "d2")
     total = cum.agg(F.max("cum").alias("total"))
     return cum.join(F.broadcast(total)).filter(F.col("cum") >= F.col("total") * 0.375).agg(F.min("id").alias("id"), F.round(F.max("total"), 6).alias("total"))
 
 
-@query()
-def kmeanspp_init(spark, sf_dir):
-    pts = points(spark, sf_dir)
-    return coordinates(spark, lloyd.plus_plus(pts, 6, seed=1))
-
-
-@query()
+@query(f"SELECT CAST(k AS INTEGER) AS k, CAST(pos AS INTEGER) AS pos, round({gaussian(repr('1'), text('k'), text('pos'))}, 6) + 0.0 AS value FROM (SELECT unnest(range(0, 8)) AS k), (SELECT unnest(range(0, 64)) AS pos)")
 def gaussian_init(spark, sf_dir):
-    return coordinates(spark, lloyd.gaussian(K, 64, seed=1))
+    return coordinates(spark, lloyd.gaussian(spark, K, 64, seed=1))
 
 
 @query("SELECT o_orderkey AS id, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS BIGINT) AS batch FROM orders")
@@ -286,6 +289,14 @@ def factorized_kmeans_assign(spark, sf_dir):
     return factorized_kmeans(pts, first_rows(pts, 16), n_factors=3, sparsity=4, max_iter=3, palm_iter=20).transform(pts)
 
 
+@query()
+def factorized_kmeans_wide(spark, sf_dir):
+    """More centroids than dimensions, factorised in steps from the right; assigned by the sparse factors."""
+    pts = points(spark, sf_dir).withColumn("x", F.slice("x", 1, 16))
+    model = factorized_kmeans(pts, first_rows(pts, 64), n_factors=3, sparsity=4, max_iter=2, palm_iter=10, hierarchical_init=True, hierarchical_inside=True)
+    return model.transform(pts, factored=True).select("id", "k", rounded("d2"))
+
+
 @query()
 def kmeans_then_factorized(spark, sf_dir):
     pts = points(spark, sf_dir)
@@ -293,15 +304,24 @@ def kmeans_then_factorized(spark, sf_dir):
     return factorized_after_kmeans(model.centroids, n_factors=3, sparsity=4, palm_iter=20).transform(pts)
 
 
-@query()
+_EVEN, _ODD = "(SELECT * FROM p WHERE id % 2 = 0)", "(SELECT * FROM p WHERE id % 2 = 1)"
+_RUNNING = f"""WITH {POINTS}, {first_centroids(K)}, {assigned('a0', 'c0', _EVEN)}, {averaged('m0', 'a0')},
+c1 AS (SELECT c0.k, coalesce(m0.u, c0.u) AS u, coalesce(n, 0) AS n FROM c0 LEFT JOIN m0 ON c0.k = m0.k LEFT JOIN (SELECT k, count(*) AS n FROM a0 GROUP BY k) q ON c0.k = q.k),
+{assigned('a1', 'c1', _ODD)}, {averaged('m1', 'a1')},
+c2 AS (SELECT c1.k, CASE WHEN m1.u IS NULL THEN c1.u ELSE list_transform(list_zip(c1.u, m1.u), lambda z: (z[1] * c1.n + z[2] * q.n) / (c1.n + q.n)) END AS u
+  FROM c1 LEFT JOIN m1 ON c1.k = m1.k LEFT JOIN (SELECT k, count(*) AS n FROM a1 GROUP BY k) q ON c1.k = q.k)
+"""
+
+
+@query(_RUNNING + COORDINATES.format("c2"))
 def streaming_running_means(spark, sf_dir):
-    """The points as a stream of files in micro-batches; running means keep their counts."""
+    """Points as a stream: the even ids arrive first, the odd ones are found by a query that starts again from the checkpoint."""
     pts = points(spark, sf_dir)
-    source = new_path(spark, "stream-points")
-    pts.select("id", "x").repartition(4, "id").write.parquet(source)
-    stream = spark.readStream.schema("id long, x array<double>").option("maxFilesPerTrigger", 2).parquet(source)
-    state = RunningMeans.start(first_rows(pts, K))
-    cluster_stream(stream, state, new_path(spark, "stream-state")).awaitTermination()
+    source, checkpoint = new_path(spark, "stream-points"), new_path(spark, "stream-state")
+    for r in (0, 1):
+        pts.filter(F.col("id") % 2 == r).select("id", "x").write.mode("append").parquet(source)
+        state = RunningMeans.start(first_rows(pts, K))
+        cluster_stream(spark.readStream.schema("id long, x array<double>").parquet(source), state, checkpoint).awaitTermination()
     return coordinates(spark, state.centroids)
 
 

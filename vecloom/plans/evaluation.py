@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vecloom.functions.vectors import dot
 from vecloom.operators import evaluate as ev
 from vecloom.operators import kernels as kn
 from vecloom.operators import lloyd
@@ -47,6 +48,17 @@ def nystrom_embedding(spark, sf_dir):
     return z.select("id", F.posexplode("z").alias("pos", "value")).select("id", "pos", rounded("value", 4))
 
 
+@query(f"WITH {POINTS}, {first_centroids(16)} SELECT p.id, CAST(c0.k AS INTEGER) AS k, round(exp(-0.7 * {sq('p.x', 'c0.u')}), 5) + 0.0 AS v FROM p, c0")
+def nystrom_gram(spark, sf_dir):
+    """Products of every point's embedding with the landmarks' embeddings: the kernel itself, wherever one side is a landmark."""
+    pts = points(spark, sf_dir)
+    u = first_rows(pts, 16)
+    model = kn.Nystrom(u, GAMMA)
+    held = spark.createDataFrame([(k, [float(v) for v in z]) for k, z in enumerate(model.embed(u))], "k int, u array<double>")
+    both = model.transform(pts).join(F.broadcast(held))
+    return both.select("id", "k", (F.round(dot(F.col("z"), F.col("u")), 5) + 0.0).alias("v"))
+
+
 @query()
 def nystrom_errors(spark, sf_dir):
     """The reconstruction error of the five landmark families."""

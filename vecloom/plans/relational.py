@@ -10,7 +10,7 @@ from vecloom.durable import new_path
 from vecloom.operators import prepare as pp
 from vecloom.operators import report as rp
 from vecloom.plans.clustering import rounded
-from vecloom.plans.registry import POINTS, query
+from vecloom.plans.registry import POINTS, gaussian, query, text, uniform
 from vecloom.sources.tables import feature_points, load, points, read_centroids, read_delimited, read_raw_matrix, write_centroids, write_trace
 
 
@@ -82,9 +82,13 @@ def stratified_split(spark, sf_dir):
     return pp.stratified_split(load(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", "label", 0.33)
 
 
-@query()
+_BLOB = f"{uniform(repr('1'), repr('c'), text('id % 8'), text('i'))} * 20.0 - 10.0 + {gaussian(repr('1'), text('id'), text('i'))}"
+
+
+@query(f"SELECT id, CAST(id % 8 AS INTEGER) AS label, CAST(i - 1 AS INTEGER) AS pos, round({_BLOB}, 6) + 0.0 AS value FROM (SELECT unnest(range(0, 500)) AS id), (SELECT unnest(range(1, 5)) AS i)")
 def blobs(spark, sf_dir):
-    return pp.blobs(spark, 500, 4, 8, seed=1).select("id", "label", F.posexplode("x").alias("pos", "value"))
+    rows = pp.blobs(spark, 500, 4, 8, seed=1).select("id", "label", F.posexplode("x").alias("pos", "value"))
+    return rows.withColumn("value", F.round("value", 6) + 0.0)
 
 
 @query("SELECT l_orderkey AS id, round(sum(l_quantity + l_extendedprice + l_discount + l_tax), 4) AS total FROM lineitem GROUP BY l_orderkey")
@@ -220,7 +224,7 @@ def grid_expand(spark, sf_dir):
 
 def traces(spark, sf_dir: str) -> DataFrame:
     """Objective traces: an order is a run, its lines are iterations, the remaining price is the objective."""
-    lines = load(spark, sf_dir, "lineitem").filter("l_orderkey < 2000").groupBy("l_orderkey", "l_linenumber", "l_returnflag").agg(F.sum("l_extendedprice").alias("price"))
+    lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_returnflag").agg(F.sum("l_extendedprice").alias("price"))
     rows = lines.groupBy("l_orderkey", "l_linenumber").agg(F.sum("price").alias("price"), F.min("l_returnflag").alias("flag"))
     run = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
     every = Window.partitionBy("l_orderkey")
@@ -229,7 +233,7 @@ def traces(spark, sf_dir: str) -> DataFrame:
     )
 
 
-_TR = """l AS (SELECT l_orderkey, l_linenumber, sum(l_extendedprice) AS price, min(l_returnflag) AS flag FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1, 2),
+_TR = """l AS (SELECT l_orderkey, l_linenumber, sum(l_extendedprice) AS price, min(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2),
 t AS (SELECT min(flag) OVER (PARTITION BY l_orderkey) AS model, l_orderkey AS run, CAST(row_number() OVER w AS INTEGER) AS iter,
   sum(price) OVER (PARTITION BY l_orderkey) / row_number() OVER w + price * 0.1 AS objective FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber))"""
 
