@@ -6,8 +6,9 @@ the listed keys; level 2 the keys of the corpus that level 1 takes for listed th
 the listed keys that level 2 takes for those; and so on until no key is left. As every key of the corpus
 was looked at, membership is exact for all of them, without a join when urls are judged.
 
-Level 1's error rate is listed/(sqrt(2)*unlisted), so each later level holds fewer keys than the list, and
-the whole cascade about 1.44*log2(unlisted/listed) + 4 bits for each listed key.
+Level 1's error rate is listed/(sqrt(2)*unlisted), so each later level holds fewer keys than the list; theirs is
+LATER_ERROR, which keeps the levels few. The whole cascade has about 1.44*log2(unlisted/listed) + 8 bits for each
+listed key: a list of any length is judged so, its levels being literals of the plan (1 million rules: some 4 MB).
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.durable import materialize
+from vecloom.durable import broadcast_if_small, materialize
 
-#: Larger lists are judged by joins (`judge_by_join`): the levels would no longer be small literals of a plan.
-MAX_LISTED = 20_000
+#: Error rate of the levels after the first.
+LATER_ERROR = 1 / 16
+#: Lists are broadcast for the one join that finds the unlisted keys up to this many keys (some MB), else shuffled.
+MAX_BROADCAST_ROWS = 100_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,17 +70,19 @@ class Level:
     words: tuple[int, ...]
 
     @staticmethod
-    def positions(key: Column, number: int, bits: int, hashes: int) -> list[Column]:
-        first = F.pmod(F.xxhash64(key, F.lit(2 * number)), F.lit(bits))
-        second = F.pmod(F.xxhash64(key, F.lit(2 * number + 1)), F.lit(bits))
-        return [F.pmod(first + second * i, F.lit(bits)) for i in range(hashes)]
+    def positions(key: Column, number: int, bits: int, hashes: int) -> Column:
+        """An array of the key's bits."""
+        first, second = F.pmod(F.xxhash64(key, F.lit(2 * number)), F.lit(bits)), F.pmod(F.xxhash64(key, F.lit(2 * number + 1)), F.lit(bits))
+        both = F.array(F.struct(first.alias("first"), second.alias("second")))  # a one-element array is a let
+        steps = F.sequence(F.lit(0), F.lit(hashes - 1))
+        return F.flatten(F.transform(both, lambda h: F.transform(steps, lambda i: F.pmod(h["first"] + h["second"] * i, F.lit(bits)))))
 
     @classmethod
     def build(cls, keys: DataFrame, count: int, number: int, error: float) -> Level:
         """From a frame of distinct keys; the bits are gathered as 64-bit words, at most one a set bit."""
         bits = max(64, math.ceil(-count * math.log(error) / math.log(2) ** 2 / 64) * 64)
         hashes = max(1, min(30, round(bits / max(1, count) * math.log(2))))
-        set_bits = keys.select(F.explode(F.array(*cls.positions(F.col("key"), number, bits, hashes))).alias("bit"))
+        set_bits = keys.select(F.explode(cls.positions(F.col("key"), number, bits, hashes)).alias("bit"))
         one = F.expr("shiftleft(1L, cast(bit % 64 as int))")
         rows = set_bits.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(one).alias("value")).collect()
         words = [0] * (bits // 64)
@@ -86,12 +91,9 @@ class Level:
         return cls(number, bits, hashes, tuple(words))
 
     def has(self, key: Column) -> Column:
-        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-        hit = None
-        for at in self.positions(key, self.number, self.bits, self.hashes):
-            bit = F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
-            hit = bit if hit is None else hit & bit
-        return hit
+        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to one literal
+        is_set = lambda at: F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+        return F.forall(self.positions(key, self.number, self.bits, self.hashes), is_set)
 
 
 @dataclass(frozen=True)
@@ -105,7 +107,7 @@ class Cascade:
         n_listed = listed.count()
         if n_listed == 0:
             return cls(())
-        unlisted = materialize(universe.select("key").distinct().join(F.broadcast(listed) if n_listed <= MAX_LISTED else listed, "key", "left_anti"), "unlisted")
+        unlisted = materialize(universe.select("key").distinct().join(broadcast_if_small(listed, MAX_BROADCAST_ROWS), "key", "left_anti"), "unlisted")
         n_unlisted = unlisted.count()
         inside, outside, n = listed, unlisted, n_listed
         error = min(0.5, n_listed / (math.sqrt(2) * max(1, n_unlisted)))
@@ -114,7 +116,7 @@ class Cascade:
             level = Level.build(inside, n, len(levels), error)
             levels.append(level)
             wrong = materialize(outside.filter(level.has(F.col("key"))), "taken")
-            inside, outside, n, error = wrong, inside, wrong.count(), 0.5
+            inside, outside, n, error = wrong, inside, wrong.count(), LATER_ERROR
             if len(levels) > 200:
                 raise RuntimeError("the levels do not separate the keys")
         return cls(tuple(levels))
@@ -127,15 +129,25 @@ class Cascade:
         return out
 
 
-def candidate(host: Column, path: Column, shape: tuple[int, int]) -> Column:
-    """A url's key of that shape, or null if its host has fewer labels or its path is shorter."""
-    labels, length = shape
-    fits = (F.size(F.split(host, r"\.")) >= labels) & (F.length(path) >= length) & (host != "")
-    return F.when(fits, F.concat(F.substring_index(host, ".", -labels), F.substring(path, 1, length)))
+def candidates(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """A url's keys (length, host: less the path's length, key), one of each shape for which it has labels and path enough."""
+    labels, lengths = (F.split(F.lit(",".join(str(s[i]) for s in shapes)), ",").cast("array<int>") for i in (0, 1))
+    url = F.array(F.struct(host.alias("host"), path.alias("path"), F.size(F.split(host, r"\.")).alias("labels"), F.length(path).alias("length")))
+
+    def keys(u: Column) -> Column:
+        def key(n: Column, i: Column) -> Column:
+            long = F.get(lengths, i)
+            text = F.concat(F.call_function("substring_index", u["host"], F.lit("."), -n), F.substring(u["path"], F.lit(1), long))
+            made = F.struct(F.length(text).alias("length"), (-long).alias("host"), text.alias("key"))
+            return F.when((u["labels"] >= n) & (u["length"] >= long), made)
+
+        return F.filter(F.transform(labels, key), lambda k: k.isNotNull() & (u["host"] != ""))
+
+    return F.flatten(F.transform(url, keys))
 
 
 def rule_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    return spark.createDataFrame([(r.key, r.verdict, len(r.key), len(r.host)) for r in rules], "key string, verdict string, length int, host_length int")
+    return spark.createDataFrame([(r.key, r.verdict) for r in rules], "key string, verdict string")
 
 
 def judge(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url", otherwise: str = "allow") -> DataFrame:
@@ -150,41 +162,21 @@ def judge(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_c
         raise ValueError("a rule is given twice")
     # Spark must not fold the parts of the url into each of many expressions: they are made once here
     parts = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    if len(rules) > MAX_LISTED:
-        return judge_by_join(parts, rules, otherwise)
     shapes = sorted({r.shape for r in rules})
     if not shapes:
         return parts.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
-    keys = F.array_compact(F.array(*[candidate(F.col("host"), F.col("path"), s) for s in shapes]))
-    universe = parts.select("host", F.substring("path", 1, max(n for _, n in shapes)).alias("path")).distinct().select(F.explode(keys).alias("key"))
+    keys = candidates(F.col("host"), F.col("path"), shapes)
+    universe = parts.select("host", F.substring("path", 1, max(n for _, n in shapes)).alias("path")).distinct().select(F.explode(keys)["key"].alias("key"))
     listed = rule_frame(pages.sparkSession, rules)
     cascade = Cascade.build(listed, universe)
     # which of the listed keys block is another membership question: its universe is the list itself
     blocking = Cascade.build(listed.filter("verdict = 'block'"), listed)
-
-    found = []
-    for shape in shapes:
-        key = candidate(F.col("host"), F.col("path"), shape)
-        found.append(F.when(key.isNotNull() & cascade.member(key), F.struct(F.length(key).alias("length"), F.lit(-shape[1]).alias("host"), key.alias("key"))))
-    best = F.array_max(F.array_compact(F.array(*found)))["key"]
-    judged = parts.withColumn("rule", best)
+    found = F.filter(keys, lambda k: cascade.member(k["key"]))
+    judged = parts.withColumn("rule", F.array_max(found)["key"])
     verdict = F.when(F.col("rule").isNull(), F.lit(otherwise)).when(blocking.member(F.col("rule")), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
-def judge_by_join(parts: DataFrame, rules: list[Rule], otherwise: str) -> DataFrame:
-    """The same for lists too long for literals: distinct (host, path) keys are joined to the rules by key."""
-    shapes = sorted({r.shape for r in rules})
-    longest = max(n for _, n in shapes)
-    short = F.substring("path", 1, longest)
-    keys = F.array_compact(F.array(*[candidate(F.col("host"), F.col("start"), s) for s in shapes]))
-    pairs = materialize(parts.select("host", short.alias("start")).distinct().withColumn("key", F.explode(keys)), "url-keys")
-    fitting = pairs.join(rule_frame(parts.sparkSession, rules), "key")
-    best = materialize(fitting.groupBy("host", "start").agg(F.max(F.struct("length", "host_length", "key", "verdict")).alias("best")), "url-rules")
-    joined = parts.withColumn("start", short).join(best, ["host", "start"], "left")
-    return joined.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
-
-
 RULES = [Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow")]
 
 ORACLE = r"""
