@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from math import log
 
 import pytest
 
@@ -74,21 +75,67 @@ def test_disclosing_terms(spark):
     docs = corpus(spark)
     terms = {r["term"]: r["degree"] for r in pii.disclosing_terms(docs, generalise=0.9).collect()}
     assert "quixano" in terms and "common0" not in terms and "w1" not in terms
-    texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
-    for term, degree in terms.items():  # by the definition, over whole texts
-        n_c = sum("quix@mail" in t for t in texts)
-        n_t = sum(term in re.findall(r"[^\W_]+", t.lower()) for t in texts)
-        from math import log
-
-        p = n_c / len(texts)
-        best = max(log(min(1, n / n_t) / p) / -log(p) for n in range(3, 7))
-        assert 0.9 <= degree <= best + 1e-9
+    want = brute_disclosing([r["text"] for r in docs.collect()])
+    assert terms.keys() == want.keys() and all(abs(terms[t] - want[t]) < 1e-9 for t in want)
     got = {r["doc_id"]: r for r in pii.scan(docs, generalise=0.9).collect()}
     assert got[306]["n_email"] == 0 and "term" in got[306]["spans"] and "Quixano" not in got[306]["sanitised"]
     assert "quix@mail" not in got[0]["sanitised"] and "<email>" in got[0]["sanitised"]
     assert got[100]["spans"] == ""
 
 
+def brute_disclosing(texts, window=8, generalise=0.9, chance=0.01):
+    """By the definition, with plain loops over whole texts."""
+    near, having, where = {}, {}, {}
+    for i, text in enumerate(texts):
+        spans = brute(text)
+        for pair in brute_contexts(text, spans, window):
+            near.setdefault(pair, []).append(i)
+        for name in {pii.entity(text, s) for s in spans}:
+            having.setdefault(name, []).append(i)
+        for term in {m.lower() for m in re.findall(r"[^\W_]+", text)}:
+            where.setdefault(term, []).append(i)
+    out = {}
+    for (name, term), places in near.items():
+        p, q, m = len(having[name]) / len(texts), min(1, len(places) / len(where[term])), len({texts[i] for i in places})
+        if p < q:
+            degree = log(q / p) / -log(p)
+            divergence = q * log(q / p) + ((1 - q) * log((1 - q) / (1 - p)) if q < 1 else 0)
+            if degree >= generalise and m / q * divergence >= log(len(near) / chance):
+                out[term] = max(degree, out.get(term, 0))
+    return out
+
+
+def recurring(spark):
+    """Entities of all frequencies, each with an owner's name beside it, with copies, and names in other texts too."""
+    rng = random.Random(4)
+    rows = []
+    for e in range(40):
+        for j in range(rng.randint(1, 9)):
+            fill = [f"w{rng.randint(0, 300)}" for _ in range(40)]
+            fill[20:20] = [f"Owner{e}", f"own{e}@mail.example.org", f"place{e % 5}"]
+            rows += [" ".join(fill)] * rng.choice([1, 1, 1, 3])
+        if e % 3 == 0:
+            rows.append(f"Owner{e} and w1 w2 w3 only")
+    rows += [" ".join(f"w{rng.randint(0, 300)}" for _ in range(50)) for _ in range(500)]
+    return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+
+
+def test_degrees_by_hand(spark, docs):
+    for table in (recurring(spark), docs):
+        want = brute_disclosing([r["text"] or "" for r in table.collect()])
+        got = {r["term"]: r["degree"] for r in pii.disclosing_terms(table).collect()}
+        assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want)
+    assert len(brute_disclosing([r["text"] for r in recurring(spark).collect()])) > 15
+
+
+def test_two_texts_are_enough_for_a_rare_entity(spark):
+    rng = random.Random(6)
+    fill = lambda: " ".join(f"w{rng.randint(0, 200)}" for _ in range(30))
+    rows = [fill() for _ in range(4000)] + [f"{fill()} Zorblat zor@mail.example.org {fill()}" for _ in range(2)] + [f"{fill()} Once one@mail.example.org {fill()}"] * 3
+    terms = {r["term"] for r in pii.disclosing_terms(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert "zorblat" in terms and "once" not in terms and "w1" not in terms
+
+
 def test_join_path_gives_the_same(spark, monkeypatch):
     docs = corpus(spark)
     want, clean = sorted(map(tuple, pii.scan(docs, generalise=0.9).collect())), sorted(pii.sanitised_documents(docs, generalise=0.9).collect())
@@ -97,6 +144,21 @@ def test_join_path_gives_the_same(spark, monkeypatch):
     assert sorted(pii.sanitised_documents(docs, generalise=0.9).collect()) == clean
 
 
+def test_join_path_for_letters_of_all_kinds(spark, monkeypatch):
+    odd = ["İsmet", "ΟΔΥΣΣΕΥΣ", "Ǆ", "e\u0301clair", "x²", "ⅷ", "王伟", "ſtraße"]
+    rows = [(10 * i + j, f"only{i}{j} {w} k{i}@mail.example.org {w}") for i, w in enumerate(odd) for j in range(5)] + [(100 + i, f"other words{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, clean = sorted(map(tuple, pii.scan(docs).collect())), sorted(pii.sanitised_documents(docs).collect())
+    assert "term" in want[0][7]
+    monkeypatch.setattr(pii, "MAX_TERMS", 0)
+    assert sorted(map(tuple, pii.scan(docs).collect())) == want and sorted(pii.sanitised_documents(docs).collect()) == clean
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a", "mail bob@mail.example.org"), (None, None)], "doc_id string, text string")
+    assert {(r["doc_id"], r["n_email"]) for r in pii.scan(docs).collect()} == {("a", 1), (None, 0)}
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = pii.scan(odd_docs).collect()
     assert len(got) == odd_docs.count()

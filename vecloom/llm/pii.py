@@ -3,13 +3,18 @@ r"""Personal data: patterns, and terms that reveal a protected entity.
 Entities are the values that the patterns find. For each entity c and each term t within ``window`` words of
 it, documents are counted: n(c), n(c,t) around the entity and n(t) in the whole corpus. t discloses c to the
 degree pmi(c;t)/ic(c) = log(p(c,t)/(p(c)p(t))) / -log p(c), which is 1 if t never occurs without c. Terms of
-degree ``generalise`` or more that occur with c in ``support`` different texts or more are generalised
-wherever they occur; those of degree ``remove`` or more are removed.
+degree ``generalise`` or more are generalised wherever they occur; those of degree ``remove`` or more are removed.
+
+A degree counts only with evidence that is not chance: the information of m different texts, m/q * KL(q || p(c))
+with q = p(c|t), bounds by exp(-information) the probability that a term which has nothing to do with c is seen so
+often with it. Over all pairs (c, t) that are looked at, at most ``chance`` such terms are expected. A rare entity
+needs few texts for that (two, where all its terms' other uses are few), a common one more.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from array import array
 from bisect import bisect_left, bisect_right
@@ -20,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.durable import materialize
-from vecloom.llm.common import map_batches, spread, texts
+from vecloom.durable import broadcast_if_small, materialize
+from vecloom.llm.common import map_batches, spread, texts, typed
 from vecloom.shipping import ship
 
 KINDS = ("email", "ip", "card", "phone")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: A run of digits that fails as a whole fails from every later digit too: matches start where no digit stands before.
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -115,13 +119,22 @@ def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> set[t
     return out
 
 
+def terms_of(text: str) -> set[str]:
+    """A text's different terms, cut first and then each in lower case."""
+    return set(map(str.lower, TERM.findall(text)))
+
+
 def _terms(text: Column) -> Column:
-    """A text's different terms, cut first and then each in lower case, as ``contexts`` has them."""
+    """The same in the JVM, to count them; where its letters and case are not Python's, contexts give the least count."""
     return F.array_distinct(F.transform(F.split(text, r"[^\p{L}\p{N}]+"), F.lower))
 
 
-def disclosing_terms(docs: DataFrame, *, window: int = 8, support: int = 3, generalise: float = 0.9, text_col: str = "text") -> DataFrame:
-    """term, degree (the largest over entities) of terms that disclose an entity; counted over all documents."""
+def disclosing_terms(docs: DataFrame, *, window: int = 8, generalise: float = 0.9, chance: float = 0.01, text_col: str = "text") -> DataFrame:
+    """term, degree (the largest over entities) of terms that disclose an entity; counted over all documents.
+
+    Copies of one text are evidence once, though each counts as a document. Null texts are empty; no documents, no
+    entities or no evidence give an empty table; columns besides the text are not looked at.
+    """
     spark = docs.sparkSession
 
     def run(batch: pa.RecordBatch) -> dict | None:
@@ -137,32 +150,40 @@ def disclosing_terms(docs: DataFrame, *, window: int = 8, support: int = 3, gene
 
     rows = docs.select(F.col(text_col).alias("text"))
     pairs = map_batches(rows, run, "entity string, term string, text_key long")
-    # the support is of different texts: copies of one text tell nothing new
     by_text = materialize(pairs.groupBy("entity", "term", "text_key").agg(F.count(F.lit(1)).alias("n")), "pii-contexts")
     counted = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_texts"))
-    counted = materialize(counted.filter(F.col("n_texts") >= support).select("entity", "term", "n"), "pii-pairs")
+    counted = materialize(counted, "pii-pairs")
+    total, looked_at = float(max(docs.count(), 2)), counted.filter("term <> ''").count()
+    if not looked_at:
+        return spark.createDataFrame([], "term string, degree double")
+    needed = math.log(looked_at / chance)
     entities = counted.filter("term = ''").select("entity", F.col("n").alias("n_entity"))
-    total = docs.count()
 
-    def degree(n_term: str) -> Column:
-        p_c = F.col("n_entity") / F.lit(float(max(total, 2)))
+    def discloses(n_term: str) -> tuple[Column, Column]:
+        """The degree, and whether the term passes, if it is in so many documents."""
+        p_c = F.col("n_entity") / F.lit(total)
         given = F.least(F.lit(1.0), F.col("n") / F.col(n_term))
-        return F.when(p_c < 1, F.log(given / p_c) / -F.log(p_c)).otherwise(F.lit(0.0))
-
-    # a term is in as many texts as contexts show at least: what fails by this bound fails by the count as well
+        degree = F.when(p_c < 1, F.log(given / p_c) / -F.log(p_c)).otherwise(F.lit(0.0))
+        other = F.when(given < 1, (1 - given) * F.log((1 - given) / (1 - p_c))).otherwise(F.lit(0.0))
+        information = F.col("n_texts") / given * (given * F.log(given / p_c) + other)
+        return degree, (p_c < 1) & (degree >= generalise) & (given > p_c) & (information >= needed)
+
+    # no term has more information than -log p(c) a text; and one is in as many texts as contexts show at least:
+    # what fails by these bounds fails by the count as well
+    likely = counted.filter((F.col("term") != "") & (F.col("n_texts") * math.log(total) >= needed))
     shown = by_text.filter("term <> ''").select("term", "text_key").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_shown"))
-    together = counted.filter("term <> ''").join(shown, "term").join(entities, "entity").filter(degree("n_shown") >= generalise)
-    together = materialize(together.select("entity", "term", "n", "n_entity"), "pii-together")
+    together = likely.join(shown, "term").join(entities, "entity").filter(discloses("n_shown")[1])
+    together = materialize(together.select("entity", "term", "n", "n_texts", "n_entity", "n_shown"), "pii-together")
     candidates = materialize(together.select("term").distinct(), "pii-candidates")
     if candidates.isEmpty():
         return spark.createDataFrame([], "term string, degree double")
     # n(t): the number of documents with the term, over the whole corpus
-    words = _terms(F.col("text"))
-    found = rows.select(F.explode(words).alias("term"))
-    found = found.join(F.broadcast(candidates) if candidates.count() <= MAX_TERMS else candidates, "term", "left_semi")
-    frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    degrees = together.join(frequency, "term").select("term", degree("n_term").alias("degree")).groupBy("term").agg(F.max("degree").alias("degree"))
-    return materialize(degrees.filter(F.col("degree") >= generalise), "pii-terms")
+    found = rows.select(F.explode(_terms(F.col("text"))).alias("term"))
+    found = found.join(broadcast_if_small(candidates, MAX_TERMS), "term", "left_semi")
+    frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("n_found"))
+    known = together.join(frequency, "term", "left").withColumn("n_term", F.greatest("n_shown", F.coalesce("n_found", F.lit(0))))
+    degree, passes = discloses("n_term")
+    return materialize(known.filter(passes).select("term", degree.alias("degree")).groupBy("term").agg(F.max("degree").alias("degree")), "pii-terms")
 
 
 def all_spans(text: str, terms) -> list[tuple[int, int, int, str]]:
@@ -171,7 +192,7 @@ def all_spans(text: str, terms) -> list[tuple[int, int, int, str]]:
     out = [(s, k, e, KINDS[k]) for s, k, e in base]
     if terms:
         # each term in lower case by itself: a text's own lower case may be longer and cut terms in two
-        if not terms.isdisjoint(map(str.lower, TERM.findall(text))):
+        if not terms.isdisjoint(terms_of(text)):
             out += [(m.start(), len(KINDS), m.end(), "term") for m in _free_terms(text, base) if m.group().lower() in terms]
     return sorted(out)
 
@@ -208,8 +229,14 @@ def _held(docs: DataFrame, terms: DataFrame):
 
 def _own_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, text_key, terms (term, degree): each text's own disclosing terms, where all are too many for the workers."""
-    words = _terms(F.col("text"))
-    found = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(words).alias("term")).distinct().join(terms, "term")
+
+    def run(batch: pa.RecordBatch) -> dict:
+        found = [terms_of(x) for x in texts(batch, "text")]
+        return {"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "term": [list(x) for x in found]}
+
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    words = map_batches(keyed, run, f"{typed(keyed, 'doc_id')}, text_key long, term array<string>")
+    found = words.select("doc_id", "text_key", F.explode("term").alias("term")).distinct().join(terms, "term")
     return found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("term", "degree")).alias("terms"))
 
 
@@ -224,7 +251,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rem
     an empty table gives an empty result; other columns are dropped.
     """
     terms = disclosing_terms(docs, text_col=text_col, **options)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = typed(rows, "doc_id")
     held = _held(docs, terms)
     if held.value is None:
         rows = rows.alias("r").join(_own_terms(rows, terms).alias("o"), _same_text("r", "o", "doc_id", "text"), "left").select("r.doc_id", "r.text", "o.terms")
@@ -240,7 +268,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rem
         names = ("n_email", "n_ip", "n_card", "n_phone", "n_term", "base_sha256", "spans", "sanitised")
         return {"doc_id": batch.column("doc_id")} | {k: list(v) for k, v in zip(names, zip(*out))}
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_term long, base_sha256 string, spans string, sanitised string"
+    schema = f"{kind}, n_email long, n_ip long, n_card long, n_phone long, n_term long, base_sha256 string, spans string, sanitised string"
     return map_batches(rows, run, schema)
 
 
@@ -248,9 +276,13 @@ def _degrees(own: list[dict] | None) -> dict[str, float]:
     return {} if own is None else {x["term"]: x["degree"] for x in own}
 
 
-def sanitised_documents(docs: DataFrame, *, remove: float = 0.999, **options) -> DataFrame:
-    """Documents, columns unchanged, with sanitised texts and their n_chars. A null text stays null."""
-    terms = disclosing_terms(docs, **options)
+def sanitised_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", remove: float = 0.999, **options) -> DataFrame:
+    """Documents, columns unchanged, with sanitised texts and their sizes (``size_col``, if there is such a column).
+
+    A null text stays null. Every row is sanitised by itself, repeated ones too; texts are read whole; an empty table
+    gives an empty one; other columns are handed on whatever their names.
+    """
+    terms = disclosing_terms(docs, text_col=text_col, **options)
     held = _held(docs, terms)
 
     def cleaned(text: str | None, degree: dict[str, float]) -> str | None:
@@ -259,15 +291,15 @@ def sanitised_documents(docs: DataFrame, *, remove: float = 0.999, **options) ->
     rows = spread(docs).select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     if held.value is not None:
         by_all = F.pandas_udf(lambda text: text.map(lambda x: cleaned(x, held.value), na_action="ignore"), "string")
-        rows = rows.select("row", by_all(F.col("row.text")).alias("clean"))
+        rows = rows.select("row", by_all(F.col("row")[text_col]).alias("clean"))
     else:
-        own = _own_terms(docs.select("doc_id", "text"), terms)
-        slim = rows.select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+        own = _own_terms(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), terms)
+        slim = rows.select("row", F.col("row")[id_col].alias("doc_id"), F.col("row")[text_col].alias("text"))
         joined = slim.alias("r").join(own.alias("o"), _same_text("r", "o", "doc_id", "text"), "left")
         term_names = F.transform("o.terms", lambda x: x["term"]), F.transform("o.terms", lambda x: x["degree"])
         by_own = F.pandas_udf(lambda text, names, degrees: pd.Series([cleaned(t, {} if n is None else dict(zip(n, d))) for t, n, d in zip(text, names, degrees)]), "string")
         rows = joined.select("r.row", by_own("r.text", *term_names).alias("clean"))
-    replaced: dict[str, Column] = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
+    replaced: dict[str, Column] = {text_col: F.col("clean"), size_col: F.length("clean").cast("long")}
     return rows.select(*[replaced.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
