@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import math
+import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from vecloom.llm import toxicity
 
@@ -14,7 +17,50 @@ def test_held_out_accuracy(spark):
     rows = toxicity.score(docs, model).join(labels, "doc_id").filter(toxicity.held_out()).collect()
     hit = np.mean([r["predicted"] == r["toxic"] for r in rows])
     caught = np.mean([r["predicted"] for r in rows if r["toxic"]])
-    assert hit > 0.96 and caught > 0.85
+    assert hit > 0.975 and caught > 0.85
+    assert all((r["score"] >= 0.5) == bool(r["offending"]) for r in rows)
+    # clean documents joined to one are clean; one offence in it is found
+    clean = [r["text"] for r in rows_of(docs, [r["doc_id"] for r in rows if not r["toxic"] and r["score"] < 0.5])] * 3
+    joined = "\n".join(clean[:1000])
+    assert len(clean) > 1000 and model.score(joined)[0] < 0.5
+    offence = next(r for r in rows if r["toxic"] and r["predicted"])
+    text = next(r["text"] for r in rows_of(docs, [offence["doc_id"]]))
+    score, found = model.score(joined + "\n" + text)
+    assert score >= 0.5 and all(a >= len(joined) for a, _, _ in found)
+
+
+def rows_of(docs, ids):
+    return docs.filter(docs.doc_id.isin(ids)).collect()
+
+
+def test_query_by_hand(spark, sf_dir, docs):
+    """Every row of the query against a scalar version of the formula."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, ~toxicity.held_out())
+    want = {}
+    for r in docs.collect():
+        p = []
+        for sentence in re.split(r"[.!?\n]+", r["text"] or ""):
+            if sentence:
+                words = set(re.findall(r"\w+", sentence.lower()))
+                features = [w for w in words] + [w[:n] + "~" for w in words for n in (4, 5, 6) if len(w) >= n]
+                p.append(1 / (1 + math.exp(-max(-30, min(30, model.bias + math.fsum(model.weights.get(f, 0.0) for f in features))))))
+        loud = [x for x in p if x >= 0.5]
+        want[r["doc_id"]] = 1 - math.prod(1 - x for x in loud) if loud else max(p, default=0.0)
+    got = toxicity.query(spark, sf_dir).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert math.isclose(r["score"], want[r["doc_id"]], abs_tol=1e-6) and r["predicted"] == (r["score"] >= 0.5)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_long_texts_teach(spark):
+    filler = "a plain line of words. " * 4000
+    rows = [(i, filler + ("vile thing. " if i % 2 else "") + f"n{i}") for i in range(20)] + [(100 + i, f"short {i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2 if i < 100 else 0) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert model.score("some vile thing")[0] > 0.5 and model.score(filler)[0] < 0.5
 
 
 def test_noisy_or_and_places():
@@ -22,7 +68,7 @@ def test_noisy_or_and_places():
     text = "All is fine. This is bad! Nothing here.\nworseness bad"
     score, found = model.score(text)
     p = [s for _, _, s in model.sentences(text)]
-    assert np.isclose(score, 1 - np.prod([1 - x for x in p]))
+    assert np.isclose(score, 1 - np.prod([1 - x for x in p if x >= 0.5]))
     assert [text[a:b].strip() for a, b, _ in found] == ["This is bad", "worseness bad"]
     assert model.score("") == (0.0, []) and model.score("...") == (0.0, [])
 

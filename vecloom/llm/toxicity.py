@@ -3,6 +3,9 @@
 A document is a bag of sentences. A sentence's score is a logistic function of its different words and their beginnings;
 a document's is the noisy-or of its sentences', 1 - prod(1 - p). Only documents have labels: the weights are
 fitted to the documents' likelihood, and the sentences' scores then tell where the offence is.
+
+When documents are scored, sentences below 0.5 join no noisy-or: many that are each harmless stay harmless, however
+long the text is. A document has a score of 0.5 or more if and only if one of its sentences has.
 """
 
 from __future__ import annotations
@@ -15,11 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import id_crc, map_batches, texts
+from vecloom.durable import broadcast_if_small, materialize
+from vecloom.llm.common import id_crc, map_batches, texts, typed
 
 WORDS = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 STEMS = (4, 5, 6)
+OFFENDING = 0.5
+#: Tables of an id and a label are broadcast up to this many rows (some MB), else joined by shuffle.
+MAX_BROADCAST_ROWS = 100_000
 #: Words whose weights a worker keeps.
 CACHE = 1 << 18
 
@@ -60,12 +67,13 @@ class NoisyOr:
         return out
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """A document's score, and its sentences with a score of 0.5 or more. No sentence: 0."""
+        """A document's score, and its sentences with a score of 0.5 or more: their noisy-or, or else the largest. No sentence: 0."""
         found = self.sentences(text)
-        if not found:
-            return 0.0, []
-        p = np.array([s for _, _, s in found])
-        return float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), [x for x in found if x[2] >= 0.5]
+        offending = [x for x in found if x[2] >= OFFENDING]
+        if not offending:
+            return max((float(s) for _, _, s in found), default=0.0), []
+        p = np.array([s for _, _, s in offending])
+        return float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), offending
 
 
 def train(bags: list[str], labels: list[int], rounds: int = 300, rate: float = 0.1, decay: float = 0.05, spread: float = 50.0, min_docs: int = 3, min_z: float = 3.0) -> NoisyOr:
@@ -126,21 +134,28 @@ def held_out(id_col: str = "doc_id") -> Column:
     return id_crc(id_col) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, docs_each: int = 3000, max_chars: int = 50_000) -> NoisyOr:
-    """The model from a bounded sample of labelled rows for which ``learn`` holds: about ``docs_each`` toxic and as many others.
+def fit(
+    docs: DataFrame, labels: DataFrame, learn: Column, *, docs_each: int = 3000, chars_each: int = 30_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+) -> NoisyOr:
+    """The model from a bounded sample of labelled rows for which ``learn`` holds: toxic ones and as many others.
 
-    Rows are drawn by a hash of the id against a threshold from the class's size; texts over ``max_chars``
-    are not drawn. A document with several labels counts as toxic if one of them says so; null labels and
-    labels without a document teach nothing.
+    Of each class about ``docs_each`` rows are drawn, or fewer, so that their texts have about ``chars_each`` characters:
+    by a hash of the id against a threshold from the class's rows and characters. A text of any length may be
+    drawn, and texts are read whole. A document with several labels counts as toxic if one of them says so; null
+    labels, null texts and labels without a document teach nothing; rows of equal id and text teach once.
     """
-    marked = labels.filter(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}  # two rows
+    marked = labels.filter(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    marked = materialize(marked.groupBy(F.col(id_col).alias("doc_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic")), "marked")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    known = rows.select("doc_id", F.length("text").alias("n")).join(broadcast_if_small(marked, MAX_BROADCAST_ROWS), "doc_id")
+    sizes = {r["toxic"]: r for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("chars")).collect()}  # two rows
+    share = {k: min(1.0, docs_each / r["rows"], chars_each / max(1, r["chars"])) for k, r in sizes.items()}
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
-    limit = {k: min(1 << 30, (docs_each << 30) // max(1, sizes.get(k, 0))) for k in (0, 1)}
-    drawn = marked.filter(draw < F.when(F.col("toxic") == 1, F.lit(limit[1])).otherwise(F.lit(limit[0])))
-    sample = docs.select("doc_id", "text").filter(F.length("text") <= max_chars).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic")
-    rows = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["text"]))  # bounded by the sample
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    limit = F.when(F.col("toxic") == 1, F.lit(int(share.get(1, 0) * (1 << 30)))).otherwise(F.lit(int(share.get(0, 0) * (1 << 30))))
+    drawn = materialize(marked.filter(draw < limit), "drawn")
+    sample = rows.join(broadcast_if_small(drawn, MAX_BROADCAST_ROWS), "doc_id").dropDuplicates(["doc_id", "text"])
+    held = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["text"]))  # bounded by the sample
+    return train([r["text"] for r in held], [r["toxic"] for r in held])
 
 
 def score(docs: DataFrame, model: NoisyOr, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -160,8 +175,8 @@ def score(docs: DataFrame, model: NoisyOr, *, id_col: str = "doc_id", text_col:
             "offending": [[{"start": a, "end": b, "score": float(p)} for a, b, p in found] for _, found in out],
         }
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(rows, run, "doc_id long, score double, predicted int, offending array<struct<start int, end int, score double>>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return map_batches(rows, run, f"{typed(rows, 'doc_id')}, score double, predicted int, offending array<struct<start int, end int, score double>>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
