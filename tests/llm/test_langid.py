@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+import re
 import zlib
 
 import numpy as np
@@ -65,6 +67,78 @@ def test_cache_is_bounded(monkeypatch):
     assert [m.infer(t) for t in texts] == fresh and len(langid.memo(m).words) <= 64
 
 
+def brute_language(model, text, rounds=15):
+    """Language, score and whether it explains the text, with plain loops over words and every nested set; None without a letter."""
+    words = {}
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        if any(c.isalpha() for c in w):
+            for piece in langid.pieces(w):
+                words[piece] = words.get(piece, 0) + 1
+    if not words:
+        return None
+    rows = []
+    for piece, times in words.items():
+        logs = [sum(float(model.log_p[model.row.get(piece[i : i + 3], len(model.row))][k]) for i in range(len(piece) - 2)) for k in range(len(model.languages))]
+        top = max(logs)
+        rows.append((times, top, [max(math.exp(x - top), 1e-12) for x in logs]))
+    total = sum(t for t, _, _ in rows)
+
+    def em(chosen):
+        share = [1 / len(chosen)] * len(chosen)
+        for _ in range(rounds if len(chosen) > 1 else 0):
+            new = [0.0] * len(chosen)
+            for t, _, p in rows:
+                mixed = sum(s * p[k] for s, k in zip(share, chosen))
+                for i, k in enumerate(chosen):
+                    new[i] += t * share[i] * p[k] / mixed / total
+            done = max(abs(a - b) for a, b in zip(new, share)) < 1e-4
+            share = new
+            if done:
+                break
+        return share, sum(t * math.log(sum(s * p[k] for s, k in zip(share, chosen))) for t, _, p in rows)
+
+    everything = list(range(len(model.languages)))
+    order = sorted(everything, key=lambda k: -em(everything)[0][k])
+    best = None
+    for size in range(1, len(order) + 1):
+        share, likely = em(order[:size])
+        value = likely - model.penalty * (size - 1) * math.log(total + 1)
+        if best is None or value > best[0]:
+            best = value, size, share
+    value, size, share = best
+    score, k = max(zip(share, [-k for k in order[:size]]))
+    letters = len({c for g in model.row for c in g})
+    at_random = -3 * math.log(letters) * sum(t * (len(p) - 2) for p, t in words.items())
+    return model.languages[-k], score, value + sum(t * top for t, top, _ in rows) > at_random
+
+
+def test_query_by_hand(spark, sf_dir, docs):
+    model = langid.fit(docs, ~langid.held_out())
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = langid.query(spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = brute_language(model, texts[r["doc_id"]])
+        assert r["lang_pred"] == (want[0] if want else "und") and abs(r["score"] - (want[1] if want else 0.0)) < 1e-3
+
+
+def test_languages_that_show_late(spark):
+    """A Chinese and a Thai text whose first forty letters are of another language."""
+    rows = [(i, t * 30, lang) for i, (t, lang) in enumerate([("我们今天去学校看书", "zh"), ("วันนี้เราไปโรงเรียน", "th"), ("we go to school today ", "en")] * 4)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), docs_each=100)
+    assert model.languages == ["en", "th", "zh"]
+    start = "wegotoschooltoday" * 3
+    assert model.infer(start)[0] == "en"
+    assert model.infer(start + "我们今天去学校看书" * 40)[0] == "zh"
+    assert model.infer(start + "วันนี้เราไปโรงเรียน" * 40)[0] == "th"
+
+
+def test_texts_in_no_learned_language_go(spark):
+    model = langid.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), ~langid.held_out())
+    rows = spark.createDataFrame([(1, "Это совсем другой язык и другие буквы", "xx", "k"), (2, "The and that of the er in on.", None, "k")], "doc_id long, text string, lang string, found string")
+    assert [tuple(r) for r in langid.documents_in_a_language(rows, model).collect()] == [(2, "The and that of the er in on.", "en", "k")]
+
+
 def test_odd_rows(odd_docs, no_docs, docs):
     m = langid.fit(docs, ~langid.held_out())
     got = langid.identify(odd_docs, m).collect()

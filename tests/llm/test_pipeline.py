@@ -6,7 +6,9 @@ from collections import Counter
 
 import corpus_pipeline
 from tests.llm.test_mixing import water, words
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_langid import brute_language
+from tests.llm.test_pii import brute
+from tests.llm.test_similar import brute_groups, brute_set
 from vecloom.llm import langid, pieces, pii
 
 
@@ -20,16 +22,26 @@ def test_stages(spark, docs, sf_dir):
     language, unique, clean, mixed = ([r.asDict() for r in f.collect()] for f in frames)
 
     model = langid.fit(docs, ~langid.held_out())
-    assert sorted(r["doc_id"] for r in language) == sorted(r["doc_id"] for r in docs.collect() if model.infer(r["text"] or "")[0] != "und")
+    by_hand = {r["doc_id"]: brute_language(model, r["text"]) for r in docs.collect()}
+    assert {r["doc_id"]: r["lang"] for r in language} == {k: v[0] for k, v in by_hand.items() if v and v[2]}
 
-    pairs = [(r["doc_id"], brute_fingerprint(r["text"])) for r in language]
-    assert sorted(r["doc_id"] for r in unique) == sorted(set(brute_components(pairs)))
+    first = brute_groups([brute_set(r["text"]) for r in language])
+    groups = {}
+    for r, g in zip(language, first):
+        groups[g] = min(r["doc_id"], groups.get(g, r["doc_id"]))
+    assert sorted(r["doc_id"] for r in unique) == sorted(groups.values())
 
     assert [r["doc_id"] for r in sorted(clean, key=lambda r: r["doc_id"])] == sorted(r["doc_id"] for r in unique)
     before = {r["doc_id"]: r["text"] for r in unique}
     for r in clean:
-        assert not pii.base_spans(r["text"]) and r["n_chars"] == len(r["text"])
-        assert r["text"] == before[r["doc_id"]] or pii.base_spans(before[r["doc_id"]]) or len(r["text"]) != len(before[r["doc_id"]])
+        assert not brute(r["text"]) and r["n_chars"] == len(r["text"])
+        # without terms that disclose (none in this table) the text with each span's kind in its place
+        shown, at = "", 0
+        for start, kind, end in brute(before[r["doc_id"]]):
+            if start >= at:
+                shown += before[r["doc_id"]][at:start] + f"<{pii.KINDS[kind]}>"
+            at = max(at, end)
+        assert r["text"] == shown + before[r["doc_id"]][at:]
 
     totals, taken, size = Counter(), Counter(), {r["doc_id"]: words(r["text"]) for r in clean}
     for r in clean:
