@@ -1,8 +1,9 @@
 """Connected components of an undirected graph by hooking and contraction.
 
 Every round each label hooks to its smallest smaller neighbour, the forest so made is flattened by pointer
-jumping, and the edges are rewritten to the roots and made distinct. A component that isn't finished loses
-at least half of its labels in a round. Tables stay distributed and are written between rounds.
+jumping, and the edges are rewritten to the roots and made distinct. A label that has a smaller neighbour is gone
+after the round, and so, a round later, is each that had larger ones only (a star whose centre is the largest):
+over two rounds a component that isn't finished loses at least half of its labels. Tables stay distributed and are written between rounds.
 """
 
 from __future__ import annotations

@@ -110,7 +110,10 @@ def mix(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, columns unchanged: each row as often as its words were taken, rounded to whole copies.
 
-    A document of no words stays as often as its source has epochs, at least once.
+    A document of no words (null, empty) stays as often as its source has epochs, at least once. Rows equal in id,
+    source and size, repeated ones too, share their copies: each takes the mean, rounded up. A null source is a
+    source; texts of any length are whole; an empty table gives an empty one; other columns are handed on whatever
+    their names.
     """
     id_col = options.get("id_col", "doc_id")
     plan = mix(docs, **options)

@@ -33,10 +33,11 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     and the others revisit it; smaller payloads are stored once too, but their records are all responses.
     A null body is an empty payload. A null id never is the smallest unless all are null, and then these
     records are responses; rows that repeat the smallest id are responses as well. Line breaks in a url are
-    percent-encoded in its header. Other columns are dropped.
+    percent-encoded in its header. Other columns are dropped. An empty table gives an empty archive; a payload is
+    one value, whatever its length. Ids keep their type.
     """
     body = F.coalesce(F.col(body_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), body.alias("payload"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     # partial aggregates keep one payload of each digest before the shuffle, however many copies there are
     stored = rows.groupBy("digest").agg(F.min("page_id").alias("response_id"), F.any_value("payload").alias("payload"))
@@ -48,16 +49,16 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     safe_url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size"), F.lit("\r\n\r\n"))
     length = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("size"))
-    name = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))
+    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(F.col(c).cast("string")), F.lit("")), F.lit(">"))
     warc = F.concat(
         F.lit("WARC/1.1\r\n"),
         _line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        _line("WARC-Record-ID", name),
+        _line("WARC-Record-ID", urn("page_id")),
         _line("WARC-Date", date),
         _line("WARC-Target-URI", safe_url),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         F.when(revisit, _line("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")).otherwise(F.lit("")),
-        F.when(revisit, _line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("response_id"), F.lit(">")))).otherwise(F.lit("")),
+        F.when(revisit, _line("WARC-Refers-To", urn("response_id"))).otherwise(F.lit("")),
         _line("Content-Type", "application/http;msgtype=response"),
         _line("Content-Length", length.cast("string")),
         F.lit("\r\n"),
@@ -79,14 +80,14 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """page_id, digest, header, and what the header says: record_type, url, refers_to, header_digest."""
     rows = spark.read.parquet(f"{path}/headers")
     text = F.decode("header", "UTF-8")
-    refers = F.regexp_extract(text, r"\r\nWARC-Refers-To: <urn:page:(-?[0-9]+)>\r\n", 1)
+    refers = F.regexp_extract(text, r"\r\nWARC-Refers-To: <urn:page:([^>\r\n]+)>\r\n", 1)
     return rows.select(
         "page_id",
         "digest",
         "header",
         F.regexp_extract(text, r"^WARC/1.1\r\nWARC-Type: ([a-z]+)\r\n", 1).alias("record_type"),
         F.regexp_extract(text, r"\r\nWARC-Target-URI: ([^\r\n]*)\r\n", 1).alias("url"),
-        F.when(refers != "", refers.try_cast("long")).alias("refers_to"),
+        F.when(refers != "", F.url_decode(refers).try_cast(rows.schema["page_id"].dataType)).alias("refers_to"),
         F.regexp_extract(text, r"\r\nWARC-Payload-Digest: sha1:([A-Z2-7]+)\r\n", 1).alias("header_digest"),
     )
 
@@ -95,7 +96,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """One row a record: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload, record.
 
     ``record`` is the exact record: header and, for a response, the payload, then two line ends. Columns that
-    are not asked for are not joined: without payload and record only digests and lengths move.
+    are not asked for are not joined: without payload and record only digests and lengths move. An empty archive
+    gives an empty table; repeated ids are records of their own; long payloads are read whole.
     """
     joined = read_headers(spark, path).join(read_payloads(spark, path), "digest")
     agrees = F.when(F.col("header_digest") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header's digest is not its payload's")).cast("string"))

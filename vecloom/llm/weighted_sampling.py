@@ -175,7 +175,9 @@ def compare_edited(docs: DataFrame, *, slots: int = 64, seed: int = 1, id_col: s
 
     The edited text ends in the next document's beginning (see ``edited``; next by descending id, the first
     after the last). Null texts are empty; a text without words has the all-zero fingerprint, which is like
-    itself only. Rows are streamed: Python holds a batch and one text more.
+    itself only. Rows are streamed: Python holds a batch and one text more; texts are read whole. Rows of one id
+    follow each other in the order of their texts' hashes, repeated rows too; a table of one row is followed by
+    itself, an empty one gives an empty result. Ids are whole numbers; other columns are dropped.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
