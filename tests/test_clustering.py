@@ -6,7 +6,7 @@ import pytest
 from vecloom.operators import dense, lloyd
 from vecloom.operators.factorized_kmeans import factorized_after_kmeans, factorized_kmeans
 from vecloom.operators.prepare import blobs
-from vecloom.streaming.running_means import RunningMeans
+from vecloom.streaming.running_means import RunningMeans, cluster_stream
 
 
 def frame(spark, x):
@@ -47,6 +47,46 @@ def test_pass_sums(spark, data):
     assert np.isclose(got.objective.sum(), d2.sum())
 
 
+def test_pass_of_many_tasks(spark, data):
+    """Partial sums of more tasks than groups are added to K rows."""
+    u = data[:4]
+    got = dense.pass_over(frame(spark, data).repartition(80), u)
+    k, _ = brute(data, u)
+    assert np.allclose(got.sums, [data[k == i].sum(axis=0) for i in range(4)]) and got.counts.sum() == 300
+
+
+def test_several_empty_clusters(spark, data):
+    """Each takes from the then largest cluster the point farthest from its own old centroid, no point twice."""
+    u = np.vstack([data[:3], data[:1], data[1:2] * 0 + data[0], data[:1]])
+    k, _ = brute(data, u)
+    members, taken, stolen = [list(np.flatnonzero(k == i)) for i in range(len(u))], set(), {}
+    for c in range(len(u)):
+        if not members[c]:
+            donor = max(range(len(u)), key=lambda i: (len(members[i]), -i))
+            far = max((p for p in members[donor] if p not in taken), key=lambda p: (((data[p] - u[c]) ** 2).sum(), -p))
+            members[donor].remove(far)
+            taken.add(far)
+            stolen[c] = [far]
+    for c, points in stolen.items():
+        members[c] = points
+    got, counts = lloyd.repair(frame(spark, data), u, dense.pass_over(frame(spark, data), u), "farthest")
+    assert len(stolen) == 3 and counts.tolist() == [len(m) for m in members]
+    assert np.allclose(got, [data[m].mean(axis=0) for m in members])
+    other, counts = lloyd.repair(frame(spark, data), u, dense.pass_over(frame(spark, data), u), "random", 3)
+    assert counts.sum() == 300 and (counts[3:] == 1).all() and len(np.unique(other[3:], axis=0)) == 3
+
+
+def test_sizes_are_checked(spark, data, monkeypatch):
+    monkeypatch.setattr(dense, "MAX_CENTROID_VALUES", 10)
+    monkeypatch.setattr(dense, "MAX_LITERAL_VALUES", 10)
+    table = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(data[:4])], "k int, u array<double>")
+    for made in (dense.assign, dense.pass_over, dense.assign_native, dense.operator_scores):
+        with pytest.raises(ValueError):
+            made(frame(spark, data), data[:4])
+    with pytest.raises(ValueError):
+        dense.distances(frame(spark, data), table)
+
+
 def test_empty_table(spark):
     got = dense.pass_over(frame(spark, []), np.ones((2, 3)))
     assert got.counts.tolist() == [0, 0] and not got.sums.any()
@@ -156,6 +196,35 @@ def test_running_means_equal_one_pass(spark, data):
     assert np.array_equal(before, state.centroids)
 
 
+def test_state_outlives_the_query(spark, data, tmp_path):
+    source, checkpoint = f"file://{tmp_path}/points", f"file://{tmp_path}/checkpoint"
+    whole = RunningMeans.start(data[:3])
+    for i, part in enumerate((data[:100], data[100:250], data[250:])):
+        whole.update(frame(spark, part), i)
+        frame(spark, part).write.mode("append").parquet(source)
+        state = RunningMeans.start(data[:3])
+        cluster_stream(spark.readStream.schema("id long, x array<double>").parquet(source), state, checkpoint).awaitTermination()
+        assert np.allclose(state.centroids, whole.centroids) and state.counts.tolist() == whole.counts.tolist()
+    again = RunningMeans.start(data[:3])
+    cluster_stream(spark.readStream.schema("id long, x array<double>").parquet(source), again, checkpoint).awaitTermination()
+    assert np.allclose(again.centroids, whole.centroids)
+
+
+@pytest.mark.parametrize("on_right", [True, False])
+def test_more_centroids_than_dimensions(spark, on_right):
+    pts = blobs(spark, 300, 16, 64, seed=2)
+    u = lloyd.first_by_hash(pts, 64, 1)
+    model = factorized_kmeans(pts, u, n_factors=4, sparsity=3, max_iter=2, palm_iter=15, residual_on_right=on_right, hierarchical_init=True, hierarchical_inside=True)
+    flat = factorized_kmeans(pts, u, n_factors=4, sparsity=3, max_iter=2, palm_iter=15, residual_on_right=on_right)
+    assert model.centroids.shape == (64, 16) and len(model.factors) == 4 and model.n_param < 64 * 16
+    assert not np.allclose(model.centroids, flat.centroids)  # the flags make a difference
+    assert model.trace[-1] < (16 * 300) * 200
+    near = {r["id"]: (r["k"], r["d2"]) for r in model.transform(pts).collect()}
+    sparse = {r["id"]: (r["k"], r["d2"]) for r in model.transform(pts, factored=True).collect()}
+    assert all(abs(near[i][1] - sparse[i][1]) < 1e-6 * (1 + near[i][1]) for i in near)
+    assert all(near[i][0] == sparse[i][0] for i in near)
+
+
 def test_factorized_kmeans(spark):
     pts = blobs(spark, 200, 16, 9, seed=2)
     u = lloyd.first_by_hash(pts, 9, 1)

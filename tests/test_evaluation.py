@@ -22,8 +22,10 @@ def data():
     return rng.normal(size=(150, 4)), rng.integers(0, 3, 150)
 
 
-@pytest.mark.parametrize("rows", [7, 1000])
-def test_one_nn_for_any_block_size(spark, data, rows):
+@pytest.mark.parametrize("rows,held", [(7, 0), (1000, 0), (None, 0), (None, 100 * 4), (None, 50 * 4), (None, 8_000_000)])
+def test_one_nn_however_the_sides_meet(spark, data, rows, held, monkeypatch):
+    """In blocks of any size, with all training points in every task, or with all test points."""
+    monkeypatch.setattr(ev, "MAX_CENTROID_VALUES", held)
     x, y = data
     x = x.copy()
     x[60] = x[61]
@@ -47,6 +49,7 @@ def test_pruned_search_skips_clusters_without_training_rows(spark, data):
 def test_no_training_rows(spark, data):
     pts = frame(spark, data[0])
     assert ev.one_nn(pts.filter("id < 0"), pts).count() == 0
+    assert ev.one_nn(pts, pts.filter("id < 0")).count() == 0
 
 
 def test_log_factorial(spark):

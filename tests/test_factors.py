@@ -48,6 +48,47 @@ def test_chain_against_dense(factors):
     assert not (c.factors[0] == 9).all()  # a copy
 
 
+def test_sparse_storage(spark, factors):
+    full = factors[0] @ factors[1] @ factors[2]
+    c = ch.Chain(factors).sparse()
+    assert all(isinstance(f, ch.Sparse) for f in c.factors) and c.non_zeros() == ch.Chain(factors).non_zeros()
+    x = np.random.default_rng(0).normal(size=(5, 3))
+    assert np.allclose(c.product(), full) and np.allclose(c.dot(x), full @ x) and np.allclose(c.dot(x[:, 0]), full @ x[:, 0])
+    assert np.allclose(c.adjoint().product(), full.T) and np.array_equal(c[1], factors[1]) and c.shape == (4, 5)
+    hollow = ch.Sparse((3, 4), np.array([2]), np.array([1]), np.array([5.0]))
+    assert np.allclose(hollow.dense() @ np.ones((4, 2)), hollow @ np.ones((4, 2))) and np.allclose(hollow.T.dense(), hollow.dense().T)
+    assert not (ch.Sparse.of(np.zeros((2, 3))) @ np.ones(3)).any()
+    assert sorted(map(tuple, c.table(spark).collect())) == sorted(map(tuple, ch.Chain(factors).table(spark).collect()))
+
+
+def test_chain_without_factors(factors):
+    c = ch.Chain(factors)
+    assert np.array_equal(c.left(0).product(), np.eye(4)) and np.array_equal(c.right(0).product(), np.eye(5))
+    assert np.array_equal(ch.Chain([], 3).dot(np.arange(3.0)), np.arange(3.0)) and ch.Chain([], 3).shape == (3, 3)
+
+
+def test_applications_agree(spark, factors):
+    """By held factors and by joins, for a chain with rows that no path reaches and for points that are shorter than it."""
+    holes = [f.copy() for f in factors]
+    holes[1][2], holes[2][:, 3], holes[0][1] = 0, 0, 0
+    table = ch.Chain(holes).table(spark)
+    rng = np.random.default_rng(1)
+    for d in (5, 4):
+        pts = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=d)]) for i in range(30)], "id long, x array<double>")
+        want = sorted((r["id"], r["i"], round(r["v"], 9)) for r in ch.apply_by_join(table, 3, pts).collect())
+        assert sorted((r["id"], r["i"], round(r["v"], 9)) for r in ch.apply_chain(table, 3, pts).collect()) == want
+
+
+def test_walsh_hadamard(spark):
+    rows = [(n, [float(v) for v in np.random.default_rng(n).normal(size=n)]) for n in (1, 2, 8, 64)]
+    got = {}
+    for r in ch.hadamard_apply(spark.createDataFrame(rows, "id long, x array<double>")).collect():
+        got.setdefault(r["id"], {})[r["i"]] = r["v"]
+    for n, x in rows:
+        h = 1 - 2 * (np.bitwise_count(np.arange(n)[:, None] & np.arange(n)[None]) % 2).astype(float)
+        assert np.allclose([got[n][i] for i in range(n)], h @ x)
+
+
 def test_chain_tables(spark, factors):
     c = ch.Chain(factors)
     table = c.table(spark)
@@ -123,6 +164,35 @@ def test_palm_lowers_the_objective():
         assert np.isclose(np.linalg.norm(f), 1.0)
 
 
+def naive_palm(target, factors, constraints, scale, rounds):
+    """The same sweeps with full products and full decompositions in every step."""
+    factors, trace = [f.copy() for f in factors], []
+    product = lambda fs, n: np.linalg.multi_dot([np.eye(n), *fs]) if fs else np.eye(n)
+    for _ in range(rounds):
+        for j in reversed(range(len(factors))):
+            left, right = product(factors[:j], factors[j].shape[0]), product(factors[j + 1 :], factors[j].shape[1])
+            step = 1.001 * (scale * np.linalg.norm(left, 2) * np.linalg.norm(right, 2)) ** 2
+            if step > 0 and not isinstance(constraints[j], Const):
+                gradient = scale * left.T @ (scale * left @ factors[j] @ right - target) @ right.T
+                new = constraints[j].project(factors[j] - gradient / step)
+                if np.linalg.norm(new):
+                    factors[j] = new / np.linalg.norm(new)
+        whole = product(factors, target.shape[0])
+        scale = (target * whole).sum() / (whole * whole).sum()
+        trace.append(((target - scale * whole) ** 2).sum())
+    return scale, factors, trace
+
+
+@pytest.mark.parametrize("constant", [False, True])
+def test_palm_against_a_naive_version(constant):
+    target = np.random.default_rng(7).normal(size=(8, 12))
+    start, rules = start_factors(8, 12, 4, constant), flat_budget(8, 12, 4, 3, constant)
+    scale, factors, trace = naive_palm(target, start, rules, 1.0, 6)
+    got = palm(target, start, rules, max_iter=6, delta=0.0)
+    assert np.allclose(got.trace[1:], trace, rtol=1e-3) and np.isclose(got.scale, scale, rtol=1e-3)
+    assert all(np.allclose(a, b, atol=1e-3) for a, b in zip(got.factors, factors))
+
+
 def test_palm_fixes_constants_and_survives_zero():
     fixed = np.diag(np.arange(1.0, 5.0))
     found = palm(np.random.default_rng(1).normal(size=(4, 6)), [fixed, np.eye(4, 6)], [Const(), Ident()], max_iter=20)
@@ -159,4 +229,12 @@ def test_budgets():
     assert const[2].finetune == [Const(), TopRowCol(20), TopRowCol(20), TopRowCol(80)]
     left = budgets(10, 32, 4, 2, residual_on_right=False)
     assert left[0].split == [TopRowCol(50), TopRowCol(64)] and left[2].finetune == [TopRowCol(20), TopRowCol(20), TopRowCol(20), TopRowCol(64)]
+    three = budgets(10, 32, 3, 1)
+    assert three[1].split == [TopRowCol(10), TopRowCol(80)] and three[1].finetune == [TopRowCol(10), TopRowCol(10), TopRowCol(80)]
+    wide = budgets(4, 64, 3, 9)  # the outer factor's budget exceeds the residual's: a second step's refit keeps the residual's
+    assert wide[1].split[1] == TopRowCol(576) and wide[1].finetune[2] == TopRowCol(64)
+    for n in (3, 4, 5):
+        for right in (True, False):
+            for k, step in enumerate(budgets(10, 32, n, 2, right, constant_first=True)):
+                assert len(step.split) == 2 and len(step.finetune) == k + 2
     assert flat_budget(10, 32, 5, 2, constant_first=True) == [Const(), TopRowCol(20), TopRowCol(20), TopRowCol(20), TopRowCol(64)]

@@ -4,6 +4,7 @@ import pytest
 
 from vecloom.operators import prepare as pp
 from vecloom.operators import report as rp
+from vecloom.operators.positions import with_position
 
 
 def test_min_max_drops_constants(spark):
@@ -36,6 +37,13 @@ def test_splits(spark):
     assert 2700 < part < 3300
 
 
+def test_positions_of_ties(spark):
+    df = spark.createDataFrame([(v, i) for i, v in enumerate([3, 1, 2, 2, 2, 1, 9])], "v int, i int")
+    rows = with_position(df, "v").orderBy("pos").collect()
+    assert [r["pos"] for r in rows] == list(range(7)) and [r["v"] for r in rows] == [1, 1, 2, 2, 2, 3, 9]
+    assert sorted(r["i"] for r in rows) == list(range(7)) and with_position(df.filter("false"), "v").count() == 0
+
+
 def test_batches(spark):
     df = spark.range(10).toDF("id")
     assert pp.batches(df, "id", 4).groupBy("batch").count().count() == 3

@@ -10,21 +10,82 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.durable import materialize
-from vecloom.operators.dense import assign, matrix, nearest
+from vecloom.operators.dense import MAX_CENTROID_VALUES, assign, matrix, nearest
 from vecloom.shipping import ship
 
-#: Rows of either side that meet in one task.
-BLOCK_ROWS = 4096
+#: Rows of either side that meet in one task: as many as have so many values, within bounds.
+BLOCK_VALUES, BLOCK_ROWS = 4_000_000, (1024, 1 << 16)
 
 
-def nearest_in_group(train: DataFrame, test: DataFrame, group: str, rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest_in_group(train: DataFrame, test: DataFrame, group: str, rows: int | None = None) -> DataFrame:
     """(id, train_id, label, d2): the nearest training point in the test point's group, the lowest id of ties.
 
-    Both sides of a group are dealt to blocks of about ``rows`` rows; every pair of blocks is one Arrow task, so a
-    group of any size is spread over many, and no pair of points becomes a row. Groups without training rows
+    If one side is few numbers, by its count, it goes to every task and the other side stays where it is. Else, or
+    with ``rows``, both sides of a group are dealt to blocks of about so many rows; every pair of blocks is one Arrow
+    task, so a group of any size is spread over many. No pair of points becomes a row. Groups without training rows
     give no result.
     """
     ship(train.sparkSession)
+    if rows is None:
+        widest = train.agg(F.max(F.size("x")).alias("d")).first()["d"] or 1
+        if train.count() * widest <= MAX_CENTROID_VALUES:
+            return _with_held_train(train, test, group)
+        if test.count() * widest <= MAX_CENTROID_VALUES:
+            return _best(_with_held_test(train, test, group))
+        rows = min(max(BLOCK_VALUES // widest, BLOCK_ROWS[0]), BLOCK_ROWS[1])
+    return _best(_in_blocks(train, test, group, rows))
+
+
+def _best(found: DataFrame) -> DataFrame:
+    best = found.groupBy("id").agg(F.min(F.struct("d2", "train_id", "label")).alias("best"))
+    return best.select("id", "best.train_id", "best.label", "best.d2")
+
+
+def _with_held_train(train: DataFrame, test: DataFrame, group: str) -> DataFrame:
+    """All training points are in every task: bounded by the caller."""
+    known = train.select(group, "id", "x", "label").toArrow().sort_by("id")
+    place = known.column(group).to_numpy()
+    held = train.sparkSession.sparkContext.broadcast({g: (known.column("id").to_numpy()[place == g], matrix(known.column("x").filter(pa.array(place == g))), known.column("label").to_numpy()[place == g]) for g in np.unique(place)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column(group).to_numpy(zero_copy_only=False)
+            for g in np.unique(asked):
+                if g in held.value:
+                    ids, x, labels = held.value[g]
+                    some = batch.filter(pa.array(asked == g))
+                    own, d2 = nearest(matrix(some.column("x")), x)
+                    yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(ids[own]), pa.array(labels[own].astype(np.int32)), pa.array(d2)], names=["id", "train_id", "label", "d2"])
+
+    return test.select(group, "id", "x").mapInArrow(run, "id long, train_id long, label int, d2 double")
+
+
+def _with_held_test(train: DataFrame, test: DataFrame, group: str) -> DataFrame:
+    """All test points are in every task, which gives each the best of its own training points."""
+    asked = test.select(group, "id", "x").toArrow()
+    held = train.sparkSession.sparkContext.broadcast((asked.column(group).to_numpy(), asked.column("id").to_numpy(), matrix(asked.column("x")) if asked.num_rows else np.zeros((0, 1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, ids, x = held.value
+        best, own, label = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int32)
+        for batch in batches:
+            known = pa.table(batch).sort_by("id")
+            place = known.column(group).to_numpy()
+            for g in np.intersect1d(place, groups):
+                some, at = known.filter(pa.array(place == g)), np.flatnonzero(groups == g)
+                k, d2 = nearest(x[at], matrix(some.column("x")))
+                found = some.column("id").to_numpy()[k]
+                better = (d2 < best[at]) | ((d2 == best[at]) & (found < own[at]))
+                at, k = at[better], k[better]
+                best[at], own[at], label[at] = d2[better], found[better], some.column("label").to_numpy()[k]
+        some = np.isfinite(best)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(own[some]), pa.array(label[some]), pa.array(best[some])], names=["id", "train_id", "label", "d2"])
+
+    return train.select(group, "id", "x", "label").mapInArrow(run, "id long, train_id long, label int, d2 double")
+
+
+def _in_blocks(train: DataFrame, test: DataFrame, group: str, rows: int) -> DataFrame:
+    """The best of every block of training points for the test points that meet it."""
     blocks = lambda df, name: df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
     # one row a group
     sizes = blocks(train, "n_train").join(blocks(test, "n_test"), group)
@@ -46,17 +107,15 @@ def nearest_in_group(train: DataFrame, test: DataFrame, group: str, rows: int =
             own, d2 = nearest(matrix(asked.column("test_x")), matrix(known.column("x")))
         return pa.table({"id": asked.column("test_id"), "train_id": known.column("id").take(pa.array(own)), "label": known.column("label").take(pa.array(own)), "d2": d2})
 
-    found = left.groupBy(group, "a", "b").cogroup(right.groupBy("g", "s", "t")).applyInArrow(run, "id long, train_id long, label int, d2 double")
-    best = found.groupBy("id").agg(F.min(F.struct("d2", "train_id", "label")).alias("best"))
-    return best.select("id", "best.train_id", "best.label", "best.d2")
+    return left.groupBy(group, "a", "b").cogroup(right.groupBy("g", "s", "t")).applyInArrow(run, "id long, train_id long, label int, d2 double")
 
 
-def one_nn(train: DataFrame, test: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+def one_nn(train: DataFrame, test: DataFrame, rows: int | None = None) -> DataFrame:
     """The nearest of all training points, exactly: every pair of blocks is compared."""
     return nearest_in_group(train.withColumn("all", F.lit(0)), test.withColumn("all", F.lit(0)), "all", rows)
 
 
-def one_nn_pruned(train: DataFrame, test: DataFrame, centroids: np.ndarray, rows: int = BLOCK_ROWS) -> DataFrame:
+def one_nn_pruned(train: DataFrame, test: DataFrame, centroids: np.ndarray, rows: int | None = None) -> DataFrame:
     """The nearest training point of the test point's nearest cluster that has any."""
     placed = assign(train, centroids, keep=("id", "x", "label")).drop("d2")
     used = sorted(r["k"] for r in placed.select("k").distinct().collect())  # at most K rows

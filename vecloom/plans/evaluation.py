@@ -81,7 +81,7 @@ nn AS (SELECT id, train_id, label, d2 FROM (SELECT *, row_number() OVER (PARTITI
 @query(f"WITH {_NN} SELECT id, train_id, CAST(label AS INTEGER) AS label, round(d2, 6) AS d2 FROM nn")
 def one_nn_brute(spark, sf_dir):
     train, test = halves(spark, sf_dir)
-    return ev.one_nn(train, test, rows=256).select("id", "train_id", "label", rounded("d2"))
+    return ev.one_nn(train, test).select("id", "train_id", "label", rounded("d2"))
 
 
 _PRUNED = f"""{POINTS}, {first_centroids(K)}, {assigned('a', 'c0', '(SELECT * FROM p WHERE id % 5 <> 0)')},
@@ -98,7 +98,7 @@ def one_nn_pruned(spark, sf_dir):
 
 def predicted(spark, sf_dir):
     train, test = halves(spark, sf_dir)
-    found = ev.one_nn(train, test, rows=256).select("id", F.col("label").alias("predicted"))
+    found = ev.one_nn(train, test).select("id", F.col("label").alias("predicted"))
     return found.join(points(spark, sf_dir).select("id", "label"), "id")
 
 
