@@ -166,7 +166,7 @@ def judge(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_c
     if not shapes:
         return parts.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
     keys = candidates(F.col("host"), F.col("path"), shapes)
-    universe = parts.select("host", F.substring("path", 1, max(n for _, n in shapes)).alias("path")).distinct().select(F.explode(keys)["key"].alias("key"))
+    universe = parts.select("host", F.substring("path", 1, max(n for _, n in shapes)).alias("path")).distinct().select(F.explode(keys).alias("key")).select("key.key")
     listed = rule_frame(pages.sparkSession, rules)
     cascade = Cascade.build(listed, universe)
     # which of the listed keys block is another membership question: its universe is the list itself
