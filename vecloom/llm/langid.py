@@ -138,11 +138,14 @@ class Mixture:
         logs = np.concatenate([self.word_rows(part) for part in _parts(list(count))]).astype(np.float64)
         top = logs.max(axis=1, keepdims=True)
         p = np.maximum(np.exp(logs - top), 1e-12)
-        share, _ = self.proportions(p, n)
+        share, likely = self.proportions(p, n)
         order = np.argsort(-share, kind="stable")
+        # no shares have a likelihood above this: it is concave, and by Jensen's inequality above any point's by as
+        # much as the largest multiplier of a next step tells
+        most = likely + n.sum() * np.log(((n / (p @ share)) @ p).max() / n.sum())
         best, chosen, cost = -np.inf, order[:1], self.penalty * np.log(n.sum() + 1)
         for size in range(1, len(order) + 1):
-            if -cost * (size - 1) <= best:  # no likelihood is above 0 here: larger sets can't be better
+            if most - cost * (size - 1) <= best:  # larger sets can't be better
                 break
             part, likely = self.proportions(p[:, order[:size]], n)
             if likely - cost * (size - 1) > best:
@@ -238,7 +241,8 @@ def documents_in_a_language(docs: DataFrame, model: Mixture, *, text_col: str =
         lang, _, _, known = mixture.judge(text)
         return lang if known else None
 
-    inferred = F.pandas_udf(lambda text: text.map(lambda x: language(x or "")).astype(object), "string")
+    # Spark would put the filter before the projection and infer twice, if it took the function for deterministic
+    inferred = F.pandas_udf(lambda text: text.map(lambda x: language(x or "")).astype(object), "string").asNondeterministic()
     rows = spread(docs).select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     rows = rows.select("row", inferred(F.col("row")[text_col]).alias("found")).filter("found IS NOT NULL")
     lang = F.col("found") if model.languages else F.col("row")[lang_col]
