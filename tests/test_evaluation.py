@@ -46,6 +46,21 @@ def test_pruned_search_skips_clusters_without_training_rows(spark, data):
     assert len(got) == 1 and got[0]["train_id"] < 150
 
 
+@pytest.mark.parametrize("shape", ["ball", "box"])
+@pytest.mark.parametrize("rows", [None, 11])
+def test_cells_skip_only_what_is_farther(spark, data, shape, rows):
+    x, y = data
+    x = x.copy()
+    x[60] = x[61]
+    pts = frame(spark, x, y)
+    train, test = pts.filter("id >= 50"), pts.filter("id < 50")
+    u = np.vstack([x[50:57], np.full((1, 4), 100.0)])
+    got = {r["id"]: r["train_id"] for r in ev.one_nn_in_cells(train, test, u, shape, rows).collect()}
+    d2 = ((x[:50, None] - x[None, 50:]) ** 2).sum(-1)
+    assert [got[i] for i in range(50)] == (d2.argmin(axis=1) + 50).tolist()
+    assert ev.one_nn_in_cells(pts.filter("id < 0"), test, u, shape, rows).count() == 0
+
+
 def test_no_training_rows(spark, data):
     pts = frame(spark, data[0])
     assert ev.one_nn(pts.filter("id < 0"), pts).count() == 0

@@ -123,6 +123,55 @@ def one_nn_pruned(train: DataFrame, test: DataFrame, centroids: np.ndarray, rows
     return nearest_in_group(placed, asked, "k", rows)
 
 
+def _cells(placed: DataFrame, centroids: np.ndarray, shape: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each cluster the radius of its ball (and nothing), or the low and high corners of its box; NaN for an empty one."""
+    n, d = centroids.shape
+    if shape == "ball":
+        radius = np.full((n, 1), np.nan)
+        for r in placed.groupBy("k").agg(F.max("d2").alias("d2")).collect():  # at most K rows
+            radius[r["k"]] = np.sqrt(r["d2"])
+        return radius, radius
+    corners = placed.select("k", F.posexplode("x").alias("pos", "v")).groupBy("k", "pos").agg(F.min("v").alias("low"), F.max("v").alias("high")).toArrow()  # at most K x d rows
+    low, high = np.full((n, d), np.nan), np.full((n, d), np.nan)
+    k, pos = corners.column("k").to_numpy(), corners.column("pos").to_numpy()
+    low[k, pos], high[k, pos] = corners.column("low").to_numpy(), corners.column("high").to_numpy()
+    return low, high
+
+
+def one_nn_in_cells(train: DataFrame, test: DataFrame, centroids: np.ndarray, shape: str = "ball", rows: int | None = None) -> DataFrame:
+    """The nearest of all training points, exactly, by bounds as a ball tree ("ball") or a k-d tree ("box") has them.
+
+    The nearest point of the test point's own cluster bounds the distance; of the other clusters only those are
+    searched whose ball or box comes as near as that.
+    """
+    centroids = np.asarray(centroids, np.float64)
+    placed = assign(train, centroids, keep=("id", "x", "label"))
+    bounds = _cells(placed, centroids, shape)
+    placed = placed.drop("d2")
+    used = np.flatnonzero(~np.isnan(bounds[0][:, 0]))
+    if not len(used):
+        return nearest_in_group(placed, test.withColumn("k", F.lit(0)), "k", rows)
+    asked = materialize(assign(test, centroids[used], keys=used.tolist(), keep=("id", "x")).drop("d2"), "asked")
+    first = materialize(nearest_in_group(placed, asked, "k", rows), "first-neighbours")
+    held = train.sparkSession.sparkContext.broadcast((centroids[used], used, *(b[used] for b in bounds)))
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, names, low, high = held.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                x, best, own = matrix(part.column("x")), part.column("best").to_numpy(), part.column("k").to_numpy()
+                if shape == "ball":
+                    gap = np.maximum(np.sqrt(((x[:, None] - u[None]) ** 2).sum(axis=2)) - low.T, 0) ** 2
+                else:
+                    gap = (np.maximum(np.maximum(low[None] - x[:, None], x[:, None] - high[None]), 0) ** 2).sum(axis=2)
+                i, c = np.nonzero((gap <= best[:, None] * (1 + 1e-9) + 1e-12) & (names[None] != own[:, None]))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(i)), part.column("x").take(pa.array(i)), pa.array(names[c].astype(np.int32))], names=["id", "x", "k"])
+
+    again = asked.join(first.select("id", F.col("d2").alias("best")), "id").select("id", "x", "k", "best").mapInArrow(reached, "id long, x array<double>, k int")
+    return _best(first.unionByName(nearest_in_group(placed, again, "k", rows)))
+
+
 def accuracy(predicted: Column, actual: Column) -> Column:
     return F.avg(F.when(predicted == actual, 1.0).otherwise(0.0))
 

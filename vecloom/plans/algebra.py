@@ -9,13 +9,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.durable import new_path
 from vecloom.functions.vectors import pad_pow2
 from vecloom.operators import chain as c
 from vecloom.operators import projections as pr
 from vecloom.operators.factorize import TopRowCol, budgets, flat_budget, hierarchical, palm, start_factors
 from vecloom.plans.clustering import centroid_table, coordinates, rounded
 from vecloom.plans.registry import POINTS, gaussian, query, text
-from vecloom.sources.tables import first_rows, load, points
+from vecloom.sources.tables import first_rows, load, points, read_factors, write_factors
 
 N = 8
 
@@ -79,6 +80,14 @@ def frobenius_and_scale(spark, sf_dir):
     return c.difference(c.factor(f, 0), c.multiply(c.factor(f, 1), c.factor(f, 2))).select(rounded("error"), rounded("scale"))
 
 
+@query(f"WITH {_F} SELECT q, i, j, round(v, 6) + 0.0 AS v, 0.5::DOUBLE AS scale FROM f")
+def factors_round_trip(spark, sf_dir):
+    path = new_path(spark, "factors")
+    write_factors(factors(spark, sf_dir), 0.5, path)
+    chain, scale = read_factors(spark, path)
+    return chain.select("q", "i", "j", rounded("v"), F.lit(scale).alias("scale"))
+
+
 @query(f"WITH {_F} SELECT count(*) AS n_param FROM f WHERE v <> 0")
 def param_count(spark, sf_dir):
     return c.non_zeros(factors(spark, sf_dir))

@@ -84,6 +84,18 @@ def one_nn_brute(spark, sf_dir):
     return ev.one_nn(train, test).select("id", "train_id", "label", rounded("d2"))
 
 
+@query(f"WITH {_NN} SELECT id, train_id, CAST(label AS INTEGER) AS label, round(d2, 6) AS d2 FROM nn")
+def one_nn_ball(spark, sf_dir):
+    train, test = halves(spark, sf_dir)
+    return ev.one_nn_in_cells(train, test, first_rows(points(spark, sf_dir), K), "ball").select("id", "train_id", "label", rounded("d2"))
+
+
+@query(f"WITH {_NN} SELECT id, train_id, CAST(label AS INTEGER) AS label, round(d2, 6) AS d2 FROM nn")
+def one_nn_box(spark, sf_dir):
+    train, test = halves(spark, sf_dir)
+    return ev.one_nn_in_cells(train, test, first_rows(points(spark, sf_dir), K), "box").select("id", "train_id", "label", rounded("d2"))
+
+
 _PRUNED = f"""{POINTS}, {first_centroids(K)}, {assigned('a', 'c0', '(SELECT * FROM p WHERE id % 5 <> 0)')},
 used AS (SELECT k, u FROM c0 WHERE k IN (SELECT k FROM a)), {assigned('b', 'used', '(SELECT * FROM p WHERE id % 5 = 0)')},
 d AS (SELECT b.id, a.id AS train_id, {sq('a.x', 'b.x')} AS d2 FROM b JOIN a ON a.k = b.k),

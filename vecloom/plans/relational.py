@@ -11,7 +11,7 @@ from vecloom.operators import prepare as pp
 from vecloom.operators import report as rp
 from vecloom.plans.clustering import rounded
 from vecloom.plans.registry import POINTS, gaussian, query, text, uniform
-from vecloom.sources.tables import feature_points, load, points, read_centroids, read_delimited, read_raw_matrix, write_centroids, write_trace
+from vecloom.sources.tables import dataset, load, points, read_centroids, read_delimited, read_raw_matrix, write_centroids, write_trace
 
 
 @query(
@@ -93,7 +93,7 @@ def blobs(spark, sf_dir):
 
 @query("SELECT l_orderkey AS id, round(sum(l_quantity + l_extendedprice + l_discount + l_tax), 4) AS total FROM lineitem GROUP BY l_orderkey")
 def feature_vectors(spark, sf_dir):
-    rows = feature_points(load(spark, sf_dir, "lineitem"), "l_orderkey", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    rows = dataset(spark, sf_dir, "lineitem")
     return rows.groupBy("id").agg(F.round(F.sum(F.aggregate("x", F.lit(0.0), lambda s, v: s + v)), 4).alias("total"))
 
 

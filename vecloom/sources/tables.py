@@ -21,6 +21,23 @@ def feature_points(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.select(F.col(key).alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
 
 
+#: Sets of points by name: of a table the key and the numeric columns, or the vectors that it has already.
+DATASETS: dict[str, tuple[str, list[str]] | None] = {
+    "embeddings": None,
+    "lineitem": ("l_orderkey", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]),
+    "orders": ("o_orderkey", ["o_totalprice"]),
+    "customer": ("c_custkey", ["c_acctbal"]),
+}
+
+
+def dataset(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """(id, x) of a set by its name."""
+    if name not in DATASETS:
+        raise ValueError(f"no set {name!r}: one of {sorted(DATASETS)}")
+    columns = DATASETS[name]
+    return points(spark, sf_dir).select("id", "x") if columns is None else feature_points(load(spark, sf_dir, name), *columns)
+
+
 def first_rows(points: DataFrame, k: int) -> np.ndarray:
     """The k points of smallest id."""
     return np.array([r["x"] for r in points.orderBy("id").limit(k).select("x").collect()], np.float64)
@@ -74,3 +91,15 @@ def write_centroids(spark: SparkSession, centroids: np.ndarray, path: str) -> No
 
 def read_centroids(spark: SparkSession, path: str) -> np.ndarray:
     return np.array([r["u"] for r in spark.read.parquet(path).orderBy("k").collect()], np.float64)
+
+
+def write_factors(factors: DataFrame, scale: float, path: str) -> None:
+    """A chain (q, i, j, v) by its non-zeros, and the scale of its product."""
+    factors.select("q", "i", "j", "v", F.lit(float(scale)).alias("scale")).write.mode("overwrite").parquet(path)
+
+
+def read_factors(spark: SparkSession, path: str) -> tuple[DataFrame, float]:
+    """The chain and its scale; a chain without non-zeros has scale 0."""
+    rows = spark.read.parquet(path)
+    first = rows.select("scale").first()
+    return rows.drop("scale"), first["scale"] if first else 0.0
