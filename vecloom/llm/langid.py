@@ -44,7 +44,8 @@ def pieces(word: str) -> list[str]:
 
 def words_of(text: str) -> Counter[str]:
     """The runs with a letter, and how often they occur."""
-    return Counter(w for w in LETTERS.findall(text.lower()) if w.isalpha() or any(c.isalpha() for c in w))
+    counted = Counter(LETTERS.findall(text.lower()))
+    return Counter({w: n for w, n in counted.items() if w.isalpha() or any(c.isalpha() for c in w)})
 
 
 def marked_runs(text: str, low: int, high: int) -> list[str]:
@@ -130,8 +131,11 @@ class Mixture:
         """``infer``'s, and whether the selected set explains the trigrams better than letters drawn at random do."""
         count: Counter[str] = Counter()
         for w, times in words_of(text).items():
-            for piece in pieces(w):
-                count[piece] += times
+            if len(w) <= PIECE:
+                count[f"^{w}$"] += times
+            else:
+                for piece in pieces(w):
+                    count[piece] += times
         if not count or not self.languages:
             return UNKNOWN, 0.0, [], False
         n = np.fromiter(count.values(), np.float64, len(count))
@@ -151,7 +155,7 @@ class Mixture:
             if likely - cost * (size - 1) > best:
                 best, chosen, shares = likely - cost * (size - 1), order[:size], part
         ranked = sorted(zip(-shares, chosen))
-        at_random = -3 * np.log(self.n_letters) * sum((len(piece) - 2) * times for piece, times in count.items())
+        at_random = -3 * np.log(self.n_letters) * (n @ (np.fromiter(map(len, count), np.float64, len(count)) - 2))
         return self.languages[ranked[0][1]], float(-ranked[0][0]), [(self.languages[i], float(-s)) for s, i in ranked], bool(best + n @ top[:, 0] > at_random)
 
 
