@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 NULL_TOKEN = "None"
 
 
-def read_runs(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """All CSV records below a path, with the run they come from: the file's name without its suffix."""
+def read_runs(spark: SparkSession, path: str, schema: str | None = None, run: str = r"([^/]+?)(_results)?\.csv$") -> DataFrame:
+    """All CSV records below a path, with the run they come from: what ``run`` finds in the file's path, by default its name without suffix."""
     reader = spark.read.option("header", True).option("nullValue", NULL_TOKEN)
     runs = (reader.schema(schema) if schema else reader).csv(path)
-    return runs.withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(_results)?\.csv$", 1))
+    return runs.withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), run, 1))
 
 
 def write_record(record: DataFrame, path: str) -> None:

@@ -264,10 +264,14 @@ def set_difference(spark, sf_dir):
     return rp.remaining(load(spark, sf_dir, "customer").select("c_custkey"), done, ["c_custkey"])
 
 
-@query("SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN contains(t, 'BRASS') THEN 'brass' WHEN contains(t, 'Brand') THEN 'brand' WHEN contains(t, '1') THEN 'one' ELSE 'other' END AS bucket FROM (SELECT p_type || ' ' || p_brand AS t FROM part)) GROUP BY bucket")
+_BUCKETS = [(str(d), name) for d, name in enumerate(("memory", "time limit", "killed", "not found", "singular", "disk", "syntax", "import", "overflow", "nan"))]
+_CASE = " ".join(f"WHEN contains(t, '{text}') THEN '{name}'" for text, name in _BUCKETS)
+
+
+@query(f"SELECT bucket, count(*) AS n FROM (SELECT CASE {_CASE} ELSE 'other' END AS bucket FROM (SELECT CASE WHEN p_partkey % 9 = 0 THEN p_type ELSE CAST(p_partkey % 97 AS VARCHAR) END AS t FROM part)) GROUP BY bucket")
 def log_classify(spark, sf_dir):
-    rows = load(spark, sf_dir, "part").select(F.concat_ws(" ", "p_type", "p_brand").alias("t"))
-    return rp.classify(rows, "t", [("BRASS", "brass"), ("Brand", "brand"), ("1", "one")])
+    text = F.when(F.col("p_partkey") % 9 == 0, F.col("p_type")).otherwise((F.col("p_partkey") % 97).cast("string"))
+    return rp.classify(load(spark, sf_dir, "part").select(text.alias("t")), "t", _BUCKETS)
 
 
 @query("SELECT event_id, CAST(event_id AS VARCHAR) || ' --kind ' || event_type AS command FROM events WHERE event_id % 2 = 0")
@@ -314,14 +318,14 @@ def single_value(spark, sf_dir):
     return rows.groupBy("dataset").agg(rp.single_value(rows, "unit").alias("unit"))
 
 
-@query("SELECT count(DISTINCT c_nationkey) AS runs, count(*) AS n FROM customer")
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS run, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY c_nationkey")
 def scan_runs(spark, sf_dir):
-    """One CSV file a run, read together with the run's name from the path."""
+    """CSV files of many runs, read together with the run's name from the path."""
     path = new_path(spark, "runs")
     rows = load(spark, sf_dir, "customer").select("c_nationkey", F.col("c_acctbal").cast("string").alias("objective"))
     rows.write.option("header", True).partitionBy("c_nationkey").csv(path)
-    back = rp.read_runs(spark, path, "objective string")
-    return back.agg(F.count_distinct("c_nationkey").alias("runs"), F.count(F.lit(1)).alias("n"))
+    back = rp.read_runs(spark, path, "objective string", r"/c_nationkey=([0-9]+)/[^/]+$")
+    return back.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("objective").cast("double")), 2).alias("total"))
 
 
 @query(f"WITH {_R} SELECT DISTINCT dataset, model, k FROM r")
