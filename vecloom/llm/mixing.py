@@ -125,7 +125,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row")).select("row", word_count(F.col("row")[text_col]).alias("n_words"))
     row = F.col("d.row")
     same = row[id_col].eqNullSafe(F.col("p.doc_id")) & row[source_col].eqNullSafe(F.col("p.source")) & (F.col("d.n_words") == F.col("p.size"))
-    joined = rows.alias("d").join(plan.alias("p"), same)
+    # one plan at every size: the table of copies has a row for nearly every document
+    joined = rows.alias("d").join(plan.hint("merge").alias("p"), same)
     return joined.select("d.row", F.explode(F.sequence(F.lit(1), F.col("p.times")))).select("row.*")
 
 
