@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.llm import filter_audit, langid, mixing, pieces, pii, quality, simhash, toxicity, urlfilter, warc, weighted_sampling
+from vecloom.llm import conversations, filter_audit, langid, mixing, pieces, pii, quality, simhash, toxicity, urlfilter, warc, weighted_sampling
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": quality.query,
         "op10_language_id": langid.query,
         "op12_filter_audit": filter_audit.query,
+        "op13_conversation_repair": conversations.query,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc_archive": warc.ORACLE,
         "op9_quality_rules": quality.ORACLE,
         "op12_filter_audit": filter_audit.ORACLE,
+        "op13_conversation_repair": conversations.ORACLE,
     }
