@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.llm import conversations, filter_audit, langid, mixing, pieces, pii, quality, simhash, toxicity, urlfilter, warc, weighted_sampling
+from vecloom.llm import conversations, extraction, filter_audit, langid, mixing, pieces, pii, quality, simhash, toxicity, urlfilter, warc, weighted_sampling
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.query,
         "op9_quality_rules": quality.query,
         "op10_language_id": langid.query,
+        "op11_html_extraction": extraction.query,
         "op12_filter_audit": filter_audit.query,
         "op13_conversation_repair": conversations.query,
     }
@@ -32,6 +33,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filters": urlfilter.ORACLE,
         "op5_warc_archive": warc.ORACLE,
         "op9_quality_rules": quality.ORACLE,
+        "op11_html_extraction": extraction.ORACLE,
         "op12_filter_audit": filter_audit.ORACLE,
         "op13_conversation_repair": conversations.ORACLE,
     }
