@@ -90,12 +90,3 @@ def test_every_document_fails_every_filter(spark):
     got = as_dict(fa.audit(df, marks))
     assert got == by_hand(rows, [])
     assert got["en", "ABCDE", 1][:2] == (0, 6)
-
-
-def test_no_row_joins_its_copies(spark):
-    """The plan has one join of documents, that with labels; copies are aggregated."""
-    df = spark.createDataFrame([(1, "x", "en")], "doc_id long, text string, lang string")
-    marks = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
-    plan = fa.audit(df, marks)._jdf.queryExecution().optimizedPlan().toString()
-    keys = [line for line in plan.splitlines() if "Join" in line]
-    assert keys and all("doc_id" in line and "digest" not in line for line in keys)

@@ -16,6 +16,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.durable import materialize
 from vecloom.llm.common import SPACE, read, spread
 
 FILTERS = "ABCDE"
@@ -56,7 +57,7 @@ def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marks = marks.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("quality").alias("is_good"), F.col("toxic").alias("is_toxic"))
     # one row an id, text and part is left, so that no id is frequent in the join
     rows = rows.join(marks, "doc_id", "left").na.fill(0, ["is_good", "is_toxic"])
-    rows = rows.withColumns({"good": F.col("n") * F.col("is_good"), "toxic": F.col("n") * F.col("is_toxic")})
+    rows = materialize(rows.withColumns({"good": F.col("n") * F.col("is_good"), "toxic": F.col("n") * F.col("is_toxic")}), "flags")  # used twice; texts are read once
     measured = lambda sign: [(F.col(m) * sign).cast("long").alias(m) for m in MEASURES]
     named = rows.filter("doc_id IS NOT NULL")
     # the smallest id of each text and part, then of each text: a few parts a digest
