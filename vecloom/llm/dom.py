@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import numpy as np
+from xxhash import xxh64_intdigest
 
 # Fixed values of the HTML standard: elements without content, elements that end a paragraph, elements that may stand in a head.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -14,6 +15,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav "
     "ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
+NO_PARAGRAPH = BLOCK - {"p"}
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 #: A start tag ends these elements, if they are open, without passing those behind them.
 ENDS = {
@@ -49,21 +51,19 @@ MAIN = frozenset("article main".split())
 ABOUT = frozenset("has with without no not is".split())
 
 
-CUT_TAG = re.compile("<[a-zA-Z/]")
-
-
 class Node:
-    __slots__ = ("tag", "names", "role", "children", "text", "index", "end", "shape", "key", "full", "apart")
+    """An element, or a text ("#") with its length and its token, a hash that stands for it in alignments."""
+
+    __slots__ = ("tag", "names", "role", "children", "said", "text", "token", "chars", "index", "end", "shape", "key", "full", "apart")
 
-    def __init__(self, tag: str, text: str = "", names: str = "", role: str = ""):
-        self.tag, self.text, self.names, self.role = tag, text, names, role
+    def __init__(self, tag: str, text: str = "", names: str = "", role: str = "", token: int = 0, chars: int = 0):
+        self.tag, self.text, self.names, self.role, self.token, self.chars = tag, text, names, role, token, chars
         self.children: list[Node] = []
         self.index = self.end = 0
 
 
-class _Builder(HTMLParser):
+class _Builder:
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.open = [self.root]
 
@@ -76,90 +76,148 @@ class _Builder(HTMLParser):
             if tag in until:
                 return
 
-    def _leave_head(self) -> None:
-        if self.open[-1].tag == "head":
+    def start(self, tag: str, attributes: str) -> None:
+        if self.open[-1].tag == "head" and tag not in IN_HEAD:
             self.open.pop()
-
-    def handle_starttag(self, tag, attrs):
-        if tag not in IN_HEAD:
-            self._leave_head()
         if tag in BLOCK:
-            self._end(("p",), BLOCK - {"p"})
-        if tag in ENDS:
-            self._end(*ENDS[tag])
-        if tag in ("html", "body") and any(n.tag == tag for n in self.open):
-            return
-        a = dict(reversed(attrs))
-        node = Node(tag, names=f"{a.get('class') or ''} {a.get('id') or ''}".strip().lower(), role=(a.get("role") or "").strip().lower())
+            self._end(("p",), NO_PARAGRAPH)
+            if tag in ENDS:
+                self._end(*ENDS[tag])
+            if tag in ("html", "body") and any(n.tag == tag for n in self.open):
+                return
+        node = Node(tag)
+        if "=" in attributes:
+            a = {}
+            for m in ATTRIBUTE.finditer(attributes):
+                a.setdefault(m[1].lower(), unescape(m[2].strip("\"'")).lower())
+            if a:
+                node.names = " ".join([*a.get("class", "").split(), *a.get("id", "").split()])
+                node.role = " ".join(a.get("role", "").split())
         self.open[-1].children.append(node)
         if tag not in VOID and len(self.open) < DEPTH:
             self.open.append(node)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
+    def end(self, tag: str) -> None:
         if tag == "br":
-            self.handle_starttag(tag, [])
-        until = CELLS if tag in BLOCK and tag not in TABLE_PARTS else () if tag in BLOCK else BLOCK
-        self._end((tag,), until)
+            self.start(tag, "")
+        elif tag in BLOCK:
+            self._end((tag,), () if tag in TABLE_PARTS else CELLS)
+        else:
+            self._end((tag,), BLOCK)
 
-    def handle_data(self, data):
-        if self.open[-1].tag == "head" and data.strip():
-            self._leave_head()
+    def data(self, text: str) -> None:
+        if self.open[-1].tag == "head" and not text.isspace():
+            self.open.pop()
         last = self.open[-1].children
         if last and last[-1].tag == "#":
-            last[-1].text += data
+            last[-1].text += text
         else:
-            last.append(Node("#", data))
+            last.append(Node("#", text))
+
+
+#: A comment; a start or end tag with its attributes; anything else that no browser shows.
+MARKUP = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
+ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: What stands in these elements is no markup, and never text of an article.
+RAW = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in ("script", "style", "title", "textarea", "iframe", "noembed", "noframes")}
+CUT_TAG = re.compile("<[a-zA-Z/!]")
 
 
 def parse(html: str) -> Node:
-    """The tree of a page of any kind; numbered, with what the alignment needs of each subtree."""
-    builder = _Builder()
-    # a tag that the page's end cuts off is no text
-    cut = CUT_TAG.search(html, html.rfind(">") + 1)
-    builder.feed(html[: cut.start()] if cut else html)
-    builder.close()
+    """The tree of a page of any kind; numbered, with what the alignment needs of each subtree. Markup that the page's end cuts off is no text."""
+    builder, at = _Builder(), 0
+    for m in iter(lambda: MARKUP.search(html, at), None):
+        if m.start() > at:
+            text = html[at : m.start()]
+            builder.data(unescape(text) if "&" in text else text)
+        at = m.end()
+        slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if not tag:
+            continue
+        tag = tag.lower()
+        if slash:
+            builder.end(tag)
+            continue
+        builder.start(tag, attributes)
+        if tag in RAW:
+            ending = RAW[tag].search(html, at)
+            at = ending.start() if ending else len(html)
+    rest = html[at:]
+    cut = CUT_TAG.search(rest, rest.rfind(">") + 1)
+    rest = rest[: cut.start()] if cut else rest
+    if rest:
+        builder.data(unescape(rest))
     _finish(builder.root, 0)
     return builder.root
 
 
 def _finish(node: Node, at: int) -> int:
-    """Numbers in document order; text of white space alone goes, other text is squeezed."""
+    """Numbers in document order, and what the alignment needs; text of white space alone is a blank, other text is squeezed."""
     node.index = at
     at += 1
     if node.tag == "#":
-        node.shape, node.full = "#", 2
-        node.key = hash(node.text)
+        node.shape, node.full, node.key, node.apart = 0, 2, node.token, ""
     else:
-        kept = []
+        kept, said = [], []
         for child in node.children:
-            if child.tag == "#":
-                squeezed = " ".join(child.text.split())
-                if not squeezed:
-                    # what stands between words stays as a blank, for the blocks
+            if child.tag == "#" and not child.chars:
+                text = child.text
+                squeezed = " ".join(text.split())
+                if squeezed:
+                    child.token, child.chars = xxh64_intdigest(squeezed), len(squeezed)
+                    child.text = f"{' ' if text[0].isspace() else ''}{squeezed}{' ' if text[-1].isspace() else ''}"
+                elif kept:
                     child.text = " "
-                    if kept:
-                        kept.append(child)
+                else:
                     continue
-                lead, trail = child.text[:1].isspace(), child.text[-1:].isspace()
-                child.text = f"{' ' if lead else ''}{squeezed}{' ' if trail else ''}"
             kept.append(child)
-        node.children = kept
-        for child in kept:
+            if child.tag != "#" or child.chars:
+                said.append(child)
             at = _finish(child, at)
-        said = [c for c in kept if not blank(c)]
-        node.shape = hash((node.tag, node.names, tuple(c.shape for c in said)))
-        node.key = hash((node.shape, tuple(c.key for c in said)))
-        node.full = 1 + 1 + sum(c.full for c in said)
+        node.children, node.said = kept, said
+        node.shape = hash((node.tag, node.names, *[c.shape for c in said]))
+        node.key = hash((node.shape, *[c.key for c in said]))
+        node.full = 2 + sum([c.full for c in said])
+        node.apart = is_apart(node)
     node.end = at
-    node.apart = is_apart(node)
     return at
 
 
+def skeleton(root: Node) -> dict:
+    """A tree without its texts: of each node what it is, where its subtree ends, the token and length of its text."""
+    out: dict[str, list] = {"labels": [], "ends": [], "tokens": [], "chars": []}
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        out["labels"].append(n.tag if not n.names and not n.role else f"{n.tag}\n{n.names}\n{n.role}")
+        out["ends"].append(n.end)
+        out["tokens"].append(n.token - (1 << 63))
+        out["chars"].append(n.chars)
+        todo += n.children[::-1]
+    return out
+
+
+def from_skeleton(held: dict) -> Node:
+    """The tree that a skeleton was made of; its texts are empty."""
+    above: list[tuple[int, Node]] = []
+    root = None
+    for at, (label, end, token, chars) in enumerate(zip(held["labels"], held["ends"], held["tokens"], held["chars"])):
+        tag, _, rest = label.partition("\n")
+        names, _, role = rest.partition("\n")
+        node = Node(tag, " " if tag == "#" else "", names, role, token + (1 << 63), chars)
+        while above and above[-1][0] <= at:
+            above.pop()
+        if root is None:
+            root = node
+        else:
+            above[-1][1].children.append(node)
+        above.append((end, node))
+    _finish(root, 0)
+    return root
+
+
 def blank(node: Node) -> bool:
-    return node.tag == "#" and node.text == " "
+    return node.tag == "#" and not node.chars
 
 
 def is_main(node: Node) -> bool:
@@ -212,24 +270,23 @@ def weight(a: Node, b: Node, memo: dict) -> int:
         return a.full
     if a.tag == "#":
         return 1
+    left, right = a.said, b.said
+    own = 1 + (a.names == b.names)
+    if len(left) == 1 and len(right) == 1:
+        return own + weight(left[0], right[0], memo)
     found = memo.get((a.index, b.index))
     if found is None:
-        own = 1 + (a.names == b.names)
-        left, right = _said(a), _said(b)
-        if len(left) == 1 and len(right) == 1:
-            found = own + weight(left[0], right[0], memo)
-        else:
-            found = own + sum(weight(x, y, memo) for x, y in aligned_children(left, right, memo))
-        memo[a.index, b.index] = found
+        found = memo[a.index, b.index] = own + sum([weight(x, y, memo) for x, y in aligned_children(left, right, memo)])
     return found
 
 
-def _said(node: Node) -> list[Node]:
-    return [c for c in node.children if not blank(c)]
-
-
 def aligned_children(left: list[Node], right: list[Node], memo: dict) -> list[tuple[Node, Node]]:
     """The pairs of greatest weight that keep the order of both lists."""
+    if len(left) == len(right) > 1:
+        tags = [c.tag for c in left]
+        # different elements in the same order: all pairs weigh something, and no others do
+        if len(set(tags)) == len(tags) and tags == [c.tag for c in right]:
+            return list(zip(left, right))
     ends: list[tuple[Node, Node]] = []
     first = 0
     # equal subtrees at either end are in some best alignment: nothing weighs more for either of them
@@ -253,8 +310,11 @@ def aligned_children(left: list[Node], right: list[Node], memo: dict) -> list[tu
     return ends + middle + last[::-1]
 
 
-def _row(a: Node, right: list[Node], memo: dict) -> np.ndarray:
-    return np.fromiter((weight(a, b, memo) for b in right), np.int64, len(right))
+def _weights(a: Node, right: list[Node], memo: dict) -> list[int]:
+    """The weights of a node against a list; most pairs are paragraphs of one text each."""
+    tag, key, shape, full = a.tag, a.key, a.shape, a.full
+    plain = full - 1 if tag != "#" and len(a.said) == 1 and a.said[0].tag == "#" else 0
+    return [0 if b.tag != tag else full if b.key == key else plain if plain and b.shape == shape else weight(a, b, memo) for b in right]
 
 
 def _scores(left: list[Node], right: list[Node], memo: dict) -> list[np.ndarray]:
@@ -262,14 +322,14 @@ def _scores(left: list[Node], right: list[Node], memo: dict) -> list[np.ndarray]
     row = np.zeros(len(right) + 1, np.int64)
     for a in left:
         best = row.copy()
-        np.maximum(best[1:], row[:-1] + _row(a, right, memo), out=best[1:])
+        np.maximum(best[1:], row[:-1] + np.array(_weights(a, right, memo), np.int64), out=best[1:])
         row = np.maximum.accumulate(best)
     return [row]
 
 
 def _traced(left: list[Node], right: list[Node], memo: dict) -> list[tuple[Node, Node]]:
     n, m = len(left), len(right)
-    weights = [[weight(a, b, memo) for b in right] for a in left]
+    weights = [_weights(a, right, memo) for a in left]
     if n == 1 or m == 1:
         best = max((w, -i, -j) for i, row in enumerate(weights) for j, w in enumerate(row))
         return [(left[-best[1]], right[-best[2]])] if best[0] else []
@@ -309,7 +369,7 @@ def align(page: Node, other: Node) -> dict[int, Node]:
         a, b = todo.pop()
         out[a.index] = b
         if a.tag != "#":
-            left, right = _said(a), _said(b)
+            left, right = a.said, b.said
             if len(left) == 1 and len(right) == 1:
                 todo += [(left[0], right[0])] if left[0].tag == right[0].tag else []
             else:
@@ -350,7 +410,7 @@ def blocks(root: Node) -> list[Block]:
                 now[0] = Block(inside or not has_main, above)
                 out.append(now[0])
             now[0].pieces.append(node.text)
-            if node.text != " ":
+            if node.chars:
                 now[0].nodes.append(node)
             return
         if node.tag == "br":

@@ -3,7 +3,9 @@
 Pages of one host are made by one program. Each page's tree is aligned with that of another page of its host by simple
 tree matching: text that is the same in the same place is the program's (template), text that varies fills a slot. Over all pages
 of the host the slots' characters are counted by the element that they stand in; the deepest element that holds nearly
-all of them is where articles are put, and its place in each page, found by the alignment, gives the page's text.
+all of them is where articles are put. A host's wrapper is the tree of one page with this element and the template's
+texts; a second reading of the pages aligns each with its wrapper and takes its text. To learn, pages move as skeletons:
+trees of labels with a hash in place of each text, some tenth of the page.
 
 What no alignment can tell is told by the page itself: menus, adverts and footers whose words vary from page to page are
 known by their elements, classes and links, and a template's words within the article stay, as nothing in it is dropped.
@@ -11,29 +13,29 @@ known by their elements, classes and links, and a template's words within the ar
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from vecloom.durable import broadcast_if_small, materialize
-from vecloom.llm.common import read, typed
-from vecloom.llm.dom import Block, Node, align, blocks, is_main, parse, walk
-from vecloom.shipping import ship
+from vecloom.durable import materialize
+from vecloom.llm.common import map_batches, read, texts, typed
+from vecloom.llm.dom import Block, Node, align, blocks, from_skeleton, is_main, parse, skeleton
 
 #: A host of more pages is learned in groups of about so many, or of a ten-thousandth of all pages if that is more.
-GROUP, SHARE = 1000, 10_000
+GROUP, SHARE = 256, 10_000
 #: The article's element holds this share of what varies.
 MOST = 0.9
 #: A text is the template's if it is the same in this share of a group's pages, of three different ones at least.
 SAME, PAGES = 0.5, 3
-#: Rows of a batch that Python holds as objects at a time.
-ROWS = 64
-#: Groups whose wrappers go to every executor at most (some 20 MB).
-MAX_WRAPPERS = 100_000
+#: Rows that Python holds as objects at a time, and wrappers that a worker keeps.
+ROWS, HELD = 64, 256
+#: Nodes of all wrappers that go to every executor at most (some 50 MB); beyond, pages are shuffled to them.
+MAX_NODES = 2_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -57,47 +59,28 @@ def grouped(pages: DataFrame, id_col: str, url_col: str, body_col: str) -> DataF
     return rows.select("page_id", "url", "html", "host", "part", F.xxhash64("html").alias("order"))
 
 
-class Wrapper:
+class Learner:
     """What is learned of a group while its pages pass: the first page is the one that others are aligned with."""
 
-    def __init__(self, html: str):
-        self.tree = parse(html)
-        n = self.tree.end
-        self.pages, self.mass, self.same = 1, np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.last = (html, self.found(self.tree, learn=False))
+    def __init__(self, tree: Node):
+        self.tree, self.pages = tree, 1
+        self.mass, self.same = np.zeros(tree.end, np.int64), np.zeros(tree.end, np.int64)
 
-    def blocks(self, html: str) -> list[dict]:
-        """A page's blocks; pages that are the same as the one before teach once."""
-        if html != self.last[0]:
-            self.last = (html, self.found(parse(html), learn=True))
-        return self.last[1]
-
-    def found(self, page: Node, learn: bool) -> list[dict]:
-        pairs = align(page, self.tree) if learn else {}
-        out = []
+    def add(self, page: Node) -> None:
+        pairs = align(page, self.tree)
         for block in blocks(page):
-            element, same = (self.place(block, pairs)) if learn else (block.above[-1], block.nodes[0].index)
-            text = block.text
-            out.append({"element": element, "same": same, "main": block.main, "text": text})
-            if learn:
-                if same >= 0:
-                    self.same[same] += 1
+            element = innermost(block.above, pairs)
+            for n in block.nodes:
+                if n.index in pairs and pairs[n.index].token == n.token:
+                    self.same[pairs[n.index].index] += 1
                 else:
-                    self.mass[element] += len(text)
-        self.pages += learn
-        return out
-
-    @staticmethod
-    def place(block: Block, pairs: dict[int, Node]) -> tuple[int, int]:
-        """The number of the innermost element of the other page around a block, and of its text there if that is the same, or -1."""
-        element = next((pairs[i].index for i in reversed(block.above) if i in pairs), 0)
-        equal = all(n.index in pairs and pairs[n.index].text == n.text for n in block.nodes)
-        return element, pairs[block.nodes[0].index].index if equal else -1
+                    self.mass[element] += n.chars
+        self.pages += 1
 
     def rule(self) -> dict:
         """first, end: numbers of the article's element and of what follows it; whole: it says that it is one; template: numbers of constant texts."""
         total = int(self.mass.sum())
-        template = np.flatnonzero(self.same >= SAME * (self.pages - 1)).tolist() if self.pages >= PAGES else []
+        template = np.flatnonzero(self.same >= max(1, SAME * (self.pages - 1))).tolist() if self.pages >= PAGES else []
         if not total:
             return {"first": 0, "end": 0, "whole": False, "template": template}
         sums = np.concatenate([[0], np.cumsum(self.mass)])
@@ -110,50 +93,78 @@ class Wrapper:
         return {"first": chosen.index, "end": chosen.end, "whole": bool(mains), "template": template}
 
 
-BLOCKS = "blocks array<struct<element: int, same: int, main: boolean, text: string>>"
+def innermost(above: list[int], pairs: dict[int, Node]) -> int:
+    """The number, in the other tree, of the innermost of some elements that stands against one of it."""
+    return next((pairs[i].index for i in reversed(above) if i in pairs), -1)
+
+
+def main_text(page: Node, wrapper: tuple[Node, dict] | None) -> str:
+    """The text of a page that a wrapper finds in it; of its own article, or body, if the wrapper has no place in the page."""
+    found = blocks(page)
+    if wrapper is not None and wrapper[1]["end"]:
+        tree, rule = wrapper
+        pairs, template = align(page, tree), set(rule["template"])
+
+        def varies(block: Block) -> bool:
+            return not all(n.index in pairs and pairs[n.index].index in template and pairs[n.index].token == n.token for n in block.nodes)
+
+        within = [b for b in found if rule["first"] <= innermost(b.above, pairs) < rule["end"]]
+        if within:
+            return "\n".join(b.text for b in (within if rule["whole"] else filter(varies, found)))
+    return "\n".join(b.text for b in found if b.main)
+
+
+SKELETON = "labels array<string>, ends array<int>, tokens array<long>, chars array<int>"
 RULE = "first int, end int, whole boolean, template array<int>"
 
 
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
 def learned(rows: DataFrame) -> DataFrame:
-    """Pages with their blocks and, behind the last of each group, a row with its wrapper (``first`` is not null).
+    """(host, part, SKELETON, RULE): the wrapper of each group of ``grouped`` rows.
 
-    Rows of a group come sorted, so its first page is the same in every run; what is held is one page, one tree and
-    two numbers a node, whatever the group's size.
+    Skeletons of a group come sorted by a hash of the page, so the first is the same in every run, and copies teach once; what is held is
+    one page, one tree and two numbers a node, whatever the group's size.
     """
-    target = f"host string, part int, {typed(rows, 'page_id')}, {typed(rows, 'url')}, {BLOCKS}, {RULE}"
-    names = ["host", "part", "page_id", "url", "blocks", "first", "end", "whole", "template"]
-    none = dict.fromkeys(("page_id", "url", "blocks", "first", "end", "whole", "template"))
-    ship(rows.sparkSession)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
+    def reduced(batch: pa.RecordBatch) -> dict:
+        made = [skeleton(parse(x)) for x in texts(batch, "html")]
+        return {c: batch.column(c) for c in ("host", "part", "order")} | {c: [m[c] for m in made] for c in _names(SKELETON)}
+
+    bare = map_batches(rows.filter("host <> ''").select("host", "part", "order", "html"), reduced, f"host string, part int, order long, {SKELETON}", rows=ROWS)
+    names = ["host", "part", *_names(SKELETON), *_names(RULE)]
+    target = f"host string, part int, {SKELETON}, {RULE}"
     kinds = to_arrow_schema(_parse_datatype_string(target))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, wrapper, out = None, None, []
-
-        def rule() -> dict:
-            return {**none, "host": key[0], "part": key[1], **wrapper.rule()}
+        key, order, first, learner, out = None, None, None, None, []
 
         def flushed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], type=kinds.field(n).type) for n in names], schema=kinds)
 
+        def done() -> None:
+            if learner is not None:
+                out.append({"host": key[0], "part": key[1], **first, **learner.rule()})
+
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 for row in batch.slice(at, ROWS).to_pylist():
-                    html, host = row["html"], row["host"]
-                    if (host, row["part"]) != key or not host:
-                        if wrapper is not None and key[0]:
-                            out.append(rule())
-                        key, wrapper = (host, row["part"]), Wrapper(html)
-                    out.append({**none, **{n: row[n] for n in names[:4]}, "blocks": wrapper.blocks(html)})
+                    if (row["host"], row["part"]) != key:
+                        done()
+                        key, order, first = (row["host"], row["part"]), row["order"], {n: row[n] for n in _names(SKELETON)}
+                        learner = Learner(from_skeleton(first))
+                    elif row["order"] != order:
+                        order = row["order"]
+                        learner.add(from_skeleton(row))
+            if len(out) >= ROWS:
                 yield flushed()
                 out = []
-        if wrapper is not None and key[0]:
-            out.append(rule())
-            yield flushed()
+        done()
+        yield flushed()
 
-    return rows.repartition("host", "part").sortWithinPartitions("host", "part", "order", "html", "page_id").mapInArrow(run, target)
+    return bare.repartition("host", "part").sortWithinPartitions("host", "part", "order").mapInArrow(run, target)
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
@@ -165,17 +176,27 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     are rows; pages of any length are read whole, elements nested deeper than ``dom.DEPTH`` as siblings. An empty table gives
     an empty one, other columns are dropped.
     """
-    made = materialize(learned(grouped(pages, id_col, url_col, body_col)), "aligned")
-    rules = materialize(made.filter("first IS NOT NULL").select(F.col("host").alias("h"), F.col("part").alias("p"), "first", "end", "whole", "template"), "wrappers")
-    rows = made.filter("first IS NULL").select("host", "part", "page_id", "url", "blocks")
-    rows = rows.join(broadcast_if_small(rules, MAX_WRAPPERS), (F.col("host") == F.col("h")) & (F.col("part") == F.col("p")), "left")
-    within = lambda b: (b["element"] >= F.col("first")) & (b["element"] < F.col("end"))
-    varies = lambda b: ~F.array_contains("template", b["same"])
-    placed = F.coalesce(F.exists("blocks", within), F.lit(False))
-    article = F.filter("blocks", lambda b: F.when(F.col("whole"), within(b)).otherwise(varies(b)))
-    kept = F.when(placed, article).otherwise(F.filter("blocks", lambda b: b["main"]))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    rows = grouped(pages, id_col, url_col, body_col)
+    wrappers = materialize(learned(rows), "wrappers")
+    nodes = wrappers.agg(F.sum(F.size("ends"))).first()[0] or 0
+    wrappers = wrappers.withColumnRenamed("host", "h").withColumnRenamed("part", "p")
+    near = F.broadcast(wrappers) if nodes <= MAX_NODES else wrappers
+    both = rows.join(near, (F.col("host") == F.col("h")) & (F.col("part") == F.col("p")), "left").select("page_id", "url", "html", "h", "p", *_names(SKELETON), *_names(RULE))
+    held: dict[tuple, tuple[Node, dict]] = {}
+
+    def made(batch: pa.RecordBatch) -> dict:
+        keys = list(zip(batch.column("h").to_pylist(), batch.column("p").to_pylist()))
+        out = []
+        for i, (html, key) in enumerate(zip(texts(batch, "html"), keys)):
+            if key[0] is not None and key not in held:
+                if len(held) >= HELD:
+                    held.clear()
+                row = {n: batch.column(n)[i].as_py() for n in (*_names(SKELETON), *_names(RULE))}
+                held[key] = (from_skeleton(row), row)
+            out.append(main_text(parse(html), held.get(key)))
+        return {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": out, "n_chars": [len(x) for x in out]}
+
+    return map_batches(both, made, f"{typed(both, 'page_id')}, {typed(both, 'url')}, text string, n_chars long", rows=ROWS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
