@@ -29,6 +29,14 @@ def naive_weight(a, b) -> int:
     return 1 + (a.names == b.names) + table(len(left), len(right))
 
 
+def paths(node, above=()):
+    """All paths from a root to an element."""
+    yield [*above, node]
+    for c in node.children:
+        if c.tag != "#":
+            yield from paths(c, (*above, node))
+
+
 def random_html(rng, depth=0) -> str:
     out = ""
     for _ in range(rng.randrange(1, 4)):
@@ -56,6 +64,10 @@ def test_alignment_is_simple_tree_matching(monkeypatch, held):
         number(a)
         got = sum(1 + (nodes[i].token == m.token if m.tag == "#" else nodes[i].names == m.names) for i, m in pairs.items())
         assert got == naive_weight(a, b), seed
+        for path in paths(b):
+            place = dom.counterpart(a, path)
+            stands = [i for i, m in pairs.items() if m is path[-1]]
+            assert [place.index] == stands if place else not stands
 
 
 def test_long_lists_align():

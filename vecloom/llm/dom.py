@@ -125,22 +125,26 @@ CUT_TAG = re.compile("<[a-zA-Z/!]")
 
 def parse(html: str) -> Node:
     """The tree of a page of any kind; numbered, with what the alignment needs of each subtree. Markup that the page's end cuts off is no text."""
-    builder, at = _Builder(), 0
-    for m in iter(lambda: MARKUP.search(html, at), None):
-        if m.start() > at:
-            text = html[at : m.start()]
-            builder.data(unescape(text) if "&" in text else text)
-        at = m.end()
-        slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            continue
-        tag = tag.lower()
-        if slash:
-            builder.end(tag)
-            continue
-        builder.start(tag, attributes)
-        if tag in RAW:
-            ending = RAW[tag].search(html, at)
+    builder, at, raw = _Builder(), 0, True
+    while raw:
+        raw = None
+        for m in MARKUP.finditer(html, at):
+            if m.start() > at:
+                text = html[at : m.start()]
+                builder.data(unescape(text) if "&" in text else text)
+            at = m.end()
+            slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            if tag:
+                tag = tag.lower()
+                if slash:
+                    builder.end(tag)
+                else:
+                    builder.start(tag, attributes)
+                    if tag in RAW:
+                        raw = tag
+                        break
+        if raw:
+            ending = RAW[raw].search(html, at)
             at = ending.start() if ending else len(html)
     rest = html[at:]
     cut = CUT_TAG.search(rest, rest.rfind(">") + 1)
@@ -377,6 +381,18 @@ def align(page: Node, other: Node) -> dict[int, Node]:
     return out
 
 
+def counterpart(page: Node, path: list[Node]) -> Node | None:
+    """The node of a page that stands against the last of a path from another tree's root; only lists along the path are aligned."""
+    memo: dict = {}
+    for above, below in zip(path, path[1:]):
+        left, right = page.said, above.said
+        pairs = [(left[0], right[0])] if len(left) == len(right) == 1 and left[0].tag == right[0].tag else aligned_children(left, right, memo)
+        page = next((a for a, b in pairs if b is below), None)
+        if page is None:
+            return None
+    return page
+
+
 class Block:
     """A block of text: its text nodes, the innermost element of another page's that it stands in, whether it is in the page's own article."""
 
@@ -419,8 +435,9 @@ def blocks(root: Node) -> list[Block]:
             return
         if node.tag in BLOCK:
             now[0] = None
+        inside, above = inside or is_main(node), [*above, node.index]
         for child in node.children:
-            visit(child, inside or is_main(node), [*above, node.index] if node.children else above)
+            visit(child, inside, above)
         if node.tag in BLOCK:
             now[0] = None
 

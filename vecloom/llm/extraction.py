@@ -24,7 +24,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from vecloom.durable import materialize
 from vecloom.llm.common import map_batches, read, texts, typed
-from vecloom.llm.dom import Block, Node, align, blocks, from_skeleton, is_main, parse, skeleton
+from vecloom.llm.dom import Node, align, blocks, counterpart, from_skeleton, is_main, parse, skeleton
 
 #: A host of more pages is learned in groups of about so many, or of a ten-thousandth of all pages if that is more.
 GROUP, SHARE = 256, 10_000
@@ -103,14 +103,18 @@ def main_text(page: Node, wrapper: tuple[Node, dict] | None) -> str:
     found = blocks(page)
     if wrapper is not None and wrapper[1]["end"]:
         tree, rule = wrapper
-        pairs, template = align(page, tree), set(rule["template"])
-
-        def varies(block: Block) -> bool:
-            return not all(n.index in pairs and pairs[n.index].index in template and pairs[n.index].token == n.token for n in block.nodes)
-
-        within = [b for b in found if rule["first"] <= innermost(b.above, pairs) < rule["end"]]
+        path, at = [tree], tree.index
+        while at != rule["first"]:
+            path.append(next(c for c in path[-1].said if c.index <= rule["first"] < c.end))
+            at = path[-1].index
+        place = counterpart(page, path)
+        within = [b for b in found if place is not None and place.index in b.above]
+        if within and rule["whole"]:
+            return "\n".join(b.text for b in within)
         if within:
-            return "\n".join(b.text for b in (within if rule["whole"] else filter(varies, found)))
+            pairs, template = align(page, tree), set(rule["template"])
+            varies = lambda b: not all(n.index in pairs and pairs[n.index].index in template and pairs[n.index].token == n.token for n in b.nodes)
+            return "\n".join(b.text for b in found if varies(b))
     return "\n".join(b.text for b in found if b.main)
 
 
