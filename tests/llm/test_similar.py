@@ -72,21 +72,83 @@ def test_near_copies(spark, monkeypatch, block):
     assert [got[i] for i in range(len(texts))] == want
 
 
-def test_recall_at_the_similarity():
-    """Of pairs of similarity 0.8, planned for a million texts, the share that segments and distance find."""
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("block", [4096, 40])
+def test_one_link_between_groups_that_are_nearly_linked(spark, monkeypatch, seed, block):
+    """Two groups of 80 near copies, 6,399 pairs of 0.798 between them and one of 0.8006: one group."""
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = random.Random(seed)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(600)]
+    # of 596 shingles 13 words change 5 each, the last word one, and each copy's own first word one: 67, and 66 in one pair
+    other = [f"o{at}" if at in range(20, 540, 40) or at == 599 else w for at, w in enumerate(base)]
+    copies = lambda words: [[f"c{rng.randint(0, 10**9)}", *words[1:]] for _ in range(80)]
+    left, right = copies(base), copies(other)
+    right[0][0] = left[0][0]
+    texts = left + right
+    sets = [brute_set(" ".join(t)) for t in texts]
+    assert [(i, j) for i in range(80) for j in range(80, 160) if jaccard(sets[i], sets[j]) >= 0.8] == [(0, 80)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    got = {r["component_id"] for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0}
+
+
+def test_all_with_all_is_exact(spark):
+    """A recall of 1 finds every link, also those that prints miss."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([6, 9, 14, 30]))]
+        texts += [base, edited(base, 1, rng), base + ["more"], ["less"] + base]
+    sets = [brute_set(" ".join(t)) for t in texts]
+    found = similar.similar_groups(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), recall=1.0, similarity=0.7)
+    got = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    assert [got[i] for i in range(len(texts))] == brute_groups(sets, 0.7)
+
+
+@pytest.mark.parametrize("n", [10_000, 1_000_000, 10**9])
+def test_recall_at_the_similarity(n):
+    """Of pairs of similarity 0.8, planned for n texts, the share that segments and distance find: 0.99, which of 1,500 pairs is 0.9825 or more."""
     rng = np.random.default_rng(1)
-    lead, segments = similar.plan(1_000_000, 0.8, 0.99)
-    words, found, n = -(-segments * 16 // 64), 0, 600
-    for _ in range(n):
+    index = similar.plan(n, 0.8, 0.99)
+    found, pairs = 0, 1500
+    for _ in range(pairs):
         base = rng.integers(0, 2**63, 450, dtype=np.uint64)
         other = np.concatenate([base[:400], rng.integers(0, 2**63, 50, dtype=np.uint64)])
-        a, b = (np.frombuffer(similar.long_print(x, words), np.uint8) for x in (base, other))
-        x, y = (v.view("<u2")[:segments].astype(np.int64) for v in (a, b))
-        rest = 16 - lead
-        near = ((x >> rest) == (y >> rest)) & (np.bitwise_count((x ^ y) & ((1 << rest) - 1)) <= similar.RADIUS)
+        a, b = (np.frombuffer(similar.long_print(x, index.words), np.uint8) for x in (base, other))
+        x, y = (v.view(f"<u{index.width // 8}")[: index.segments].astype(np.int64) & ((1 << index.lead + index.rest) - 1) for v in (a, b))
+        near = ((x >> index.rest) == (y >> index.rest)) & (np.bitwise_count((x ^ y) & ((1 << index.rest) - 1)) <= index.radius)
         distance = np.bitwise_count(a[: 8 * similar.CHECK_WORDS] ^ b[: 8 * similar.CHECK_WORDS]).sum(dtype=int)
-        found += bool(near.any()) and distance <= similar.reach(0.8, 64 * similar.CHECK_WORDS)
-    assert found / n >= 0.97
+        found += bool(near.any()) and distance <= index.most
+    assert found / pairs >= 0.9825
+
+
+def test_plans_stay_small():
+    """Neither buckets nor copies of a row nor comparisons grow out of hand with the table."""
+    for e in range(2, 11):
+        index = similar.plan(10**e, 0.8, 0.99)
+        assert 10**e / 2**index.lead <= similar.BUCKET
+        assert index.segments <= 120 and index.lead + index.rest <= 32
+        assert similar.ball_size(index.rest, index.radius) * 10**e / 2 ** (index.lead + index.rest) <= 4000
+
+
+def test_steps_leave_no_pair():
+    """What the first and the second step leave is flagged, and the third gives every pair of different labels."""
+    rng = np.random.default_rng(4)
+    n = 60
+    prints = np.repeat(rng.integers(0, 2**63, (1, 4), dtype=np.uint64), n, axis=0) ^ (np.uint64(1) << rng.integers(0, 64, (n, 4), dtype=np.uint64))
+    index = similar.Plan(0, 4, 1, 1, 62)
+    low, bucket = rng.integers(0, 16, n), np.repeat([3, 8], n // 2)
+    every = {(i, j) for i, j in combinations(range(n), 2) if bucket[i] == bucket[j] and bin(low[i] ^ low[j]).count("1") <= 1}
+    pairs = lambda: similar.near_pairs(bucket, low, prints, index)
+    assert {(int(i), int(j)) for a, b, _ in pairs() for i, j in zip(a, b)} == every
+    i, j, least, left = similar.first_pairs(np.arange(n), pairs())
+    kept = set(zip(i.tolist(), j.tolist()))
+    assert kept <= every and all(left[a] for a, _ in every - kept)
+    label = rng.integers(0, 5, n)
+    i, j, left = similar.nearest_pairs(n, label, pairs())
+    kept, apart = set(zip(i.tolist(), j.tolist())), {(a, b) for a, b in every if label[a] != label[b]}
+    assert kept <= apart and all(left[a] for a, _ in apart - kept)
 
 
 def test_odd_rows(odd_docs, no_docs):

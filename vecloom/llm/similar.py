@@ -1,18 +1,19 @@
 """Near-duplicates by SimHash at a similarity, for prints that may differ in many bits.
 
 Texts are sets of word shingles, similar if the Jaccard similarity of their sets is ``similarity`` or more. Long
-prints (16 bits a segment) are indexed segment by segment: a segment's leading bits name a bucket of its table,
-and within a bucket the Hamming ball of radius 2 around the segment's other bits is enumerated and looked up.
-Pairs that are found so have their complete distance verified, and what is within reach has its similarity
-computed from the shingles themselves. The number of segments follows from the number of prints, so that a pair
-at the similarity is found with probability ``recall`` or more at every size; closer pairs are found more surely.
-
-No group makes all its pairs. Of the pairs in a bucket go on: that of each row with its least neighbour, which are few
-different pairs over all buckets, as a group's least rows are the same in many; and minimum spanning forests by
-distance, the first of all pairs, which joins what any of them join, the next of the rest, so that some pairs may turn
-out to be less similar than their distance says and a group still hangs together. The former are verified first; of
-the latter only those between groups that are still apart. Buckets of more than a block are compared block
-against block, each such pair of blocks in a group of its own, so that no task holds a bucket of unknown size.
+prints are indexed segment by segment: a segment's leading bits name a bucket of its table, and within a bucket the
+Hamming ball around the segment's other bits is enumerated and looked up. Pairs that are found so have their complete
+distance verified, and what is within reach has its similarity computed from the shingles themselves. Segments, their
+width and the ball's radius follow from the number of prints, so that a pair at the similarity is found with
+probability ``recall`` or more at every size, closer pairs more surely, and neither buckets nor copies of a row grow
+with the table. A recall of 1 compares all with all, which is exact and for small tables.
+
+No link is lost among the pairs that are found, and no group makes all its pairs. First come that of each row with its
+least neighbour, few different pairs over all buckets, as a group's least rows are the same in many, and minimum
+spanning forests of each bucket by distance. What they leave is searched again, as often as something is left: pairs of rows
+in components that are still apart, the NEAREST of each row, then all. Only texts that are near each other and not joined
+are compared so, each pair once. Buckets of more than a block are compared block against block, each such pair of blocks in a
+group of its own, so that no task holds a bucket of unknown size.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -27,25 +29,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.durable import broadcast_if_small, materialize
+from vecloom.durable import broadcast_if_small, materialize, release
 from vecloom.llm.common import map_batches, typed, utf8
 from vecloom.llm.components import connected_components
 from vecloom.llm.simhash import MAX_BROADCAST_ROWS, shingle_hashes
 from vecloom.shipping import ship
 
-SEGMENT, RADIUS = 16, 2
 #: Bits of the complete distance, at least so many words of 64.
 CHECK_WORDS = 4
-#: Prints a bucket has on average at most, and rows of a block: buckets beyond a block are split.
-BUCKET, BLOCK = 2048, 4096
-#: Spanning forests of a bucket whose pairs are verified.
-FORESTS = 3
+#: Prints that a bucket has on average at most, and rows of a block: buckets beyond a block are split.
+BUCKET, BLOCK = 1 << 16, 4096
+#: Bits behind the leading ones, and radii of the ball in them, that a plan may choose.
+REST, RADII = range(4, 13), (1, 2, 3)
+#: What a plan weighs, in the time of one comparison: a row's copy in another segment's table, a lookup.
+COPY, LOOKUP = 2000.0, 1.0
+#: Spanning forests of a bucket whose pairs are verified first, and pairs of a row that are verified next.
+FORESTS, NEAREST = 3, 16
 #: Pairs whose distances are in memory at a time.
 PAIRS = 1 << 20
 #: Rows after which the complete buckets among them are compared.
 ROWS = 1 << 15
 
 
+@dataclass(frozen=True)
+class Plan:
+    """An index: tables by segments of ``lead`` + ``rest`` bits, the ball of ``radius`` around the rest; pairs of up to ``most`` differing bits."""
+
+    lead: int
+    rest: int
+    radius: int
+    segments: int
+    most: int
+
+    @property
+    def width(self) -> int:
+        """Bits of a print for each segment."""
+        return 16 if self.lead + self.rest <= 16 else 32
+
+    @property
+    def words(self) -> int:
+        return max(CHECK_WORDS, math.ceil(self.segments * self.width / 64))
+
+
 def flip_rate(similarity: float) -> float:
     """The share of bits that differ between texts of that Jaccard similarity and equal size: the angle of their sets."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -57,12 +82,27 @@ def reach(similarity: float, bits: int) -> int:
     return math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
 
 
-def plan(n: int, similarity: float, recall: float) -> tuple[int, int]:
-    """(leading bits, segments) for n prints: buckets of about BUCKET prints, segments enough for the recall."""
-    lead = min(SEGMENT - 1, max(0, math.ceil(math.log2(max(n, 1) / BUCKET))))
-    p, rest = flip_rate(similarity), SEGMENT - lead
-    found = (1 - p) ** lead * sum(math.comb(rest, r) * p**r * (1 - p) ** (rest - r) for r in range(min(RADIUS, rest) + 1))
-    return lead, max(CHECK_WORDS * 64 // SEGMENT, math.ceil(math.log(1 - recall) / math.log(1 - found)))
+def ball_size(rest: int, radius: int) -> int:
+    return sum(math.comb(rest, r) for r in range(radius + 1))
+
+
+def plan(n: int, similarity: float, recall: float) -> Plan:
+    """The index for n prints of least work: copies of rows against lookups and comparisons, buckets of at most BUCKET prints."""
+    if recall >= 1:
+        return Plan(0, 0, 0, 1, 64 * CHECK_WORDS)
+    p = flip_rate(similarity)
+    found = {}
+    for lead in range(21):
+        for rest in REST:
+            for radius in RADII:
+                hit = (1 - p) ** lead * sum(math.comb(rest, r) * p**r * (1 - p) ** (rest - r) for r in range(radius + 1))
+                segments = max(2, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
+                ball = ball_size(rest, radius)
+                cost = segments * (COPY + ball * (LOOKUP + n / 2.0 ** (lead + rest)))
+                if n / 2.0**lead <= BUCKET or lead == 20:
+                    found[cost, lead, rest, radius] = segments
+    best = min(found)
+    return Plan(*best[1:], found[best], reach(similarity, 64 * CHECK_WORDS))
 
 
 def _widen(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -130,38 +170,19 @@ def forests(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _balls(rest: int) -> list[int]:
+def _balls(rest: int, radius: int) -> list[int]:
     """Masks of the Hamming ball of the radius in ``rest`` bits."""
-    return [sum(1 << i for i in some) for r in range(min(RADIUS, rest) + 1) for some in combinations(range(rest), r)]
+    return [sum(1 << i for i in some) for r in range(radius + 1) for some in combinations(range(rest), r)]
 
 
-def near_pairs(bucket: np.ndarray, node: np.ndarray, low: np.ndarray, prints: np.ndarray, rest: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows of equal bucket and near low bits, at most ``most`` bits apart: (i, j) of spanning forests, and each row's least neighbouring node or itself."""
-    n = len(bucket)
+def near_pairs(bucket: np.ndarray, low: np.ndarray, prints: np.ndarray, index: Plan) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance), i < j, of rows of equal bucket and near low bits that are within reach, each pair once, some at a time."""
+    rest = index.rest
     _, place = np.unique(bucket, return_inverse=True)
     slot = (place.astype(np.int64) << rest) | low
     order = np.argsort(slot, kind="stable")
     start = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=(int(place.max()) + 1) << rest))]).astype(np.int32)
-    found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    least = node.copy()
-
-    def add(i: np.ndarray, j: np.ndarray) -> None:
-        nonlocal found
-        first = np.bitwise_count(prints[i, 0] ^ prints[j, 0]).astype(np.int64)
-        keep = first <= most
-        i, j = i[keep], j[keep]
-        d = first[keep] + np.bitwise_count(prints[i, 1:] ^ prints[j, 1:]).sum(axis=1, dtype=np.int64)
-        keep = d <= most
-        i, j, d = i[keep], j[keep], d[keep]
-        np.minimum.at(least, i, node[j])
-        np.minimum.at(least, j, node[i])
-        both = [np.concatenate([x, y]) for x, y in zip(found, (i, j, d))]
-        if len(both[0]) > n * (FORESTS + 1):
-            some = forests(n, *both)
-            both = [x[some] for x in both]
-        found = tuple(both)
-
-    for mask in _balls(rest):
+    for mask in _balls(rest, index.radius):
         low_end, high_end = start[slot ^ mask], start[(slot ^ mask) + 1]
         size = high_end - low_end
         rows = np.flatnonzero(size)
@@ -174,17 +195,69 @@ def near_pairs(bucket: np.ndarray, node: np.ndarray, low: np.ndarray, prints: np
             i = np.repeat(some, width)
             j = order[np.repeat(low_end[some] - (np.cumsum(width) - width), width) + np.arange(width.sum())]
             once = i < j
-            add(i[once], j[once])
+            i, j = i[once], j[once]
+            first = np.bitwise_count(prints[i, 0] ^ prints[j, 0]).astype(np.int64)
+            keep = first <= index.most
+            i, j = i[keep], j[keep]
+            d = first[keep] + np.bitwise_count(prints[i, 1:] ^ prints[j, 1:]).sum(axis=1, dtype=np.int64)
+            keep = d <= index.most
+            yield i[keep], j[keep], d[keep]
             at = to
-    some = forests(n, *found)
-    return found[0][some], found[1][some], least
 
 
-def candidates(prints: DataFrame, n: int, similarity: float, recall: float) -> DataFrame:
-    """(a, b, first), a < b: pairs of (node long, print binary) within reach that join all that any found pairs join; first: with the least neighbour."""
+def first_pairs(node: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (i, j) of spanning forests of all pairs, each row's least neighbouring node or itself, and rows with pairs that are in neither."""
+    n = len(node)
+    found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    least, left = node.copy(), np.zeros(n, bool)
+
+    def pruned(both: list[np.ndarray]) -> tuple:
+        some = forests(n, *both)
+        out = np.ones(len(both[0]), bool)
+        out[some] = False
+        left[both[0][out]] = True
+        return tuple(x[some] for x in both)
+
+    for i, j, d in pairs:
+        np.minimum.at(least, i, node[j])
+        np.minimum.at(least, j, node[i])
+        found = [np.concatenate([x, y]) for x, y in zip(found, (i, j, d))]
+        if len(found[0]) > n * (FORESTS + 1):
+            found = pruned(found)
+    found = pruned(list(found))
+    return found[0], found[1], least, left
+
+
+def nearest_pairs(n: int, label: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (i, j) of different labels where one is of the NEAREST of the other, and rows with pairs that are not."""
+    found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    left = np.zeros(n, bool)
+
+    def pruned(both: list[np.ndarray]) -> tuple:
+        i, j, d = both
+        m = len(i)
+        end, other, gap, edge = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d]), np.tile(np.arange(m), 2)
+        order = np.lexsort((other, gap, end))
+        ends = end[order]
+        rank = np.arange(2 * m) - np.searchsorted(ends, ends)
+        keep = np.zeros(m, bool)
+        keep[edge[order[rank < NEAREST]]] = True
+        left[i[~keep]] = True
+        return tuple(x[keep] for x in both)
+
+    for i, j, d in pairs:
+        apart = label[i] != label[j]
+        found = [np.concatenate([x, y[apart]]) for x, y in zip(found, (i, j, d))]
+        if len(found[0]) > 2 * NEAREST * n:
+            found = pruned(list(found))
+    found = pruned(list(found))
+    return found[0], found[1], left
+
+
+def index_rows(prints: DataFrame, n: int, index: Plan) -> DataFrame:
+    """(bucket, node, low, check0, ...): every print once in each segment's table, once for each pair of blocks where its bucket is large."""
     spark = prints.sparkSession
-    lead, segments = plan(n, similarity, recall)
-    rest, most = SEGMENT - lead, reach(similarity, 64 * CHECK_WORDS)
+    lead, rest, width, segments = index.lead, index.rest, index.width, index.segments
     checks = [f"check{i}" for i in range(CHECK_WORDS)]
     ship(spark)
 
@@ -193,8 +266,8 @@ def candidates(prints: DataFrame, n: int, similarity: float, recall: float) -> D
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 raw = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                parts = raw.view("<u2")[:, :segments].astype(np.int64)
-                bucket, low = (np.arange(segments) << SEGMENT) | (parts >> rest), parts & ((1 << rest) - 1)
+                parts = raw.view(f"<u{width // 8}")[:, :segments].astype(np.int64) & ((1 << lead + rest) - 1)
+                bucket, low = (np.arange(segments) << lead) | (parts >> rest), parts & ((1 << rest) - 1)
                 node = batch.column("node").to_numpy(zero_copy_only=False)
                 check = raw.view(np.int64)[:, :CHECK_WORDS]
                 columns = [bucket.ravel(), np.repeat(node, segments), low.ravel().astype(np.int32), *np.repeat(check, segments, axis=0).T]
@@ -207,18 +280,45 @@ def candidates(prints: DataFrame, n: int, similarity: float, recall: float) -> D
     grouped = rows.join(broadcast_if_small(large, MAX_BROADCAST_ROWS), "bucket", "left").withColumn("blocks", blocks)
     grouped = grouped.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).bitwiseOR(F.lit(-(1 << 63)))
-    grouped = grouped.select(F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(pair).alias("bucket"), "node", "low", *checks)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * segments / 4_000_000))
-    grouped = grouped.repartition(parts, "bucket").sortWithinPartitions("bucket")
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
-            bucket, node, low = columns[:3]
-            i, j, least = near_pairs(bucket, node, low.astype(np.int64), np.stack(columns[3:], axis=1).view(np.uint64), rest, most)
-            a, b = np.concatenate([least, np.minimum(node[i], node[j])]), np.concatenate([node, np.maximum(node[i], node[j])])
-            first = np.arange(len(a)) < len(node)
-            return pa.RecordBatch.from_arrays([pa.array(x[a < b]) for x in (a, b, first)], names=["a", "b", "first"])
+    return grouped.select(F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(pair).alias("bucket"), "node", "low", *checks)
+
+
+def compared(rows: DataFrame, parts: int, index: Plan, step: str) -> DataFrame:
+    """(a, b, first, bucket): pairs of nodes, a < b; and with b null the buckets that have pairs which this step leaves.
 
+    Steps: "first" (spanning forests, and each node with its least neighbour, which is ``first``), "nearest" and "all" of
+    pairs with different labels in the column ``label``.
+    """
+    columns = [c for c in rows.columns if c != "label"]
+    rows = rows.select(*columns, "label") if "label" in rows.columns else rows.select(*columns, F.lit(0).cast("long").alias("label"))
+    rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
+
+    def batch_of(a: np.ndarray, b: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        real = a < b
+        return pa.RecordBatch.from_arrays([pa.array(a[real]), pa.array(b[real]), pa.array(first[real]), pa.nulls(int(real.sum()), pa.int64())], names=["a", "b", "first", "bucket"])
+
+    def pairs(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        bucket, node, low, *checks, label = held
+        some = near_pairs(bucket, low.astype(np.int64), np.stack(checks, axis=1).view(np.uint64), index)
+        left = np.zeros(len(node), bool)
+        if step == "first":
+            i, j, least, left = first_pairs(node, some)
+            a, b = np.concatenate([least, np.minimum(node[i], node[j])]), np.concatenate([node, np.maximum(node[i], node[j])])
+            yield batch_of(a, b, np.arange(len(a)) < len(node))
+        elif step == "nearest":
+            i, j, left = nearest_pairs(len(node), label, some)
+            yield batch_of(np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.zeros(len(i), bool))
+        else:
+            for i, j, _ in some:
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+                yield batch_of(np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.zeros(len(i), bool))
+        if left.any():
+            names = np.unique(bucket[left])
+            none = pa.nulls(len(names), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(names), pa.bool_()), pa.array(names)], names=["a", "b", "first", "bucket"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -226,13 +326,50 @@ def candidates(prints: DataFrame, n: int, similarity: float, recall: float) -> D
             # all but the last bucket, which may go on in the next batch
             cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) >= ROWS else 0
             if cut:
-                yield pairs([x[:cut] for x in held])
+                yield from pairs([x[:cut] for x in held])
                 held = [x[cut:] for x in held]
         if held is not None and len(held[0]):
-            yield pairs(held)
+            yield from pairs(held)
 
-    found = grouped.mapInArrow(compared, "a long, b long, first boolean")
-    return materialize(found.groupBy("a", "b").agg(F.bool_or("first").alias("first")), "candidates")
+    return rows.mapInArrow(run, "a long, b long, first boolean, bucket long")
+
+
+def linked(classes: DataFrame, n: int, index: Plan, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(node, root): components of the links among n nodes (node, print, doc_id, text_key); nodes without links have no row."""
+    table = index_rows(classes, n, index)
+    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * index.segments / 4_000_000))
+    found = materialize(compared(table, parts, index, "first"), "candidates")
+    pairs = materialize(found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.bool_or("first").alias("first")), "pairs")
+    sets = shingle_sets(rows, classes, pairs, shingle)
+    members = connected_components(verified(pairs.filter("first"), sets, similarity))
+    members = _joined(members, verified(between(pairs.filter("NOT first"), members), sets, similarity))
+    release(sets)
+    known = pairs.select("a", "b")
+    for step in ("nearest", "all"):
+        left = materialize(found.filter("b IS NULL").select("bucket").distinct(), "left")
+        release(found)
+        if left.isEmpty():
+            break
+        some = table.join(broadcast_if_small(left, MAX_BROADCAST_ROWS), "bucket", "left_semi")
+        some = some.join(members.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        # a bucket whose rows are all in one component has no pair to look at
+        apart = materialize(some.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket"), "apart")
+        some = some.join(broadcast_if_small(apart, MAX_BROADCAST_ROWS), "bucket", "left_semi")
+        checks = [c for c in table.columns if c.startswith("check")]
+        found = materialize(compared(some.select("bucket", "node", "low", *checks, "label"), parts, index, step), "candidates")
+        new = materialize(found.filter("b IS NOT NULL").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "pairs")
+        sets = shingle_sets(rows, classes, new, shingle)
+        members = _joined(members, verified(new, sets, similarity))
+        release(sets)
+        known = known.unionByName(new)
+    return members
+
+
+def _joined(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Components with more links."""
+    if links.isEmpty():
+        return members
+    return connected_components(members.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(links))
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
@@ -243,8 +380,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows give repeated results; an empty table gives an empty one. Columns besides id and text are not looked at.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    _, segments = plan(rows.count(), similarity, recall)
-    words = math.ceil(segments * SEGMENT / 64)
+    words = plan(rows.count(), similarity, recall).words
 
     def made(batch: pa.RecordBatch) -> dict:
         sets = [shingle_set(x, shingle) for x in utf8(batch, "text")]
@@ -255,20 +391,16 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key"))
     classes = prints.groupBy("node").agg(F.any_value("print").alias("print"), first.alias("first"))
     classes = materialize(classes.select("node", "print", "first.doc_id", "first.text_key"), "classes")
-    pairs = candidates(classes, classes.count(), similarity, recall)
-    sets = shingle_sets(rows, classes, pairs, shingle)
-    links = verified(pairs.filter("first"), sets, similarity)
-    members = connected_components(links)
-    more = verified(_between(pairs.filter("NOT first"), members), sets, similarity)
-    if not more.isEmpty():
-        members = connected_components(links.unionByName(more))
+    n = classes.count()
+    index = plan(n, similarity, recall)
+    members = linked(classes, n, index, rows, similarity, shingle)
     grouped = materialize(classes.join(members, "node", "left").select("node", F.coalesce("root", "node").alias("group_key"), "doc_id"), "similar-classes")
     heads = grouped.groupBy("group_key").agg(F.min("doc_id").alias("component_id"))
     grouped = materialize(grouped.select("node", "group_key").join(heads, "group_key"), "similar-groups")
     return prints.select("doc_id", "text_key", "node").join(grouped, "node").select("doc_id", "text_key", "component_id", "group_key")
 
 
-def _between(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def between(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """The pairs whose nodes are in different components of (node, root); a node without a row is one by itself."""
     for end in ("a", "b"):
         labels = members.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
