@@ -4,8 +4,9 @@ A document is a bag of sentences. A sentence's score is a logistic function of i
 a document's is the noisy-or of its sentences', 1 - prod(1 - p). Only documents have labels: the weights are
 fitted to the documents' likelihood, and the sentences' scores then tell where the offence is.
 
-When documents are scored, sentences below 0.5 join no noisy-or: many that are each harmless stay harmless, however
-long the text is. A document has a score of 0.5 or more if and only if one of its sentences has.
+A long text has many sentences, and small scores add up. Labels are of short texts, so the sentences' scores are made
+steeper, all by one factor, until as many clean documents as ``long_bag`` joined to one text are clean: the factor is learned on
+these long bags after the weights.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ WORDS = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 STEMS = (4, 5, 6)
 OFFENDING = 0.5
+#: The exponent that a long bag of clean documents is to have: a score of 0.1.
+CLEAN = 0.1
 #: Tables of an id and a label are broadcast up to this many rows (some MB), else joined by shuffle.
 MAX_BROADCAST_ROWS = 100_000
 #: Words whose weights a worker keeps.
@@ -67,17 +70,24 @@ class NoisyOr:
         return out
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """A document's score, and its sentences with a score of 0.5 or more: their noisy-or, or else the largest. No sentence: 0."""
+        """A document's score, the noisy-or of all its sentences (none: 0), and where it offends.
+
+        That is in the sentences of 0.5 or more; if there are none but the score is, in the one of the largest.
+        """
         found = self.sentences(text)
+        if not found:
+            return 0.0, []
+        score = float(1 - np.exp(np.log1p(-np.minimum([s for _, _, s in found], 1 - 1e-12)).sum()))
         offending = [x for x in found if x[2] >= OFFENDING]
-        if not offending:
-            return max((float(s) for _, _, s in found), default=0.0), []
-        p = np.array([s for _, _, s in offending])
-        return float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), offending
+        if not offending and score >= OFFENDING:
+            offending = [max(found, key=lambda x: x[2])]
+        return score, offending
 
 
-def train(bags: list[str], labels: list[int], rounds: int = 300, rate: float = 0.1, decay: float = 0.05, spread: float = 50.0, min_docs: int = 3, min_z: float = 3.0) -> NoisyOr:
-    """Full-batch Adam on the noisy-or likelihood.
+def train(
+    bags: list[str], labels: list[int], rounds: int = 300, rate: float = 0.1, decay: float = 0.05, spread: float = 50.0, min_docs: int = 3, min_z: float = 3.0, long_bag: int = 1000
+) -> NoisyOr:
+    """Full-batch Adam on the noisy-or likelihood, then one factor for all weights and the bias from long bags.
 
     Features are screened first: those in at least ``min_docs`` documents whose share among toxic documents
     differs from that among others by ``min_z`` standard errors.
@@ -127,7 +137,23 @@ def train(bags: list[str], labels: list[int], rounds: int = 300, rate: float = 0
         grad[:-1] += cost * params[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params = params - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return NoisyOr({f: float(params[i]) for f, i in place.items() if abs(params[i]) > 1e-3}, float(params[-1]))
+    z = np.bincount(rows, params[cols], minlength=len(owner)) + params[-1]
+    exponents = np.bincount(owner, np.logaddexp(0, z), minlength=len(y))
+    clean = (y == 0) & (exponents < np.log(2))
+    factor = steepness(z[clean[owner]], int(clean.sum()), long_bag)
+    return NoisyOr({f: float(params[i]) * factor for f, i in place.items() if abs(params[i]) > 1e-3}, float(params[-1]) * factor)
+
+
+def steepness(z: np.ndarray, docs: int, long_bag: int) -> float:
+    """The least factor, 1 to 64, with which ``long_bag`` documents like these have an exponent of CLEAN together; z: of all their sentences."""
+    exponent = lambda a: np.logaddexp(0, a * z).sum() * long_bag / max(docs, 1)
+    low, high = 1.0, 64.0
+    if exponent(low) <= CLEAN:
+        return low
+    for _ in range(30):
+        middle = (low + high) / 2
+        low, high = (middle, high) if exponent(middle) > CLEAN else (low, middle)
+    return high
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -159,7 +185,7 @@ def fit(
 
 
 def score(docs: DataFrame, model: NoisyOr, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """doc_id, score, predicted, offending (start, end, score of sentences at 0.5 or more; code points).
+    """doc_id, score, predicted, offending (start, end, score of the sentences to blame, see ``NoisyOr.score``; code points).
 
     Only texts are looked at, whole. Null and empty texts have no sentence: score 0. Repeated rows are scored
     one by one; an empty table gives an empty result.
