@@ -53,11 +53,47 @@ def test_order_never_changes_the_verdict(docs):
 
 
 def test_order_by_rejections_for_cost(docs):
-    rules = (quality.Rule("never", "false"), quality.Rule("often", "n_words > 10"), quality.Rule("always", "true"))
-    ranked = quality.order(docs, rules)
-    assert ranked[-1].rule.name == "never"
+    rules = (quality.Rule("never", "false"), quality.Rule("some", "doc_id % 3 = 0"), quality.Rule("most", "doc_id % 10 <> 0"))
+    ranked = quality.order(docs, rules, sample_rows=10**6)
+    assert [e.rule.name for e in ranked] == ["most", "some", "never"]
     assert [e.value for e in ranked] == sorted((e.value for e in ranked), reverse=True)
-    assert {e.rule.name: e.rejected for e in ranked}["always"] == 1.0
+    assert 0.85 < ranked[0].rejected < 0.95 and ranked[0].cost == 2.0
+
+
+def test_order_is_by_the_rows_that_reach_a_rule(spark):
+    """B rejects more than C, but after A hardly any row that B rejects is left; rows that the base rejects count for no rule."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, text) for i in range(100)] + [(1000 + i, "short") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rules = (
+        quality.Rule("a", "doc_id < 50"),
+        quality.Rule("b", "doc_id >= 3 AND doc_id < 51 AND doc_id >= 0"),
+        quality.Rule("c", "doc_id >= 80 AND doc_id < 100"),
+        quality.Rule("of the base's", "doc_id >= 1000 OR doc_id = 99"),
+    )
+    ranked = quality.order(df, rules, sample_rows=10**6)
+    assert [e.rule.name for e in ranked] == ["a", "c", "b", "of the base's"]
+    assert [e.rejected for e in ranked] == [50 / 100, 20 / 50, 1 / 30, 0.0]
+    marginal = sorted(rules, key=lambda r: -df.filter(r.rejects).count())
+    assert [r.name for r in marginal] != [e.rule.name for e in ranked]
+
+
+def test_cost_is_what_a_rule_reads(spark):
+    """A rule of numbers goes before one that reads the text or the words, even if that rejects twice as many."""
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(i, text) for i in range(10)], "doc_id long, text string")
+    rules = (quality.Rule("text", "text LIKE '%w5%' AND doc_id < 8"), quality.Rule("words", "size(words) > 5 AND doc_id < 8"), quality.Rule("number", "doc_id % 2 = 0"))
+    ranked = quality.order(df, rules, sample_rows=10**6)
+    costs = {e.rule.name: e.cost for e in ranked}
+    assert ranked[0].rule.name == "number"
+    assert costs == {"number": 2.0, "text": 2.0 + len(text), "words": 2.0 + 60 + len(text.replace(" ", ""))}
+
+
+def test_order_is_the_same_in_every_run(spark):
+    """Ten runs on a table of which a sample is drawn."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    runs = {tuple((e.rule.name, e.cost, e.rejected) for e in quality.order(df, sample_rows=300)) for _ in range(10)}
+    assert len(runs) == 1
 
 
 def test_rejected_by_names_a_rule_that_rejects(docs):
