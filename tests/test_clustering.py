@@ -6,6 +6,7 @@ import pytest
 from vecloom.operators import dense, lloyd
 from vecloom.operators.factorized_kmeans import factorized_after_kmeans, factorized_kmeans
 from vecloom.operators.prepare import blobs
+from vecloom.sources.tables import points
 from vecloom.streaming.running_means import RunningMeans, cluster_stream
 
 
@@ -244,3 +245,29 @@ def test_factorized_kmeans_hierarchical(spark):
     assert model.centroids.shape == (4, 8)
     after = factorized_after_kmeans(u, n_factors=3, sparsity=8, palm_iter=50)
     assert ((after.centroids - u) ** 2).sum() < (u**2).sum()
+
+
+def test_kmeans_parallel(spark, sf_dir, monkeypatch):
+    """A cost within 1.1 of k-means++'s, over seeds; passes that k doesn't change; copies and fewer points than k."""
+    pts = points(spark, sf_dir)
+    cost = lambda u: float(lloyd.pass_over(pts, u).objective.sum())
+    ours = [cost(lloyd.parallel_plus_plus(pts, 12, seed)) for seed in range(3)]
+    theirs = [cost(lloyd.plus_plus(pts, 12, seed)) for seed in range(3)]
+    assert np.mean(ours) <= 1.1 * np.mean(theirs)
+    passes = []
+    monkeypatch.setattr(lloyd, "assign", lambda *a, **o: passes.append(1) or dense.assign(*a, **o))
+    for k in (3, 40):
+        passes.clear()
+        assert len(lloyd.parallel_plus_plus(pts, k, 1, rounds=4)) == k
+        assert len(passes) == 5
+    few = spark.createDataFrame([(i, [float(i % 3), 0.0]) for i in range(30)], "id long, x array<double>")
+    assert sorted(map(tuple, lloyd.parallel_plus_plus(few, 8, 0))) == [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)]
+    drawn, costs = lloyd.oversampled(pts, lloyd.first_by_hash(pts, 1, 2), 30, 4, 2)
+    assert costs == sorted(costs, reverse=True) and len(costs) == 5 and 60 < len(drawn) < 180
+
+
+def test_weighted_plus_plus():
+    """Weights are as good as copies: two heavy places and light noise."""
+    x = np.array([[0.0], [10.0], [0.1], [9.9], [5.0]])
+    u = lloyd.weighted_plus_plus(x, np.array([100.0, 100.0, 1.0, 1.0, 1e-9]), 2, 0)
+    assert sorted(round(v, 3) for v in u[:, 0]) == [0.001, 9.999]

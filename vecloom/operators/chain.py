@@ -111,10 +111,10 @@ def rightmost(chain: DataFrame, n_factors: int, n: int) -> DataFrame:
 
 
 def difference(a: DataFrame, b: DataFrame, scale: float = 1.0) -> DataFrame:
-    """One row: squared Frobenius norm of a - scale * b, and the scale that makes it least."""
+    """One row: squared Frobenius norm of a - scale * b, and the scale that makes it least, null if b is zero."""
     both = a.select("i", "j", F.col("v").alias("a")).join(b.select("i", "j", F.col("v").alias("b")), ["i", "j"], "full_outer").na.fill(0.0, ["a", "b"])
     gap = F.col("a") - F.col("b") * scale
-    return both.agg(F.sum(gap * gap).alias("error"), (F.sum(F.col("a") * F.col("b")) / F.sum(F.col("b") * F.col("b"))).alias("scale"))
+    return both.agg(F.sum(gap * gap).alias("error"), F.try_divide(F.sum(F.col("a") * F.col("b")), F.sum(F.col("b") * F.col("b"))).alias("scale"))
 
 
 def non_zeros(chain: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vecloom.durable import materialize, release
 from vecloom.functions.vectors import sq_dist
-from vecloom.operators.dense import Sums, assign, pass_over
+from vecloom.operators.dense import Sums, assign, nearest, pass_over
 
 POLICIES = ("farthest", "random", "zero", "error")
 
@@ -177,6 +178,62 @@ def plus_plus(points: DataFrame, k: int, seed: int = 0) -> np.ndarray:
     return chosen
 
 
+def weighted_plus_plus(x: np.ndarray, weights: np.ndarray, k: int, seed: int, rounds: int = 20) -> np.ndarray:
+    """k centroids of weighted points on the driver: k-means++ draws, then weighted Lloyd passes."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.choice(len(x), p=weights / weights.sum()))]
+    d2 = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < min(k, len(x)) and (weights * d2).sum() > 0:
+        chosen.append(int(rng.choice(len(x), p=weights * d2 / (weights * d2).sum())))
+        d2 = np.minimum(d2, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    u = x[chosen].copy()
+    for _ in range(rounds):
+        own, _ = nearest(x, u)
+        sums, size = np.zeros_like(u), np.bincount(own, weights, minlength=len(u))
+        np.add.at(sums, own, weights[:, None] * x)
+        moved = np.where(size[:, None] > 0, sums / np.maximum(size, 1e-300)[:, None], u)
+        if np.array_equal(moved, u):
+            break
+        u = moved
+    return u
+
+
+def oversampled(points: DataFrame, first: np.ndarray, draws: int, rounds: int, seed: int) -> tuple[np.ndarray, list[float]]:
+    """Points drawn in ``rounds`` rounds, each with probability ``draws * d2 / sum of d2`` by a hash of its id, and the cost before each.
+
+    Each point's squared distance to what is drawn is kept in a table; a round compares points with the last round's draws only.
+    About draws * rounds vectors reach the driver: a parameter's size, not the data's.
+    """
+    chosen, new, costs = first, first, []
+    kept = points.select("id", "x").withColumn("least", F.lit(float("inf")))
+    for r in range(rounds + 1):
+        found = assign(kept, new, keep=("id", "x", "least")).select("id", "x", F.least("least", "d2").alias("least"))
+        before, kept = kept, materialize(found, "distances")
+        release(before)
+        cost = kept.agg(F.sum("least")).first()[0] or 0.0
+        costs.append(cost)
+        if r == rounds or cost == 0:
+            break
+        drawn = kept.filter(uniform(seed, r, F.col("id")) * cost < F.col("least") * draws).orderBy("id").select("x").collect()
+        if not drawn:
+            continue
+        new = np.array([row["x"] for row in drawn], np.float64)
+        chosen = np.vstack([chosen, new])
+    release(kept)
+    return chosen, costs
+
+
+def parallel_plus_plus(points: DataFrame, k: int, seed: int = 0, rounds: int = 5, oversampling: float = 2.0) -> np.ndarray:
+    """k-means||: points are drawn ``oversampling * k`` at a time in a fixed number of rounds, and weighted and clustered to k.
+
+    rounds + 2 passes over the points whatever k is, where ``plus_plus`` takes k. Fewer than k centroids come back only
+    where fewer different points are drawn.
+    """
+    drawn, _ = oversampled(points, first_by_hash(points, 1, seed), max(1, round(oversampling * k)), rounds, seed)
+    drawn = np.unique(drawn, axis=0)
+    return weighted_plus_plus(drawn, pass_over(points, drawn).counts.astype(np.float64), k, seed)
+
+
 def gaussian_value(*parts: Column | int | str) -> Column:
     """A standard normal number from a hash of the parts."""
     return F.sqrt(F.log(uniform(*parts, 1)) * -2.0) * F.cos(uniform(*parts, 2) * 6.283185307179586)

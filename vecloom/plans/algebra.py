@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vecloom.durable import new_path
 from vecloom.functions.vectors import pad_pow2
 from vecloom.operators import chain as c
+from vecloom.operators import palm_tables
 from vecloom.operators import projections as pr
 from vecloom.operators.factorize import TopRowCol, budgets, flat_budget, hierarchical, palm, start_factors
 from vecloom.plans.clustering import centroid_table, coordinates, rounded
@@ -202,6 +203,51 @@ def constraint_budget(spark, sf_dir):
     return spark.createDataFrame(rows, "k int, step int, residual int")
 
 
+def _largest(name: str, matrix: str, by: str, on: str, squarings: int = 10) -> str:
+    """CTEs ending in ``name`` (value): the square of the largest singular value of ``matrix``, by powers of its Gram matrix."""
+    parts = [f"{name}g AS MATERIALIZED (SELECT a.{by} AS i, b.{by} AS j, sum(a.v * b.v) AS v FROM {matrix} a JOIN {matrix} b ON a.{on} = b.{on} GROUP BY 1, 2)"]
+    before = f"{name}g"
+    for n in range(squarings):
+        over = f"(SELECT sum(v * v) FROM {before})"
+        parts.append(f"{name}{n} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) / {over} AS v FROM {before} a JOIN {before} b ON a.j = b.i GROUP BY 1, 2)")
+        before = f"{name}{n}"
+    parts.append(f"{name} AS MATERIALIZED (SELECT (SELECT sum(g.v * w.v) FROM {name}g g JOIN {before} w ON g.i = w.i AND g.j = w.j) / (SELECT sum(v) FROM {before} WHERE i = j) AS value)")
+    return ",\n".join(parts)
+
+
+@query(f"WITH {_M}, {_largest('s', 'm', 'j', 'i')} SELECT round(sqrt(value), 4) AS norm FROM s")
+def spectral_norm_table(spark, sf_dir):
+    """The largest singular value of the matrix from lineitem, by power iteration on tables."""
+    size, _ = palm_tables.spectral_norm(palm_tables.Matrix(50, 20, supplied(spark, sf_dir)))
+    return spark.createDataFrame([(size,)], "norm double").select(rounded("norm", 4))
+
+
+def _kept(name: str, matrix: str, per_col: int, per_row: int) -> str:
+    """CTEs ending in ``name``: the largest of each column and row, over their Frobenius norm."""
+    size = "abs(round(v, 10))"
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY j ORDER BY {size} DESC, i) AS rc, row_number() OVER (PARTITION BY i ORDER BY {size} DESC, j) AS rr FROM {matrix}"
+    return f"{name}k AS MATERIALIZED (SELECT i, j, v FROM ({ranked}) WHERE rc <= {per_col} OR rr <= {per_row}),\n{name} AS MATERIALIZED (SELECT i, j, v / (SELECT sqrt(sum(v * v)) FROM {name}k) AS v FROM {name}k)"
+
+
+#: From the identity and zero: the right factor is the projection of the first rows; then one step of the left one.
+_SWEEP = f"""{_M}, r0 AS (SELECT i, j, v / 1.001 AS v FROM m WHERE i < 20 AND v <> 0), {_kept('r', 'r0', 4, 4)},
+{_largest('n', 'r', 'i', 'j')},
+gap AS (SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM r UNION ALL SELECT i, j, -v FROM m) GROUP BY i, j),
+grad AS (SELECT g.i, r.i AS j, sum(g.v * r.v) AS v FROM gap g JOIN r ON g.j = r.j GROUP BY 1, 2),
+l0 AS (SELECT i, j, sum(v) AS v FROM (SELECT i, i AS j, 1.0 AS v FROM (SELECT CAST(unnest(range(0, 20)) AS INTEGER) AS i) UNION ALL SELECT i, j, -v / (1.001 * (SELECT value FROM n)) FROM grad) GROUP BY i, j HAVING sum(v) <> 0),
+{_kept('l', 'l0', 10, 4)},
+pr AS (SELECT l.i, r.j, sum(l.v * r.v) AS v FROM l JOIN r ON l.j = r.i GROUP BY 1, 2),
+fit AS (SELECT (SELECT sum(m.v * pr.v) FROM m JOIN pr ON m.i = pr.i AND m.j = pr.j) / (SELECT sum(v * v) FROM pr) AS scale)"""
+
+
+@query(f"WITH {_SWEEP} SELECT CAST(q AS INTEGER) AS q, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(v, 5) + 0.0 AS v, round(scale, 2) AS scale FROM (SELECT 0 AS q, * FROM l UNION ALL SELECT 1, * FROM r), fit")
+def palm_sweep_tables(spark, sf_dir):
+    """One sweep over two factors of the matrix from lineitem, as tables."""
+    matrix = palm_tables.Matrix(50, 20, supplied(spark, sf_dir))
+    found = palm_tables.palm(matrix, palm_tables.start_factors(spark, 50, 20, 2), [TopRowCol(200), TopRowCol(80)], max_iter=1)
+    return found.chain.select("q", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), rounded("v", 5), F.round(F.lit(found.scale), 2).alias("scale"))
+
+
 def target(spark, sf_dir: str) -> np.ndarray:
     return first_rows(points(spark, sf_dir), 16)[:, :32]
 

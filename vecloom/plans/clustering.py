@@ -13,6 +13,7 @@ from vecloom.operators.factorized_kmeans import factorized_after_kmeans, factori
 from vecloom.operators.positions import with_prefix_sum
 from vecloom.plans.registry import COORDINATES, POINTS, assigned, averaged, first_centroids, gaussian, plus_plus, projected, query, sq, text
 from vecloom.plans.registry import lloyd as lloyd_sql
+from vecloom.plans.registry import uniform as uniform_sql
 from vecloom.sources.tables import feature_points, first_rows, load, points
 from vecloom.streaming.running_means import RunningMeans, cluster_stream
 
@@ -340,3 +341,25 @@ def streaming_one_batch(spark, sf_dir):
 def assign_wide(spark, sf_dir):
     rows = feature_points(load(spark, sf_dir, "lineitem"), "l_orderkey", ["l_quantity"])
     return dense.assign(rows, np.array([[10.0], [40.0]])).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"WITH {POINTS}, f AS (SELECT x FROM p ORDER BY {uniform_sql(repr('3'), text('id'))}, id LIMIT 1), d AS (SELECT p.id, {sq('p.x', 'f.x')} AS d2 FROM p, f), c AS (SELECT sum(d2) AS cost FROM d) "
+    f"SELECT id, round(d2, 6) AS d2 FROM d, c WHERE {uniform_sql(repr('3'), repr('0'), text('id'))} * cost < d2 * 40"
+)
+def kmeans_parallel_round(spark, sf_dir):
+    """The points that the first round of k-means|| draws: some 40 in proportion to their squared distances."""
+    pts = points(spark, sf_dir)
+    first = lloyd.first_by_hash(pts, 1, 3)
+    placed = dense.assign(pts, first)
+    cost = placed.agg(F.sum("d2").alias("cost"))  # one row
+    drawn = placed.join(F.broadcast(cost)).filter(lloyd.uniform(3, 0, F.col("id")) * F.col("cost") < F.col("d2") * 40)
+    return drawn.select("id", F.round("d2", 6).alias("d2"))
+
+
+@query()
+def kmeans_parallel(spark, sf_dir):
+    """Members and cost of the clusters that k-means|| starts with."""
+    pts = points(spark, sf_dir)
+    placed = dense.assign(pts, lloyd.parallel_plus_plus(pts, K, seed=3))
+    return placed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("d2"), 4).alias("cost"))
