@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import threading
+import time
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecloom.durable import materialize
@@ -31,12 +35,12 @@ def nearest_in_group(train: DataFrame, test: DataFrame, group: str, rows: int |
         if train.count() * widest <= MAX_CENTROID_VALUES:
             return _with_held_train(train, test, group)
         if test.count() * widest <= MAX_CENTROID_VALUES:
-            return _best(_with_held_test(train, test, group))
+            return best_of(_with_held_test(train, test, group))
         rows = min(max(BLOCK_VALUES // widest, BLOCK_ROWS[0]), BLOCK_ROWS[1])
-    return _best(_in_blocks(train, test, group, rows))
+    return best_of(_in_blocks(train, test, group, rows))
 
 
-def _best(found: DataFrame) -> DataFrame:
+def best_of(found: DataFrame) -> DataFrame:
     best = found.groupBy("id").agg(F.min(F.struct("d2", "train_id", "label")).alias("best"))
     return best.select("id", "best.train_id", "best.label", "best.d2")
 
@@ -169,7 +173,7 @@ def one_nn_in_cells(train: DataFrame, test: DataFrame, centroids: np.ndarray, sh
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(i)), part.column("x").take(pa.array(i)), pa.array(names[c].astype(np.int32))], names=["id", "x", "k"])
 
     again = asked.join(first.select("id", F.col("d2").alias("best")), "id").select("id", "x", "k", "best").mapInArrow(reached, "id long, x array<double>, k int")
-    return _best(first.unionByName(nearest_in_group(placed, again, "k", rows)))
+    return best_of(first.unionByName(nearest_in_group(placed, again, "k", rows)))
 
 
 def accuracy(predicted: Column, actual: Column) -> Column:
@@ -287,3 +291,64 @@ def timed_assignment(points: DataFrame, centroids: np.ndarray, rows: int = 1000)
 
     times = points.select("x").mapInArrow(run, "s double")
     return times.agg(F.count("s").alias("n"), F.avg("s").alias("mean_s"), F.stddev_pop("s").alias("std_s"))
+
+
+@dataclass(frozen=True)
+class Limited:
+    """What an action gave within its time, or that it was stopped."""
+
+    result: object
+    seconds: float
+    stopped: bool
+
+
+def limited(spark: SparkSession, seconds: float, action: Callable[[], object]) -> Limited:
+    """Runs an action whose Spark jobs are cancelled after ``seconds``; the session goes on.
+
+    The jobs of the calling thread carry a tag of this call's, which is what is cancelled: others' jobs run on. An error that
+    is not the cancellation's is raised.
+    """
+    sc, tag = spark.sparkContext, f"limited-{uuid.uuid4().hex}"
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        # jobs that the action starts between two others' end are met as well
+        while not done.wait(0.2):
+            sc.cancelJobsWithTag(tag)
+
+    done = threading.Event()
+    timer = threading.Timer(seconds, stop)
+    sc.addJobTag(tag)
+    began = time.perf_counter()
+    timer.start()
+    try:
+        result, stopped = action(), False
+    except Exception:
+        if not late.is_set():
+            raise
+        result, stopped = None, True
+    finally:
+        done.set()
+        timer.cancel()
+        sc.removeJobTag(tag)
+    return Limited(result, time.perf_counter() - began, stopped)
+
+
+def baseline_record(spark: SparkSession, pruned: Callable[[], DataFrame], baseline: Callable[[], DataFrame], factor: float = 10.0) -> dict:
+    """Seconds of a pruned search and of a baseline that may take ``factor`` times as long; its seconds are null if it is stopped."""
+    began = time.perf_counter()
+    pruned().write.format("noop").mode("overwrite").save()
+    own = time.perf_counter() - began
+    found = limited(spark, factor * own, lambda: baseline().write.format("noop").mode("overwrite").save())
+    return {"pruned_s": own, "baseline_s": None if found.stopped else found.seconds, "stopped": found.stopped}
+
+
+def observed_assignment(points: DataFrame, centroids: np.ndarray, write: Callable[[DataFrame], None]) -> dict:
+    """Assigns all points, hands them to ``write`` and says what passed by, without a second pass: rows, vector bytes, cost, seconds."""
+    metrics = Observation()
+    sized = assign(points.select("id", "x"), centroids, keep=("id", "x"))
+    seen = sized.observe(metrics, F.count(F.lit(1)).alias("rows"), F.sum(F.size("x") * 8).alias("bytes"), F.sum("d2").alias("cost"))
+    began = time.perf_counter()
+    write(seen.drop("x"))
+    return metrics.get | {"seconds": time.perf_counter() - began}

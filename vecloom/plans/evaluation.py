@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vecloom.durable import new_path
 from vecloom.functions.vectors import dot
 from vecloom.operators import evaluate as ev
 from vecloom.operators import kernels as kn
-from vecloom.operators import lloyd
+from vecloom.operators import lloyd, trees
 from vecloom.operators.dense import assign
 from vecloom.plans.clustering import centroid_table, rounded
 from vecloom.plans.registry import POINTS, assigned, first_centroids, query, sq
@@ -175,3 +176,21 @@ def nystrom_svm(spark, sf_dir):
 def assignment_timing(spark, sf_dir):
     pts = points(spark, sf_dir)
     return ev.timed_assignment(pts, first_rows(pts, 64), 200)
+
+
+@query(f"WITH {_NN} SELECT id, train_id, CAST(label AS INTEGER) AS label, round(d2, 6) AS d2 FROM nn")
+def one_nn_tree(spark, sf_dir):
+    train, test = halves(spark, sf_dir)
+    return trees.one_nn_in_tree(train, test, leaf=64).select("id", "train_id", "label", rounded("d2"))
+
+
+@query(
+    f"WITH {POINTS}, {first_centroids(K)}, {assigned('a', 'c0')} SELECT count(*) AS n_rows, CAST(sum(len(x)) * 8 AS BIGINT) AS n_bytes, round(sum(d), 4) AS cost, true AS timed FROM a"
+)
+def observed_assignment(spark, sf_dir):
+    """What passes by while an assignment is written: rows, bytes of vectors and cost, without a second pass."""
+    pts = points(spark, sf_dir)
+    path = new_path(spark, "assigned")
+    seen = ev.observed_assignment(pts, first_rows(pts, K), lambda df: df.write.parquet(path))
+    rows = [(seen["rows"], seen["bytes"], round(seen["cost"], 4), seen["seconds"] > 0)]
+    return spark.createDataFrame(rows, "n_rows long, n_bytes long, cost double, timed boolean")
