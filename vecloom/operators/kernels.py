@@ -1,7 +1,7 @@
 """RBF kernels, Nystrom embeddings and their error.
 
-Landmarks are few (K x d on the driver); points are embedded where they stand. Errors are measured on a
-bounded sample of points, as a sample's kernel has the square of its size.
+Landmarks are few (K x d on the driver); points are embedded where they stand. Errors are those of all pairs of points,
+by blocks, or of a bounded sample's.
 """
 
 from __future__ import annotations
@@ -22,6 +22,10 @@ from vecloom.operators.positions import with_position
 from vecloom.shipping import ship
 
 
+#: Kernel values of two blocks that are in memory at a time.
+CELLS = 4_000_000
+
+
 def rbf(d2: Column, gamma: float) -> Column:
     return F.exp(F.greatest(d2, F.lit(0.0)) * -gamma)
 
@@ -92,6 +96,43 @@ def reconstruction_error(points: DataFrame, model: Nystrom, sample: int = 2000,
     return float(np.linalg.norm(z @ z.T - exact) / np.linalg.norm(exact))
 
 
+def kernel_errors(points: DataFrame, model: Nystrom, rows: int = 2048) -> DataFrame:
+    """One row (gap, exact): squared Frobenius norms of ZZ' - K and of K over all pairs of points, exactly.
+
+    Points are dealt to blocks of about ``rows``; each pair of blocks, of which the kernel's symmetry leaves a triangle, is one
+    task, which embeds both, compares them and returns two numbers. No pair of points becomes a row.
+    """
+    ship(points.sparkSession)
+    n = max(1, -(-points.count() // rows))
+    held, step = points.sparkSession.sparkContext.broadcast(model), max(1, CELLS // rows)
+    dealt = points.select("id", "x").withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = dealt.select("id", "x", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own")
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        own = table.column("own").to_numpy()
+        x, y = (matrix(table.filter(pa.array(own == side)).column("x")) if (own == side).any() else None for side in (a, b))
+        gap = exact = 0.0
+        if x is not None and y is not None:
+            z, w = held.value.embed(x), held.value.embed(y)
+            for at in range(0, len(x), step):
+                k = rbf_matrix(x[at : at + step], y, model_gamma)
+                if a == b:
+                    k[np.arange(len(k)), np.arange(at, at + len(k))] = 1.0
+                gap, exact = gap + float(((z[at : at + step] @ w.T - k) ** 2).sum()), exact + float((k * k).sum())
+        twice = 1.0 if a == b else 2.0
+        return pa.table({"gap": [twice * gap], "exact": [twice * exact]})
+
+    model_gamma = model.gamma
+    return dealt.groupBy("a", "b").applyInArrow(run, "gap double, exact double").agg(F.sum("gap").alias("gap"), F.sum("exact").alias("exact"))
+
+
+def kernel_error(points: DataFrame, model: Nystrom, rows: int = 2048) -> float:
+    """|ZZ' - K| / |K| in Frobenius norm over all points."""
+    found = kernel_errors(points, model, rows).first()
+    return float(np.sqrt(found["gap"] / found["exact"])) if found["exact"] else 0.0
+
+
 def structured(seeds: np.ndarray, n: int | None = None) -> np.ndarray:
     """Rows of Hadamard * diag(seed) for each seed, padded to a power of two; the first n of them."""
     d = 1 << int(np.ceil(np.log2(seeds.shape[1])))

@@ -8,15 +8,17 @@ the objective of new centroids with old assignments (they differ, and both are i
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecloom.durable import materialize, release
+from vecloom.durable import materialize, new_path, release
 from vecloom.functions.vectors import sq_dist
 from vecloom.operators.dense import Sums, assign, nearest, pass_over
+from vecloom.operators.positions import with_position
 
 POLICIES = ("farthest", "random", "zero", "error")
 
@@ -122,6 +124,7 @@ def kmeans(
     l1_radius: float | None = None,
     l1_slack: float = 0.0,
     seed: int = 0,
+    passing: Callable[[DataFrame, np.ndarray], Sums] | None = None,
 ) -> KMeansModel:
     """Passes until the objective changes by a share of at most ``delta``, at least one, at most ``max_iter``."""
     if empty not in POLICIES:
@@ -131,7 +134,7 @@ def kmeans(
     u = np.array(centroids, np.float64)
     model = KMeansModel(u, np.zeros(len(u), np.int64))
     for _ in range(max_iter):
-        got = pass_over(points, u)
+        got = (passing or pass_over)(points, u)
         new, counts = repair(points, u, got, empty, seed)
         if l1_radius is not None:
             new = np.array([project_l1(row, l1_radius, l1_slack) for row in new])
@@ -144,9 +147,46 @@ def kmeans(
     return model
 
 
-def minibatch_kmeans(points: DataFrame, centroids: np.ndarray, max_iter: int = 10, delta: float = 1e-6, **options) -> KMeansModel:
-    """Epochs batch by batch give exactly one pass's sums, so this is ``kmeans``; empty clusters become zero."""
-    return kmeans(points, centroids, max_iter, delta, empty="zero", **options)
+@dataclass
+class Batches:
+    """A table of points partitioned by the number of their batch: ``size`` rows each in the order of a key, the last one may be short."""
+
+    table: DataFrame
+    size: int
+    count: int
+
+    def batch(self, number: int) -> DataFrame:
+        """One batch: only its folder is read."""
+        return self.table.filter(F.col("batch") == number)
+
+
+def batched(points: DataFrame, key: str, size: int) -> Batches:
+    """Writes (id, x) by batches. One range shuffle numbers the rows; each batch's rows stand in few tasks, so it is few files."""
+    if size < 1:
+        raise ValueError("a batch has a row at least")
+    placed = with_position(points.select(*dict.fromkeys([key, "id", "x"])), key).select("id", "x", F.floor(F.col("pos") / size).alias("batch"))
+    path = new_path(points.sparkSession, "batches")
+    placed.write.partitionBy("batch").parquet(path)
+    table = points.sparkSession.read.schema(placed.schema).parquet(path)
+    return Batches(table, size, (table.agg(F.max("batch")).first()[0] or 0) + 1)
+
+
+def batch_pass(batches: Batches, centroids: np.ndarray) -> Sums:
+    """One epoch: a job a batch, the sums merged between them; what ``pass_over`` finds of all points."""
+    whole: Sums | None = None
+    for number in range(batches.count):
+        got = pass_over(batches.batch(number), centroids)
+        whole = got if whole is None else Sums(whole.counts + got.counts, whole.sums + got.sums, whole.objective + got.objective)
+    return whole
+
+
+def minibatch_kmeans(points: DataFrame, centroids: np.ndarray, max_iter: int = 10, delta: float = 1e-6, batch_size: int | None = None, key: str = "id", **options) -> KMeansModel:
+    """Epochs of batches of ``batch_size`` rows by ``key``, one after the other; empty clusters become zero.
+
+    Batches' sums add up to one pass's, so without a size this is ``kmeans``.
+    """
+    batches = batched(points, key, batch_size) if batch_size else None
+    return kmeans(points, centroids, max_iter, delta, empty="zero", passing=(lambda _, u: batch_pass(batches, u)) if batches else pass_over, **options)
 
 
 def uniform(*parts: Column | int | str) -> Column:

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from vecloom.durable import new_path
 from vecloom.functions.vectors import l1_ball, l1_norm, sq_dist, sq_norm
-from vecloom.operators import dense, lloyd, prepare
+from vecloom.operators import dense, lloyd, prepare, sparse_points
 from vecloom.operators.factorized_kmeans import factorized_after_kmeans, factorized_kmeans
 from vecloom.operators.positions import with_prefix_sum
 from vecloom.plans.registry import COORDINATES, POINTS, assigned, averaged, first_centroids, gaussian, plus_plus, projected, query, sq, text
 from vecloom.plans.registry import lloyd as lloyd_sql
 from vecloom.plans.registry import uniform as uniform_sql
+from vecloom.sources import raw
 from vecloom.sources.tables import feature_points, first_rows, load, points
 from vecloom.streaming.running_means import RunningMeans, cluster_stream
 
@@ -363,3 +364,52 @@ def kmeans_parallel(spark, sf_dir):
     pts = points(spark, sf_dir)
     placed = dense.assign(pts, lloyd.parallel_plus_plus(pts, K, seed=3))
     return placed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("d2"), 4).alias("cost"))
+
+
+_HOT = """w AS (SELECT field, value, CAST(row_number() OVER (ORDER BY field, value) - 1 AS INTEGER) AS i FROM
+ (SELECT DISTINCT 'l_partkey' AS field, CAST(l_partkey AS VARCHAR) AS value FROM lineitem UNION SELECT DISTINCT 'l_shipmode_flag', l_returnflag FROM lineitem)),
+h AS (SELECT DISTINCT l_orderkey AS id, w.i FROM lineitem JOIN w ON (field = 'l_partkey' AND value = CAST(l_partkey AS VARCHAR)) OR (field = 'l_shipmode_flag' AND value = l_returnflag))"""
+_HOT = _HOT.replace("l_shipmode_flag", "l_returnflag")
+
+
+def baskets(spark, sf_dir: str):
+    """Sparse vectors of orders: the parts and return flags of their lines; and the vocabulary."""
+    found = sparse_points.items(load(spark, sf_dir, "lineitem"), "l_orderkey", ["l_partkey", "l_returnflag"])
+    words = sparse_points.vocabulary(found)
+    return sparse_points.vectors(found, words), words
+
+
+@query(f"WITH {_HOT} SELECT id, CAST(count(*) AS DOUBLE) AS sq_norm, CAST(min(i) AS INTEGER) AS first, CAST(max(i) AS INTEGER) AS last FROM h GROUP BY id")
+def sparse_one_hot(spark, sf_dir):
+    rows, _ = baskets(spark, sf_dir)
+    return rows.select("id", sparse_points.sq_norm(F.col("values")).alias("sq_norm"), F.array_min("indices").alias("first"), F.array_max("indices").alias("last"))
+
+
+@query(
+    f"WITH {_HOT}, d AS (SELECT count(*) AS d FROM w), n AS (SELECT id, count(*) AS n FROM h GROUP BY id), "
+    "dots AS (SELECT h.id, k, sum(CASE WHEN i % 4 = k THEN 0.5 ELSE 0 END) AS dot FROM h, (SELECT unnest(range(0, 4)) AS k) GROUP BY h.id, k), "
+    "u AS (SELECT k, (SELECT count(*) FROM w WHERE i % 4 = k) * 0.25 AS norm FROM (SELECT unnest(range(0, 4)) AS k)), "
+    "r AS (SELECT dots.id, dots.k, n - 2 * dot + norm AS d2, row_number() OVER (PARTITION BY dots.id ORDER BY n - 2 * dot + norm, dots.k) AS r FROM dots JOIN n ON n.id = dots.id JOIN u ON u.k = dots.k) "
+    "SELECT id, CAST(k AS INTEGER) AS k, round(CAST(d2 AS DOUBLE), 6) AS d2 FROM r WHERE r = 1"
+)
+def sparse_assign(spark, sf_dir):
+    """Orders by the nearest of four centroids, each a half at every fourth word of the vocabulary."""
+    rows, words = baskets(spark, sf_dir)
+    centroids = (np.arange(words.count())[None, :] % 4 == np.arange(4)[:, None]) * 0.5
+    return sparse_points.assign(rows, centroids).select("id", "k", F.round("d2", 6).alias("d2"))
+
+
+@query(f"{lloyd_sql(K, 1)} {COORDINATES.format('c1')}")
+def minibatch_by_batches(spark, sf_dir):
+    """One epoch over a table partitioned by batch, batches of 120 rows, the last one short."""
+    pts = points(spark, sf_dir)
+    return coordinates(spark, lloyd.minibatch_kmeans(pts, first_rows(pts, K), max_iter=1, batch_size=max(120, pts.count() // 5 + 20)).centroids)
+
+
+@query(f"WITH {POINTS} SELECT i AS row, CAST(pos AS INTEGER) AS pos, round(v, 5) + 0.0 AS value FROM (SELECT row_number() OVER (ORDER BY id) - 1 AS i, unnest(x) AS v, unnest(range(0, len(x))) AS pos FROM p)")
+def raw_matrix_parts(spark, sf_dir):
+    """The vectors written as one raw file of 4-byte floats and read by many tasks."""
+    path = new_path(spark, "raw")
+    raw.write_raw(points(spark, sf_dir).coalesce(1).sortWithinPartitions("id"), path, 64)
+    rows = raw.read_raw(spark, path, 64, part_bytes=1 << 14)
+    return rows.select("row", F.posexplode("x").alias("pos", "value")).select("row", "pos", rounded("value", 5))

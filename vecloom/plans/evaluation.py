@@ -70,6 +70,26 @@ def nystrom_errors(spark, sf_dir):
     return spark.createDataFrame(rows, "family string, error double").select("family", rounded("error", 4))
 
 
+@query(
+    f"WITH {POINTS}, l AS (SELECT id, exp(-0.7 * {sq('p.x', '(SELECT x FROM p WHERE id = 0)')}) AS z FROM p), k AS (SELECT a.id, b.id AS other, exp(-0.7 * {sq('a.x', 'b.x')}) AS v FROM p a, p b) "
+    "SELECT round(sum((a.z * b.z - k.v) * (a.z * b.z - k.v)), 2) AS gap, round(sum(k.v * k.v), 2) AS exact FROM k JOIN l a ON a.id = k.id JOIN l b ON b.id = k.other"
+)
+def nystrom_error_one(spark, sf_dir):
+    """Squared norms of the error and of the kernel over all pairs of points, with one landmark."""
+    pts = points(spark, sf_dir)
+    return kn.kernel_errors(pts, kn.Nystrom(first_rows(pts, 1), GAMMA), rows=300).select(rounded("gap", 2), rounded("exact", 2))
+
+
+@query()
+def nystrom_errors_exact(spark, sf_dir):
+    """The error of the five landmark families over all pairs of points."""
+    pts = points(spark, sf_dir)
+    model = lloyd.kmeans(pts, first_rows(pts, 16), max_iter=3)
+    families = kn.landmark_families(pts, 16, model.centroids, seed=2)
+    rows = [(name, kn.kernel_error(pts, kn.Nystrom(u, GAMMA))) for name, u in families.items()]
+    return spark.createDataFrame(rows, "family string, error double").select("family", rounded("error", 4))
+
+
 def halves(spark, sf_dir):
     pts = points(spark, sf_dir)
     return pts.filter("id % 5 <> 0"), pts.filter("id % 5 = 0").select("id", "x")
