@@ -81,7 +81,7 @@ def test_sizes_are_checked(spark, data, monkeypatch):
     monkeypatch.setattr(dense, "MAX_CENTROID_VALUES", 10)
     monkeypatch.setattr(dense, "MAX_LITERAL_VALUES", 10)
     table = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(data[:4])], "k int, u array<double>")
-    for made in (dense.assign, dense.pass_over, dense.assign_native, dense.operator_scores):
+    for made in (dense.assign_native, dense.operator_scores):
         with pytest.raises(ValueError):
             made(frame(spark, data), data[:4])
     with pytest.raises(ValueError):
@@ -271,3 +271,20 @@ def test_weighted_plus_plus():
     x = np.array([[0.0], [10.0], [0.1], [9.9], [5.0]])
     u = lloyd.weighted_plus_plus(x, np.array([100.0, 100.0, 1.0, 1.0, 1e-9]), 2, 0)
     assert sorted(round(v, 3) for v in u[:, 0]) == [0.001, 9.999]
+
+
+def test_more_centroids_than_a_task_holds(spark, monkeypatch):
+    """Block by block: the same assignment, sums, ties and repairs."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(-3, 4, (120, 3)).astype(float)
+    u = np.vstack([x[:9], x[2], np.full((1, 3), 50.0)])
+    pts = frame(spark, x)
+    keys = list(range(5, 5 + 2 * len(u), 2))
+    whole = [dense.pass_over(pts, u), sorted(map(tuple, dense.assign(pts, u, keys).collect())), lloyd.kmeans(pts, u, 2)]
+    monkeypatch.setattr(dense, "MAX_CENTROID_VALUES", 7)
+    assert dense.blocks_of(u)[:2] == [(0, 2), (2, 4)] and dense.blocks_of(u)[-1] == (10, 11)
+    parts = [dense.pass_over(pts, u), sorted(map(tuple, dense.assign(pts, u, keys).collect())), lloyd.kmeans(pts, u, 2)]
+    for name in ("counts", "sums", "objective"):
+        assert np.allclose(getattr(whole[0], name), getattr(parts[0], name))
+    assert whole[1] == parts[1]
+    assert np.allclose(whole[2].centroids, parts[2].centroids) and np.allclose(whole[2].trace, parts[2].trace)

@@ -238,3 +238,15 @@ def test_budgets():
             for k, step in enumerate(budgets(10, 32, n, 2, right, constant_first=True)):
                 assert len(step.split) == 2 and len(step.finetune) == k + 2
     assert flat_budget(10, 32, 5, 2, constant_first=True) == [Const(), TopRowCol(20), TopRowCol(20), TopRowCol(20), TopRowCol(64)]
+
+
+def test_both_ways_to_apply_a_chain_agree(spark, monkeypatch):
+    """Long indices, a null coordinate, a row that no path reaches: types and rows are the same."""
+    rows = [(0, 0, 1, 2.0), (0, 2, 0, 1.0), (1, 0, 0, 1.0), (1, 1, 2, 3.0), (1, 3, 1, 5.0)]
+    table = spark.createDataFrame(rows, "q int, i long, j long, v double")
+    points = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [None, 1.0, 1.0]), (3, [0.0, 0.0, 0.0])], "id long, x array<double>")
+    shown = lambda df: (df.dtypes, sorted((r["id"], r["i"], "nan" if r["v"] != r["v"] else r["v"]) for r in df.collect()))
+    held = shown(ch.apply_chain(table, 2, points))
+    monkeypatch.setattr(ch, "MAX_HELD", 0)
+    joined = shown(ch.apply_chain(table, 2, points))
+    assert held == joined and ("nan" in {v for _, _, v in held[1]}) and len(held[1]) == 6

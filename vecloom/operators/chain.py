@@ -44,7 +44,7 @@ MAX_HELD = 4_000_000
 def apply_chain(chain: DataFrame, n_factors: int, points: DataFrame) -> DataFrame:
     """(id, i, v): the chain times each point (id, x), factor by factor from the right, never as one matrix.
 
-    Rows i are those that some path of non-zeros joins to a coordinate. Points stay where they are while the
+    A null in x is NaN, and so is what it touches. Rows i are those that some path of non-zeros joins to a coordinate. Points stay where they are while the
     factors are few numbers; beyond MAX_HELD coordinates are joined to factors instead.
     """
     if chain.count() > MAX_HELD:
@@ -87,11 +87,11 @@ def _fitted(factors: list[tuple[np.ndarray, np.ndarray, np.ndarray]], d: int) ->
 
 def apply_by_join(chain: DataFrame, n_factors: int, points: DataFrame) -> DataFrame:
     """The same for factors of any size: n x d coordinates are joined to the factors, one by one."""
-    moved = points.select("id", F.posexplode("x").alias("j", "b"))
+    moved = points.select("id", F.posexplode("x").alias("j", "b")).withColumn("b", F.coalesce("b", F.lit(float("nan"))))
     for q in range(n_factors - 1, -1, -1):
         part = factor(chain, q).select("i", "j", F.col("v").alias("a"))
         moved = moved.join(part, "j").groupBy("id", F.col("i").alias("j")).agg(F.sum(F.col("a") * F.col("b")).alias("b"))
-    return moved.select("id", F.col("j").alias("i"), F.col("b").alias("v"))
+    return moved.select("id", F.col("j").cast("int").alias("i"), F.col("b").cast("double").alias("v"))
 
 
 def transpose(chain: DataFrame, n_factors: int) -> DataFrame:

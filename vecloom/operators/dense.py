@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.durable import materialize, release
 from vecloom.functions.vectors import dot, sq_dist
 from vecloom.shipping import ship
 
 #: Rows of a distance block: bounds Python memory to rows x K doubles.
 BLOCK = 4096
-#: Centroid values sent to every executor at most (64 MB of doubles); `evaluate.one_nn` compares larger tables, block by block.
+#: Centroid values that a task holds at most (64 MB of doubles); more are compared block by block.
 MAX_CENTROID_VALUES = 8_000_000
 #: Centroid values that stand as literals in a plan at most.
 MAX_LITERAL_VALUES = 20_000
@@ -57,11 +58,21 @@ def nearest(x: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def assign(points: DataFrame, centroids: np.ndarray, keys: list[int] | None = None, keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """``keep`` columns, k and d2 of each point. ``keys``: names of the centroids if they are not 0..K-1, ascending."""
+    """``keep`` columns, k and d2 of each point, the lowest k of ties. ``keys``: names of the centroids if they are not 0..K-1, ascending.
+
+    More centroids than a task may hold are compared a block at a time, the best so far going from one to the next.
+    """
     ship(points.sparkSession)
     centroids = np.asarray(centroids, np.float64)
-    if centroids.size > MAX_CENTROID_VALUES:
-        raise ValueError("too many centroids to send to every executor: compare both tables with evaluate.one_nn")
+    blocks = blocks_of(centroids)
+    if len(blocks) > 1:
+        names = np.array(keys if keys is not None else range(len(centroids)))
+        found = points.select(*dict.fromkeys([*keep, "x"]), F.lit(None).cast("int").alias("_k"), F.lit(float("inf")).alias("_d2"))
+        for a, b in blocks:
+            part = assign(found, centroids[a:b], names[a:b].tolist(), (*dict.fromkeys([*keep, "x"]), "_k", "_d2"))
+            better = F.col("d2") < F.col("_d2")
+            found = part.select(*dict.fromkeys([*keep, "x"]), F.when(better, F.col("k")).otherwise(F.col("_k")).alias("_k"), F.when(better, F.col("d2")).otherwise(F.col("_d2")).alias("_d2"))
+        return found.select(*keep, F.col("_k").alias("k"), F.col("_d2").alias("d2"))
     held = points.sparkSession.sparkContext.broadcast((centroids, np.array(keys if keys is not None else range(len(centroids)))))
     schema = ", ".join(f"{n} {t}" for n, t in points.select(*keep).dtypes) + ", k int, d2 double"
 
@@ -76,6 +87,12 @@ def assign(points: DataFrame, centroids: np.ndarray, keys: list[int] | None = No
     return points.select(*dict.fromkeys([*keep, "x"])).mapInArrow(run, schema)
 
 
+def blocks_of(centroids: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of centroids that a task may hold each, a centroid at least."""
+    step = max(1, MAX_CENTROID_VALUES // max(1, centroids.shape[1])) if centroids.size else 1
+    return [(a, min(a + step, len(centroids))) for a in range(0, max(1, len(centroids)), step)]
+
+
 def assign_native(points: DataFrame, centroids: np.ndarray) -> DataFrame:
     """The same in the JVM, with centroids as a literal: for few centroids."""
     u = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(float(v)) for v in row]).alias("u")) for k, row in enumerate(literal(centroids))])
@@ -134,15 +151,23 @@ def pass_over(points: DataFrame, centroids: np.ndarray) -> Sums:
     """Assigns the points and gathers K counts, sums, squared distances.
 
     Every task folds its rows into K partial sums; those of all tasks are folded again, as a stream, in GROUPS groups
-    for each k and then by k. No row holds more than one vector, and K rows reach the driver.
+    for each k and then by k. No row holds more than one vector, and K rows reach the driver. More centroids than a
+    task may hold are assigned block by block, the assignment is written, and each block's members are folded on their own.
     """
     ship(points.sparkSession)
     centroids = np.asarray(centroids, np.float64)
-    if centroids.size > MAX_CENTROID_VALUES:
-        raise ValueError("too many centroids to send to every executor")
-    held = points.sparkSession.sparkContext.broadcast(centroids)
-    n_k, d = centroids.shape
+    blocks = blocks_of(centroids)
+    if len(blocks) > 1:
+        placed = materialize(assign(points, centroids, keep=("x",)), "assigned")
+        each = [_folded(placed.filter((F.col("k") >= a) & (F.col("k") < b)).withColumn("k", F.col("k") - a), b - a, centroids.shape[1]) for a, b in blocks]
+        release(placed)
+        return Sums(*(np.concatenate([getattr(got, c) for got in each]) for c in ("counts", "sums", "objective")))
+    return _folded(points, len(centroids), centroids.shape[1], centroids)
 
+
+def _folded(points: DataFrame, n_k: int, d: int, centroids: np.ndarray | None = None) -> Sums:
+    """The sums of points (x), which are assigned on the way, or of assigned points (k, x, d2)."""
+    held = points.sparkSession.sparkContext.broadcast(centroids)
     def folded(counts: np.ndarray, sums: np.ndarray, objective: np.ndarray) -> Iterator[pa.RecordBatch]:
         some = np.flatnonzero(counts)
         for at in range(0, len(some), 1024):
@@ -163,7 +188,7 @@ def pass_over(points: DataFrame, centroids: np.ndarray) -> Sums:
         for batch in batches:
             if batch.num_rows:
                 x = matrix(batch.column("x"))
-                k, d2 = nearest(x, u)
+                k, d2 = nearest(x, u) if u is not None else (batch.column("k").to_numpy().astype(np.int64), batch.column("d2").to_numpy())
                 counts += np.bincount(k, minlength=n_k)
                 objective += np.bincount(k, d2, minlength=n_k)
                 add(sums, k, x)
@@ -180,7 +205,7 @@ def pass_over(points: DataFrame, centroids: np.ndarray) -> Sums:
         yield from folded(counts, sums, objective)
 
     kind = "k int, n long, s array<double>, o double"
-    parts = points.select("x").mapInArrow(run, kind).withColumn("group", F.spark_partition_id() % GROUPS)
+    parts = points.select("x", *([] if centroids is not None else ["k", "d2"])).mapInArrow(run, kind).withColumn("group", F.spark_partition_id() % GROUPS)
     found = parts.repartition("k", "group").select("k", "n", "s", "o").mapInArrow(fold, kind).repartition("k").mapInArrow(fold, kind).toArrow()  # K rows
     counts, sums, objective = zeros()
     if found.num_rows:
