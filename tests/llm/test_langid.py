@@ -178,3 +178,36 @@ def test_without_a_model_letters_decide(spark, odd_docs):
     unlabelled = odd_docs.withColumn("lang", F.lit(None).cast("string"))
     kept = langid.documents_in_a_language(unlabelled, langid.fit(unlabelled, F.lit(True)))
     assert kept.count() == odd_docs.count() - 4
+
+
+def test_fit_by_loops(spark):
+    """Counts of trigrams and their smoothed logarithms by plain loops, where every part is drawn."""
+    import math
+    import re
+
+    rows = [(1, "Ein Haus, ein Hund!", "de"), (2, "a house", "en"), (3, "A dog 4u", "en"), (4, None, "en"), (5, "kein Licht", None), (6, "nichts", ""), (2, "a house", "en"), (7, "held out", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.col("doc_id") != 7, min_count=2)
+    counts = {}
+    for i, text, lang in rows:
+        if i != 7 and text and lang:
+            for word in re.findall(r"[^\W\d_]+", text.lower()):
+                marked = f"^{word}$"
+                for at in range(len(marked) - 2):
+                    counts.setdefault(lang, {}).setdefault(marked[at : at + 3], 0)
+                    counts[lang][marked[at : at + 3]] += 1
+    counts = {lang: {g: n for g, n in c.items() if n >= 2} for lang, c in counts.items()}
+    grams = {g for c in counts.values() for g in c}
+    assert model.languages == ["de", "en"] and set(model.row) == grams and grams
+    for k, lang in enumerate(model.languages):
+        total = sum(counts[lang].values()) + 0.5 * (len(grams) + 1)
+        for g in grams:
+            assert math.isclose(model.log_p[model.row[g], k], math.log((counts[lang].get(g, 0) + 0.5) / total), rel_tol=1e-5)
+        assert math.isclose(model.log_p[-1, k], math.log(0.5 / total), rel_tol=1e-5)
+
+
+def test_without_a_language(spark):
+    """No learned language is no answer: und for every text."""
+    docs = spark.createDataFrame([(1, "some text", None), (2, None, "en")], "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    assert model.languages == [] and {r["lang_pred"] for r in langid.identify(docs, model).collect()} == {"und"}

@@ -75,3 +75,12 @@ def test_cascade_is_exact_and_small(spark):
     got = {r["key"] for r in universe.filter(cascade.member(universe.key)).collect()}
     assert got == {f"k{i}" for i in range(300)}
     assert len(cascade.levels) > 1 and sum(level.bits for level in cascade.levels) < 300 * 20
+
+
+def test_repeated_rows(spark):
+    """Rows that repeat an id, a url or both are judged one by one; null ids too."""
+    from collections import Counter
+
+    rows = [(1, URLS[3]), (1, URLS[3]), (1, URLS[4]), (2, URLS[3]), (None, URLS[12]), (None, URLS[12]), (None, None), (2, None)]
+    got = Counter(tuple(r) for r in uf.judge(spark.createDataFrame(rows, "page_id long, url string"), uf.RULES).collect())
+    assert got == Counter((i, *brute(u, uf.RULES)) for i, u in rows)

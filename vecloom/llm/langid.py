@@ -22,7 +22,7 @@ from vecloom.shipping import ship
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Words whose likelihoods a worker keeps.
-CACHE = 1 << 18
+CACHE = 1 << 16
 #: Trigrams that are drawn from one language together. A run of letters without spaces may be a whole text in many.
 PIECE = 40
 
@@ -109,7 +109,10 @@ class Mixture:
         return kept.likely[[known[w] for w in words]]
 
     def proportions(self, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
-        """EM from equal shares: the languages' proportions, and the log-likelihood. p: word by language, n: counts."""
+        """EM from equal shares: the languages' proportions, and the log-likelihood. p: word by language, n: counts.
+
+        It ends when no share moves by 0.0001, or after ``rounds`` rounds.
+        """
         share, total = np.full(p.shape[1], 1.0 / p.shape[1]), n.sum()
         for _ in range(self.rounds if p.shape[1] > 1 else 0):
             mixed = p @ share
@@ -168,8 +171,9 @@ def fit(docs: DataFrame, learn: Column, *, text_col: str = "text", lang_col: str
 
     What is drawn are parts of ``max_chars`` letters of the texts, so that texts of any length teach in proportion
     to it: by a hash of the id and the part's number against a threshold from the language's number of parts. No
-    group of rows is gathered anywhere. Null or empty langs teach nothing. Trigrams seen fewer than ``min_count``
-    times are left out.
+    group of rows is gathered anywhere. Null or empty langs and null texts teach nothing; rows that repeat teach again;
+    a null id is drawn like an empty one. Trigrams seen fewer than ``min_count`` times are left out. Without a row that
+    teaches the model has no language.
     """
     known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("doc_id"))
     known = known.filter(learn & F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull())
@@ -206,7 +210,8 @@ def fit(docs: DataFrame, learn: Column, *, text_col: str = "text", lang_col: str
 def identify(docs: DataFrame, model: Mixture, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, text and other columns are read by name only: doc_id, lang_pred, score, languages (name, share).
 
-    Null texts and texts without a letter are und with score 0. Repeated rows are judged one by one, an
+    Null texts and texts without a letter are und with score 0, and so is every text if no language was learned: there is
+    none to name. Repeated rows are judged one by one, an
     empty table gives an empty result. Texts are read whole.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
