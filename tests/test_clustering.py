@@ -288,3 +288,15 @@ def test_more_centroids_than_a_task_holds(spark, monkeypatch):
         assert np.allclose(getattr(whole[0], name), getattr(parts[0], name))
     assert whole[1] == parts[1]
     assert np.allclose(whole[2].centroids, parts[2].centroids) and np.allclose(whole[2].trace, parts[2].trace)
+
+
+def test_factorised_by_chain_and_by_batches(spark):
+    """The same model whichever way passes go."""
+    rng = np.random.default_rng(4)
+    pts = frame(spark, rng.normal(size=(150, 8)))
+    u = rng.normal(size=(6, 8))
+    plain, chain, parts, both = (
+        factorized_kmeans(pts, u, n_factors=2, sparsity=4, max_iter=3, palm_iter=10, **how) for how in ({}, {"by_chain": True}, {"batch_size": 40}, {"by_chain": True, "batch_size": 70})
+    )
+    for other in (chain, parts, both):
+        assert np.allclose(plain.trace, other.trace) and np.allclose(plain.centroids, other.centroids) and np.array_equal(plain.counts, other.counts)

@@ -159,13 +159,13 @@ def pass_over(points: DataFrame, centroids: np.ndarray) -> Sums:
     blocks = blocks_of(centroids)
     if len(blocks) > 1:
         placed = materialize(assign(points, centroids, keep=("x",)), "assigned")
-        each = [_folded(placed.filter((F.col("k") >= a) & (F.col("k") < b)).withColumn("k", F.col("k") - a), b - a, centroids.shape[1]) for a, b in blocks]
+        each = [folded(placed.filter((F.col("k") >= a) & (F.col("k") < b)).withColumn("k", F.col("k") - a), b - a, centroids.shape[1]) for a, b in blocks]
         release(placed)
         return Sums(*(np.concatenate([getattr(got, c) for got in each]) for c in ("counts", "sums", "objective")))
-    return _folded(points, len(centroids), centroids.shape[1], centroids)
+    return folded(points, len(centroids), centroids.shape[1], centroids)
 
 
-def _folded(points: DataFrame, n_k: int, d: int, centroids: np.ndarray | None = None) -> Sums:
+def folded(points: DataFrame, n_k: int, d: int, centroids: np.ndarray | None = None) -> Sums:
     """The sums of points (x), which are assigned on the way, or of assigned points (k, x, d2)."""
     held = points.sparkSession.sparkContext.broadcast(centroids)
     def folded(counts: np.ndarray, sums: np.ndarray, objective: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,9 @@
 """K-means whose centroid matrix is a scaled product of sparse factors.
 
 Each iteration is one distributed pass (assignment, counts, sums) and one factorisation of the K x d weighted
-means on the driver. A pass gives the executors the dense product: at a few hundred dimensions one matrix product
-per batch beats a chain of sparse ones. A finished model keeps its factors sparse, and ``transform`` can apply them so.
+means on the driver. By default a pass gives the executors the dense product: at a few hundred dimensions one matrix product
+per batch beats a chain of sparse ones. With ``by_chain`` passes apply the sparse factors one after the other, which is what
+pays where K and d are large; ``transform`` can do so with a finished model. With ``batch_size`` a pass is a job a batch.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from vecloom.operators.chain import Chain
-from vecloom.operators.dense import BLOCK, assign, matrix, pass_over
+from vecloom.operators.dense import BLOCK, Sums, assign, folded, matrix, pass_over
 from vecloom.operators.factorize import Constraint, Factorization, Step, budgets, flat_budget, hierarchical, palm, start_factors
-from vecloom.operators.lloyd import repair
+from vecloom.operators.lloyd import batch_pass, batched, repair
 from vecloom.shipping import ship
 
 
@@ -72,6 +73,11 @@ def assign_factored(points: DataFrame, chain: Chain, keep: tuple[str, ...] = ("i
     return points.select(*dict.fromkeys([*keep, "x"])).mapInArrow(run, schema)
 
 
+def chain_pass(points: DataFrame, chain: Chain) -> Sums:
+    """``pass_over`` with an assignment by the factors."""
+    return folded(assign_factored(points, chain, ("x",)), *chain.shape)
+
+
 def default_factors(k: int, d: int) -> int:
     return max(2, int(np.log2(max(k, d))))
 
@@ -89,6 +95,9 @@ def factorized_kmeans(
     hierarchical_inside: bool = False,
     empty: str = "farthest",
     seed: int = 0,
+    by_chain: bool = False,
+    batch_size: int | None = None,
+    key: str = "id",
 ) -> FactorizedKMeansModel:
     """Assign, average, factorise sqrt(n)-weighted means with a diagonal first factor, repeat.
 
@@ -111,10 +120,12 @@ def factorized_kmeans(
 
     found = factorise(u, start, 1.0, hierarchical_init or hierarchical_inside)
     model = FactorizedKMeansModel(found.scale / np.sqrt(k), found.factors[1:], np.zeros(k, np.int64), factor_traces=[found.trace])
+    batches = batched(points, key, batch_size) if batch_size else None
     n = None
     for it in range(max_iter):
         now = model.centroids
-        got = pass_over(points, now)
+        one = (lambda some, _: chain_pass(some, model.chain)) if by_chain else pass_over  # noqa: B023
+        got = batch_pass(batches, now, one) if batches else one(points, now)
         n = got.counts.sum() if n is None else n
         if n == 0:
             break

@@ -171,11 +171,11 @@ def batched(points: DataFrame, key: str, size: int) -> Batches:
     return Batches(table, size, (table.agg(F.max("batch")).first()[0] or 0) + 1)
 
 
-def batch_pass(batches: Batches, centroids: np.ndarray) -> Sums:
+def batch_pass(batches: Batches, centroids: np.ndarray, one: Callable[[DataFrame, np.ndarray], Sums] = pass_over) -> Sums:
     """One epoch: a job a batch, the sums merged between them; what ``pass_over`` finds of all points."""
     whole: Sums | None = None
     for number in range(batches.count):
-        got = pass_over(batches.batch(number), centroids)
+        got = one(batches.batch(number), centroids)
         whole = got if whole is None else Sums(whole.counts + got.counts, whole.sums + got.sums, whole.objective + got.objective)
     return whole
 

@@ -270,11 +270,11 @@ def factorized_kmeans_objective(spark, sf_dir):
 
 @query()
 def factorized_kmeans_minibatch(spark, sf_dir):
-    """The batch-wise variant: the same sums, an empty cluster takes a random member of the largest."""
+    """The batch-wise variant: a job a batch, an empty cluster takes a random member of the largest."""
     pts = points(spark, sf_dir)
     u = first_rows(pts, 16)
     u[5] = u[2]
-    return factorized_kmeans(pts, u, n_factors=3, sparsity=4, max_iter=3, palm_iter=20, empty="random", seed=3).transform(pts)
+    return factorized_kmeans(pts, u, n_factors=3, sparsity=4, max_iter=3, palm_iter=20, empty="random", seed=3, batch_size=max(200, pts.count() // 4)).transform(pts)
 
 
 @query()
@@ -413,3 +413,10 @@ def raw_matrix_parts(spark, sf_dir):
     raw.write_raw(points(spark, sf_dir).coalesce(1).sortWithinPartitions("id"), path, 64)
     rows = raw.read_raw(spark, path, 64, part_bytes=1 << 14)
     return rows.select("row", F.posexplode("x").alias("pos", "value")).select("row", "pos", rounded("value", 5))
+
+
+@query()
+def factorized_kmeans_by_chain(spark, sf_dir):
+    """Passes that apply the sparse factors one after the other."""
+    pts = points(spark, sf_dir)
+    return factorized_kmeans(pts, first_rows(pts, 16), n_factors=3, sparsity=4, max_iter=3, palm_iter=20, by_chain=True).transform(pts, factored=True).select("id", "k", F.round("d2", 6).alias("d2"))
