@@ -1,6 +1,6 @@
 """Queries of factor chains, transforms and projections.
 
-Matrices come from the tables: entry (i, j) of factor q from the embeddings' first rows, cut to few columns.
+Matrices come from the tables: factors and the matrix to factorise from lineitem, points are the embeddings.
 """
 
 from __future__ import annotations
@@ -19,18 +19,18 @@ from vecloom.plans.clustering import centroid_table, coordinates, rounded
 from vecloom.plans.registry import POINTS, gaussian, query, text
 from vecloom.sources.tables import first_rows, load, points, read_factors, write_factors
 
-N = 8
+N = 64
 
 
 def factors(spark, sf_dir: str) -> DataFrame:
-    """Three 8 x 8 factors: of rows 8q + i the first 8 values, those of magnitude under 0.05 left out."""
-    pts = points(spark, sf_dir).filter(F.col("id") < 3 * N)
-    long = pts.select("id", F.posexplode(F.slice("x", 1, N)).alias("j", "v")).filter(F.abs("v") >= 0.05)
-    return long.select(F.floor(F.col("id") / N).cast("int").alias("q"), (F.col("id") % N).cast("int").alias("i"), "j", "v")
+    """Three 64 x 64 factors from all of lineitem: sums of quantity less 25 by keys modulo 64, in hundredths; those under 0.05 left out."""
+    keys = (F.col("l_linenumber") % 3).cast("int"), (F.col("l_partkey") % N).cast("int"), ((F.floor(F.col("l_partkey") / N) + F.col("l_suppkey")) % N).cast("int")
+    rows = load(spark, sf_dir, "lineitem").groupBy(*[k.alias(n) for k, n in zip(keys, "qij")]).agg(F.sum(F.col("l_quantity") - 25).alias("v"))
+    return rows.filter(F.abs("v") >= 5).withColumn("v", F.col("v") / 100.0)
 
 
-_F = f"""{POINTS}, f AS (SELECT CAST(id // 8 AS INTEGER) AS q, CAST(id % 8 AS INTEGER) AS i, CAST(jj AS INTEGER) AS j, v
-  FROM (SELECT id, unnest(x[1:8]) AS v, unnest(range(0, 8)) AS jj FROM p WHERE id < 24) WHERE abs(v) >= 0.05),
+_F = f"""{POINTS}, f AS (SELECT * REPLACE (v / 100.0 AS v) FROM (SELECT CAST(l_linenumber % 3 AS INTEGER) AS q, CAST(l_partkey % 64 AS INTEGER) AS i, CAST((l_partkey // 64 + l_suppkey) % 64 AS INTEGER) AS j,
+  sum(l_quantity - 25) AS v FROM lineitem GROUP BY 1, 2, 3) WHERE abs(v) >= 5),
 m12 AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM f a JOIN f b ON a.j = b.i WHERE a.q = 1 AND b.q = 2 GROUP BY a.i, b.j),
 m012 AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM f a JOIN m12 b ON a.j = b.i WHERE a.q = 0 GROUP BY a.i, b.j)"""
 
@@ -46,9 +46,9 @@ def coo_product3(spark, sf_dir):
     return c.product(factors(spark, sf_dir), 3).select("i", "j", rounded("v"))
 
 
-@query(f"WITH {_F}, y AS (SELECT id, unnest(x[1:8]) AS b, unnest(range(0, 8)) AS j FROM p) SELECT y.id, m.i, round(sum(m.v * y.b), 6) + 0.0 AS v FROM m012 m JOIN y ON m.j = y.j GROUP BY y.id, m.i")
+@query(f"WITH {_F}, y AS (SELECT id, unnest(x) AS b, unnest(range(0, 64)) AS j FROM p) SELECT y.id, m.i, round(sum(m.v * y.b), 6) + 0.0 AS v FROM m012 m JOIN y ON m.j = y.j GROUP BY y.id, m.i")
 def coo_chain_apply(spark, sf_dir):
-    pts = points(spark, sf_dir).select("id", F.slice("x", 1, N).alias("x"))
+    pts = points(spark, sf_dir).select("id", "x")
     return c.apply_chain(factors(spark, sf_dir), 3, pts).select("id", "i", rounded("v"))
 
 
@@ -66,11 +66,11 @@ def coo_sub_chains(spark, sf_dir):
 
 
 @query(
-    f"WITH {_F}, y AS (SELECT id, unnest(x[1:8]) AS b, unnest(range(0, 8)) AS i FROM p), s1 AS (SELECT y.id, f.j AS i, sum(f.v * y.b) AS b FROM f JOIN y ON f.i = y.i WHERE q = 0 GROUP BY y.id, f.j), "
+    f"WITH {_F}, y AS (SELECT id, unnest(x) AS b, unnest(range(0, 64)) AS i FROM p), s1 AS (SELECT y.id, f.j AS i, sum(f.v * y.b) AS b FROM f JOIN y ON f.i = y.i WHERE q = 0 GROUP BY y.id, f.j), "
     "s2 AS (SELECT s1.id, f.j AS i, sum(f.v * s1.b) AS b FROM f JOIN s1 ON f.i = s1.i WHERE q = 1 GROUP BY s1.id, f.j) SELECT id, i, round(b, 6) + 0.0 AS v FROM s2"
 )
 def coo_adjoint_apply(spark, sf_dir):
-    pts = points(spark, sf_dir).select("id", F.slice("x", 1, N).alias("x"))
+    pts = points(spark, sf_dir).select("id", "x")
     first_two = c.leftmost(factors(spark, sf_dir), 3, 2)
     return c.apply_chain(c.transpose(first_two, 2), 2, pts).select("id", "i", rounded("v"))
 
