@@ -81,3 +81,14 @@ def test_single_value(spark):
     two = spark.createDataFrame([(1,), (2,)], "a int")
     with pytest.raises(Exception, match="several values"):
         two.agg(rp.single_value(two, "a").alias("a")).collect()
+
+
+def test_single_value(spark):
+    """The only value of each group, nulls apart; several are an error."""
+    from vecloom.operators.report import single_value
+
+    df = spark.createDataFrame([("a", 8), ("a", None), ("a", 8), ("b", None), ("c", 4)], "g string, v int")
+    assert sorted(tuple(r) for r in df.groupBy("g").agg(single_value(df, "v").alias("v")).collect()) == [("a", 8), ("b", None), ("c", 4)]
+    more = df.union(spark.createDataFrame([("c", 5)], "g string, v int"))
+    with pytest.raises(Exception, match="several values"):
+        more.groupBy("g").agg(single_value(more, "v").alias("v")).collect()
