@@ -77,6 +77,7 @@ def test_near_copies(spark, monkeypatch, block):
 def test_one_link_between_groups_that_are_nearly_linked(spark, monkeypatch, seed, block):
     """Two groups of 80 near copies, 6,399 pairs of 0.798 between them and one of 0.8006: one group."""
     monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "BLOCK_SHINGLES", 30_000 if block < 100 else 1 << 20)
     rng = random.Random(seed)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(600)]
     # of 596 shingles 13 words change 5 each, the last word one, and each copy's own first word one: 67, and 66 in one pair
@@ -132,8 +133,7 @@ def test_plans_stay_small():
         assert similar.ball_size(index.rest, index.radius) * 10**e / 2 ** (index.lead + index.rest) <= 4000
 
 
-def test_steps_leave_no_pair():
-    """What the first and the second step leave is flagged, and the third gives every pair of different labels."""
+def test_forests_leave_no_pair_unmarked():
     rng = np.random.default_rng(4)
     n = 60
     prints = np.repeat(rng.integers(0, 2**63, (1, 4), dtype=np.uint64), n, axis=0) ^ (np.uint64(1) << rng.integers(0, 64, (n, 4), dtype=np.uint64))
@@ -142,13 +142,36 @@ def test_steps_leave_no_pair():
     every = {(i, j) for i, j in combinations(range(n), 2) if bucket[i] == bucket[j] and bin(low[i] ^ low[j]).count("1") <= 1}
     pairs = lambda: similar.near_pairs(bucket, low, prints, index)
     assert {(int(i), int(j)) for a, b, _ in pairs() for i, j in zip(a, b)} == every
-    i, j, least, left = similar.first_pairs(np.arange(n), pairs())
+    i, j, left = similar.spanning_pairs(n, pairs())
     kept = set(zip(i.tolist(), j.tolist()))
     assert kept <= every and all(left[a] for a, _ in every - kept)
-    label = rng.integers(0, 5, n)
-    i, j, left = similar.nearest_pairs(n, label, pairs())
-    kept, apart = set(zip(i.tolist(), j.tolist())), {(a, b) for a, b in every if label[a] != label[b]}
-    assert kept <= apart and all(left[a] for a, _ in apart - kept)
+    # the forest joins what all pairs join, and each tree has one top
+    label = list(range(n))
+    while moved := [(a, b) for a, b in every if label[a] != label[b]]:
+        for a, b in moved:
+            label[a] = label[b] = min(label[a], label[b])
+    assert similar.tops(n, i, j).tolist() == label
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 1.0])
+def test_clusters_are_searched_exactly(similarity):
+    """Of random sets, similar ones among them, links join what brute force joins."""
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        sets = []
+        for _ in range(6):
+            base = rng.integers(0, 80, rng.integers(1, 30))
+            sets += [np.unique(np.concatenate([base[: len(base) - rng.integers(0, 3)], rng.integers(0, 80, rng.integers(0, 3))])).astype(np.uint64) for _ in range(5)]
+        sets = [x for x in sets if len(x)] + [np.zeros(0, np.uint64)]
+        node = np.arange(len(sets)) * 7
+        links = similar.joining(node, node, sets, similarity)
+        plain = [set(x.tolist()) for x in sets]
+        assert all(jaccard(plain[a // 7], plain[b // 7]) >= similarity for a, b in links) and len(links) < len(sets)
+        label = list(range(len(sets)))
+        for a, b in links:
+            x, y = label[a // 7], label[b // 7]
+            label = [min(x, y) if t in (x, y) else t for t in label]
+        assert groups_of(label) == groups_of(brute_groups(plain, similarity))
 
 
 def test_odd_rows(odd_docs, no_docs):

@@ -8,11 +8,12 @@ width and the ball's radius follow from the number of prints, so that a pair at
 probability ``recall`` or more at every size, closer pairs more surely, and neither buckets nor copies of a row grow
 with the table. A recall of 1 compares all with all, which is exact and for small tables.
 
-No link is lost among the pairs that are found, and no group makes all its pairs. First come that of each row with its
-least neighbour, few different pairs over all buckets, as a group's least rows are the same in many, and minimum
-spanning forests of each bucket by distance. What they leave is searched again, as often as something is left: pairs of rows
-in components that are still apart, the NEAREST of each row, then all. Only texts that are near each other and not joined
-are compared so, each pair once. Buckets of more than a block are compared block against block, each such pair of blocks in a
+No link is lost among the pairs that are found, and no group makes all its pairs. Each bucket gives a minimum spanning
+forest of its pairs by distance. A forest joins all that any pairs join, so every pair that it leaves is within a
+component of the pairs that it gives (a cluster). Clusters that were left pairs and hold texts still apart are searched
+exactly: the shingle sets of a cluster come together, in blocks against blocks, what can't be similar by its size or its
+rarest shingles is passed over, the rest is counted, and only links that join something leave the task.
+Buckets of more than a block are compared block against block, each such pair of blocks in a
 group of its own, so that no task holds a bucket of unknown size.
 """
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.durable import broadcast_if_small, materialize, release
+from vecloom.durable import broadcast_if_small, materialize
 from vecloom.llm.common import map_batches, typed, utf8
 from vecloom.llm.components import connected_components
 from vecloom.llm.simhash import MAX_BROADCAST_ROWS, shingle_hashes
@@ -43,12 +44,14 @@ BUCKET, BLOCK = 1 << 16, 4096
 REST, RADII = range(4, 13), (1, 2, 3)
 #: What a plan weighs, in the time of one comparison: a row's copy in another segment's table, a lookup.
 COPY, LOOKUP = 2000.0, 1.0
-#: Spanning forests of a bucket whose pairs are verified first, and pairs of a row that are verified next.
-FORESTS, NEAREST = 3, 16
+#: Segments of a plan at least: up to some 300,000 prints all tables have as many, so that work grows with the rows.
+SEGMENTS = 8
+#: Shingles of a block in the search of a cluster.
+BLOCK_SHINGLES = 1 << 19
 #: Pairs whose distances are in memory at a time.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 #: Rows after which the complete buckets among them are compared.
-ROWS = 1 << 15
+ROWS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -96,7 +99,7 @@ def plan(n: int, similarity: float, recall: float) -> Plan:
         for rest in REST:
             for radius in RADII:
                 hit = (1 - p) ** lead * sum(math.comb(rest, r) * p**r * (1 - p) ** (rest - r) for r in range(radius + 1))
-                segments = max(2, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
+                segments = max(SEGMENTS, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
                 ball = ball_size(rest, radius)
                 cost = segments * (COPY + ball * (LOOKUP + n / 2.0 ** (lead + rest)))
                 if n / 2.0**lead <= BUCKET or lead == 20:
@@ -160,16 +163,6 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def forests(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Places of the edges of FORESTS spanning forests, each of what the ones before it leave."""
-    left, out = np.arange(len(a)), []
-    for _ in range(FORESTS):
-        some = left[forest(n, a[left], b[left], d[left])]
-        out.append(some)
-        left = np.setdiff1d(left, some, assume_unique=True)
-    return np.concatenate(out)
-
-
 def _balls(rest: int, radius: int) -> list[int]:
     """Masks of the Hamming ball of the radius in ``rest`` bits."""
     return [sum(1 << i for i in some) for r in range(radius + 1) for some in combinations(range(rest), r)]
@@ -205,53 +198,85 @@ def near_pairs(bucket: np.ndarray, low: np.ndarray, prints: np.ndarray, index: P
             at = to
 
 
-def first_pairs(node: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (i, j) of spanning forests of all pairs, each row's least neighbouring node or itself, and rows with pairs that are in neither."""
-    n = len(node)
+def spanning_pairs(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (i, j) of a minimum spanning forest of all pairs of n rows, and rows with pairs that are not in it."""
     found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    least, left = node.copy(), np.zeros(n, bool)
+    left = np.zeros(n, bool)
 
     def pruned(both: list[np.ndarray]) -> tuple:
-        some = forests(n, *both)
         out = np.ones(len(both[0]), bool)
-        out[some] = False
+        out[forest(n, *both)] = False
         left[both[0][out]] = True
-        return tuple(x[some] for x in both)
+        return tuple(x[~out] for x in both)
 
-    for i, j, d in pairs:
-        np.minimum.at(least, i, node[j])
-        np.minimum.at(least, j, node[i])
-        found = [np.concatenate([x, y]) for x, y in zip(found, (i, j, d))]
-        if len(found[0]) > n * (FORESTS + 1):
+    for some in pairs:
+        found = [np.concatenate([x, y]) for x, y in zip(found, some)]
+        if len(found[0]) > 2 * n:
             found = pruned(found)
     found = pruned(list(found))
-    return found[0], found[1], least, left
+    return found[0], found[1], left
 
 
-def nearest_pairs(n: int, label: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (i, j) of different labels where one is of the NEAREST of the other, and rows with pairs that are not."""
-    found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    left = np.zeros(n, bool)
+def tops(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n rows the least row that a forest's edges (i, j) join it to."""
+    up = np.arange(n)
+    while True:
+        low = np.minimum(up[i], up[j])
+        if (low == up[i]).all() and (low == up[j]).all():
+            return up
+        np.minimum.at(up, i, low)
+        np.minimum.at(up, j, low)
+        up = up[up]
 
-    def pruned(both: list[np.ndarray]) -> tuple:
-        i, j, d = both
-        m = len(i)
-        end, other, gap, edge = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d]), np.tile(np.arange(m), 2)
-        order = np.lexsort((other, gap, end))
-        ends = end[order]
-        rank = np.arange(2 * m) - np.searchsorted(ends, ends)
-        keep = np.zeros(m, bool)
-        keep[edge[order[rank < NEAREST]]] = True
-        left[i[~keep]] = True
-        return tuple(x[keep] for x in both)
-
-    for i, j, d in pairs:
-        apart = label[i] != label[j]
-        found = [np.concatenate([x, y[apart]]) for x, y in zip(found, (i, j, d))]
-        if len(found[0]) > 2 * NEAREST * n:
-            found = pruned(list(found))
-    found = pruned(list(found))
-    return found[0], found[1], left
+
+def overlapping(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, j, whether similar) for each set i and the earlier sets j that share one of the rarest elements of both and may be similar by size.
+
+    Sets of the similarity share so many elements that those beyond ``size * (1 - similarity)`` of the rarest can't be all.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(sizes)
+    whole, ids, shown = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    parts = [ids[e - n : e] for e, n in zip(ends, sizes)]
+    held: dict[int, list[int]] = {}
+    mark = np.zeros(len(whole), bool)
+    for i, part in enumerate(parts):
+        n = len(part)
+        rare = part[np.lexsort((part, shown[part]))][: n - math.ceil(similarity * n - 1e-9) + 1]
+        rare = rare[shown[rare] > 1].tolist()
+        met = np.unique(np.fromiter((j for r in rare for j in held.get(r, ())), np.int64))
+        met = met[np.minimum(sizes[met], n) >= similarity * np.maximum(sizes[met], n) - 1e-9]
+        for r in rare:
+            held.setdefault(r, []).append(i)
+        for at in range(0, len(met), 1024):
+            some = met[at : at + 1024]
+            mark[part] = True
+            flat = np.concatenate([parts[j] for j in some])
+            common = np.add.reduceat(mark[flat].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[some])[:-1]]))
+            mark[part] = False
+            yield i, some, common >= similarity * (n + sizes[some] - common)
+
+
+def joining(node: np.ndarray, label: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of nodes, similar, that join all labels which similar sets join: fewer than there are labels."""
+    _, at = np.unique(label, return_inverse=True)
+    up = list(range(int(at.max()) + 1))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    there = np.flatnonzero([len(x) for x in sets])  # texts without words are one node
+    for i, met, similar in overlapping([sets[k] for k in there], similarity) if len(there) > 1 else ():
+        for j in met[similar].tolist():
+            x, y = top(at[there[i]]), top(at[there[j]])
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((int(node[there[i]]), int(node[there[j]])))
+    return out
 
 
 def index_rows(prints: DataFrame, n: int, index: Plan) -> DataFrame:
@@ -283,40 +308,17 @@ def index_rows(prints: DataFrame, n: int, index: Plan) -> DataFrame:
     return grouped.select(F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(pair).alias("bucket"), "node", "low", *checks)
 
 
-def compared(rows: DataFrame, parts: int, index: Plan, step: str) -> DataFrame:
-    """(a, b, first, bucket): pairs of nodes, a < b; and with b null the buckets that have pairs which this step leaves.
-
-    Steps: "first" (spanning forests, and each node with its least neighbour, which is ``first``), "nearest" and "all" of
-    pairs with different labels in the column ``label``.
-    """
-    columns = [c for c in rows.columns if c != "label"]
-    rows = rows.select(*columns, "label") if "label" in rows.columns else rows.select(*columns, F.lit(0).cast("long").alias("label"))
+def compared(rows: DataFrame, parts: int, index: Plan) -> DataFrame:
+    """(a, b): pairs of nodes, a < b, of spanning forests; with b null, a node of each tree whose rows have more pairs."""
     rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
-    def batch_of(a: np.ndarray, b: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
-        real = a < b
-        return pa.RecordBatch.from_arrays([pa.array(a[real]), pa.array(b[real]), pa.array(first[real]), pa.nulls(int(real.sum()), pa.int64())], names=["a", "b", "first", "bucket"])
-
-    def pairs(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        bucket, node, low, *checks, label = held
-        some = near_pairs(bucket, low.astype(np.int64), np.stack(checks, axis=1).view(np.uint64), index)
-        left = np.zeros(len(node), bool)
-        if step == "first":
-            i, j, least, left = first_pairs(node, some)
-            a, b = np.concatenate([least, np.minimum(node[i], node[j])]), np.concatenate([node, np.maximum(node[i], node[j])])
-            yield batch_of(a, b, np.arange(len(a)) < len(node))
-        elif step == "nearest":
-            i, j, left = nearest_pairs(len(node), label, some)
-            yield batch_of(np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.zeros(len(i), bool))
-        else:
-            for i, j, _ in some:
-                apart = label[i] != label[j]
-                i, j = i[apart], j[apart]
-                yield batch_of(np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.zeros(len(i), bool))
-        if left.any():
-            names = np.unique(bucket[left])
-            none = pa.nulls(len(names), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(names), pa.bool_()), pa.array(names)], names=["a", "b", "first", "bucket"])
+    def pairs(held: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, node, low, *checks = held
+        i, j, left = spanning_pairs(len(node), near_pairs(bucket, low.astype(np.int64), np.stack(checks, axis=1).view(np.uint64), index))
+        more = np.unique(node[tops(len(node), i, j)[left]])
+        a = np.concatenate([np.minimum(node[i], node[j]), more])
+        b = pa.concat_arrays([pa.array(np.maximum(node[i], node[j])), pa.nulls(len(more), pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.array(a), b], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -326,43 +328,64 @@ def compared(rows: DataFrame, parts: int, index: Plan, step: str) -> DataFrame:
             # all but the last bucket, which may go on in the next batch
             cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) >= ROWS else 0
             if cut:
-                yield from pairs([x[:cut] for x in held])
+                yield pairs([x[:cut] for x in held])
                 held = [x[cut:] for x in held]
         if held is not None and len(held[0]):
-            yield from pairs(held)
+            yield pairs(held)
 
-    return rows.mapInArrow(run, "a long, b long, first boolean, bucket long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def linked(classes: DataFrame, n: int, index: Plan, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """(node, root): components of the links among n nodes (node, print, doc_id, text_key); nodes without links have no row."""
     table = index_rows(classes, n, index)
     parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * index.segments / 4_000_000))
-    found = materialize(compared(table, parts, index, "first"), "candidates")
-    pairs = materialize(found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.bool_or("first").alias("first")), "pairs")
+    found = materialize(compared(table, parts, index), "candidates")
+    pairs = materialize(found.filter("b IS NOT NULL").distinct(), "pairs")
     sets = shingle_sets(rows, classes, pairs, shingle)
-    members = connected_components(verified(pairs.filter("first"), sets, similarity))
-    members = _joined(members, verified(between(pairs.filter("NOT first"), members), sets, similarity))
-    release(sets)
-    known = pairs.select("a", "b")
-    for step in ("nearest", "all"):
-        left = materialize(found.filter("b IS NULL").select("bucket").distinct(), "left")
-        release(found)
-        if left.isEmpty():
-            break
-        some = table.join(broadcast_if_small(left, MAX_BROADCAST_ROWS), "bucket", "left_semi")
-        some = some.join(members.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        # a bucket whose rows are all in one component has no pair to look at
-        apart = materialize(some.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket"), "apart")
-        some = some.join(broadcast_if_small(apart, MAX_BROADCAST_ROWS), "bucket", "left_semi")
-        checks = [c for c in table.columns if c.startswith("check")]
-        found = materialize(compared(some.select("bucket", "node", "low", *checks, "label"), parts, index, step), "candidates")
-        new = materialize(found.filter("b IS NOT NULL").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "pairs")
-        sets = shingle_sets(rows, classes, new, shingle)
-        members = _joined(members, verified(new, sets, similarity))
-        release(sets)
-        known = known.unionByName(new)
-    return members
+    members = connected_components(verified(pairs, sets, similarity))
+    more = found.filter("b IS NULL").select(F.col("a").alias("node")).distinct().withColumn("more", F.lit(True))
+    return _joined(members, cluster_links(pairs, members, more, sets, similarity))
+
+
+def cluster_links(pairs: DataFrame, members: DataFrame, more: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join members of a cluster that are still apart, of clusters with a node of ``more``.
+
+    Clusters are components of ``pairs``. Blocks are of about BLOCK_SHINGLES shingles; a cluster of many is every pair of its blocks.
+    """
+    clusters = connected_components(pairs.select("a", "b")).withColumnRenamed("root", "cluster")
+    known = clusters.join(members.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = known.join(more, "node", "left").join(sets.select("node", F.size("hashes").alias("size")), "node")
+    known = materialize(known, "clustered")
+    opened = known.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.bool_or("more").alias("more"), F.sum("size").alias("shingles"))
+    opened = materialize(opened.filter("more AND x <> y").select("cluster", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks")), "open-clusters")
+    rows = known.select("node", "cluster", "label").join(broadcast_if_small(opened, MAX_BROADCAST_ROWS), "cluster").join(sets, "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "label", "hashes")
+    ship(pairs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, labels, held = None, [], [], []
+
+        def links() -> pa.RecordBatch:
+            found = joining(np.array(nodes), np.array(labels), held, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("cluster", "low", "high")))
+            for at, (now, node, label) in enumerate(zip(keys, batch.column("node").to_pylist(), batch.column("label").to_pylist())):
+                if now != key:
+                    if len(nodes) > 1:
+                        yield links()
+                    key, nodes, labels, held = now, [], [], []
+                nodes.append(node)
+                labels.append(label)
+                held.append(batch.column("hashes")[at].values.to_numpy(zero_copy_only=False).view(np.uint64))
+        if len(nodes) > 1:
+            yield links()
+
+    dealt = rows.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
+    return materialize(dealt.mapInArrow(run, "a long, b long"), "cluster-links")
 
 
 def _joined(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -400,14 +423,6 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return prints.select("doc_id", "text_key", "node").join(grouped, "node").select("doc_id", "text_key", "component_id", "group_key")
 
 
-def between(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs whose nodes are in different components of (node, root); a node without a row is one by itself."""
-    for end in ("a", "b"):
-        labels = members.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        pairs = pairs.join(labels, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    return pairs.filter("root_a <> root_b").select("a", "b")
-
-
 def shingle_sets(rows: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """(node, hashes) of the nodes in pairs, made from one text of each class."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
