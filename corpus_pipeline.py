@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.durable import materialize
+from vecloom.durable import materialize, release
 from vecloom.llm import langid, mixing, pieces, pii, simhash, similar
 
 
@@ -68,5 +68,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        kept = materialize(stage(spark, docs, sf_dir), name)
+        release(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
