@@ -19,8 +19,10 @@ from vecloom.durable import materialize, release
 from vecloom.functions.vectors import dot, sq_dist
 from vecloom.shipping import ship
 
-#: Rows of a distance block: bounds Python memory to rows x K doubles.
+#: Rows that are embedded or compared at a time.
 BLOCK = 4096
+#: Scores and differences that a search holds at a time, and the rows of u that meet in a tile of them: its memory does not grow with either side.
+SCORES, TILE = 2_000_000, 2048
 #: Centroid values that a task holds at most (64 MB of doubles); more are compared block by block.
 MAX_CENTROID_VALUES = 8_000_000
 #: Centroid values that stand as literals in a plan at most.
@@ -38,22 +40,39 @@ def matrix(column: pa.Array) -> np.ndarray:
 def nearest(x: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the nearest row of u for each row of x (the lowest of ties), and the squared distance.
 
-    The matrix form |u|^2 - 2xu finds candidates; where more than one is within rounding, and for the
-    distance itself, differences are squared.
+    The matrix form |u|^2 - 2xu finds candidates, in tiles of both sides; all that are within rounding of a tile's best, and
+    may be nearer than the best so far, are compared by squared differences.
     """
-    k, d2 = np.empty(len(x), np.int64), np.empty(len(x))
-    norms = (u * u).sum(axis=1)
-    for at in range(0, len(x), BLOCK):
-        part = x[at : at + BLOCK]
-        score = norms - 2 * (part @ u.T)
-        best = score.min(axis=1, keepdims=True)
-        close = score <= best + 1e-9 * (1 + np.abs(best) + norms.max(initial=0))
-        own = close.argmax(axis=1)
-        for i in np.flatnonzero(close.sum(axis=1) > 1):
-            some = np.flatnonzero(close[i])
-            own[i] = some[((part[i] - u[some]) ** 2).sum(axis=1).argmin()]
-        k[at : at + BLOCK] = own
-        d2[at : at + BLOCK] = ((part - u[own]) ** 2).sum(axis=1)
+    k, d2 = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+    norms, own_norms = np.einsum("ij,ij->i", u, u), np.einsum("ij,ij->i", x, x)
+    largest = norms.max(initial=0)
+    at_once = max(1, SCORES // max(1, u.shape[1]))
+    for at in range(0, len(u), TILE):
+        some = u[at : at + TILE]
+        scaled = some * -2.0
+        step = max(1, min(BLOCK, SCORES // max(some.shape)))
+        for b in range(0, len(x), step):
+            part = x[b : b + step]
+            score = part @ scaled.T
+            score += norms[at : at + TILE]
+            best = score.min(axis=1)
+            limit = best + 1e-9 * (1 + np.abs(best) + largest)
+            rows = np.flatnonzero(best + own_norms[b : b + step] <= d2[b : b + step] + 1e-9 * (1 + own_norms[b : b + step] + largest))
+            i, j = np.nonzero((score if len(rows) == len(part) else score[rows]) <= limit[rows, None])
+            i = rows[i]
+            for c in range(0, len(i), at_once):
+                own, name = i[c : c + at_once], j[c : c + at_once]
+                exact = ((part[own] - some[name]) ** 2).sum(axis=1)
+                if len(i) > len(rows):
+                    order = np.lexsort((name, exact, own))
+                    order = order[np.flatnonzero(np.diff(own[order], prepend=-1))]
+                    own, name, exact = own[order], name[order], exact[order]
+                nearer = exact < d2[b + own]
+                own = b + own[nearer]
+                k[own], d2[own] = at + name[nearer], exact[nearer]
+    lost = np.isinf(d2)
+    if lost.any():  # no comparison holds for what is not a number
+        d2[lost] = ((x[lost] - u[0]) ** 2).sum(axis=1)
     return k, d2
 
 
