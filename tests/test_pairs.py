@@ -6,7 +6,7 @@ import tracemalloc
 
 import numpy as np
 
-from vecloom.operators import dense
+from vecloom.operators import dense, kernels
 
 
 def peak_mb(run) -> float:
@@ -33,3 +33,30 @@ def test_ties_across_tiles(monkeypatch):
     d2 = ((x[:, None] - u[None]) ** 2).sum(axis=2)
     k, near = dense.nearest(x, u)
     assert np.array_equal(k, d2.argmin(axis=1)) and np.array_equal(near, d2.min(axis=1))
+
+
+def points_of(spark, x, parts=3):
+    return spark.createDataFrame([(i, [float(v) for v in row], i % 3) for i, row in enumerate(x)], "id long, x array<double>, label int").repartition(parts)
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kernel_of_all_pairs_shuffles_no_points(spark):
+    """The points were copied once a block before they were shuffled."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 3)).astype(np.float32)
+    plan = plan_of(kernels.kernel_errors(points_of(spark, x), kernels.Nystrom(x[:4].astype(float), 0.5), rows=20))
+    assert "Generate" not in plan and "FlatMapGroups" not in plan and plan.count("CartesianProduct") == 1
+
+
+def test_kernel_of_several_models(spark):
+    """Models of two gammas, single and double floats, copies of a point."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(70, 3)), np.ones((9, 3))])
+    models = {"a": kernels.Nystrom(x[:4], 0.5), "b": kernels.Nystrom(x[4:9], 0.5), "c": kernels.Nystrom(x[:1], 0.1)}
+    got = kernels.kernel_error_of(points_of(spark, x), models, rows=17)
+    for name, model in models.items():
+        k, z = np.exp(-model.gamma * ((x[:, None] - x[None]) ** 2).sum(axis=2)), model.embed(x)
+        assert np.isclose(got[name], np.linalg.norm(z @ z.T - k) / np.linalg.norm(k), rtol=1e-9)

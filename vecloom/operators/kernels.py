@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.functions.vectors import sq_dist, sq_norm
+from vecloom.operators.blocks import packed, pairs, vectors
 from vecloom.operators.chain import hadamard_sign
 from vecloom.operators.dense import BLOCK, matrix, small
 from vecloom.operators.lloyd import first_by_hash
@@ -22,8 +23,8 @@ from vecloom.operators.positions import with_position
 from vecloom.shipping import ship
 
 
-#: Kernel values of two blocks that are in memory at a time.
-CELLS = 4_000_000
+#: Kernel values of two blocks that are in memory at a time: what a core's cache holds.
+CELLS = 65_536
 
 
 def rbf(d2: Column, gamma: float) -> Column:
@@ -96,41 +97,69 @@ def reconstruction_error(points: DataFrame, model: Nystrom, sample: int = 2000,
     return float(np.linalg.norm(z @ z.T - exact) / np.linalg.norm(exact))
 
 
-def kernel_errors(points: DataFrame, model: Nystrom, rows: int = 2048) -> DataFrame:
-    """One row (gap, exact): squared Frobenius norms of ZZ' - K and of K over all pairs of points, exactly.
+def kernel_errors_of(points: DataFrame, models: dict[str, Nystrom], rows: int = 2048) -> DataFrame:
+    """(name, gap, exact) of each model: squared Frobenius norms of ZZ' - K and of K over all pairs of points, exactly.
 
-    Points are dealt to blocks of about ``rows``; each pair of blocks, of which the kernel's symmetry leaves a triangle, is one
-    task, which embeds both, compares them and returns two numbers. No pair of points becomes a row.
+    Points are packed into blocks of at most ``rows``, written once; each pair of blocks, of which the kernel's symmetry leaves
+    a triangle, is embedded and compared where it meets. Models of one gamma share the kernel. A task returns one row a model: no
+    pair of points becomes a row, and no point is shuffled.
     """
-    ship(points.sparkSession)
-    n = max(1, -(-points.count() // rows))
-    held, step = points.sparkSession.sparkContext.broadcast(model), max(1, CELLS // rows)
-    dealt = points.select("id", "x").withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = dealt.select("id", "x", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own")
-
-    def run(table: pa.Table) -> pa.Table:
-        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
-        own = table.column("own").to_numpy()
-        x, y = (matrix(table.filter(pa.array(own == side)).column("x")) if (own == side).any() else None for side in (a, b))
-        gap = exact = 0.0
-        if x is not None and y is not None:
-            z, w = held.value.embed(x), held.value.embed(y)
-            for at in range(0, len(x), step):
-                k = rbf_matrix(x[at : at + step], y, model_gamma)
-                if a == b:
-                    k[np.arange(len(k)), np.arange(at, at + len(k))] = 1.0
-                gap, exact = gap + float(((z[at : at + step] @ w.T - k) ** 2).sum()), exact + float((k * k).sum())
-        twice = 1.0 if a == b else 2.0
-        return pa.table({"gap": [twice * gap], "exact": [twice * exact]})
-
-    model_gamma = model.gamma
-    return dealt.groupBy("a", "b").applyInArrow(run, "gap double, exact double").agg(F.sum("gap").alias("gap"), F.sum("exact").alias("exact"))
+    held = points.sparkSession.sparkContext.broadcast(models)
+    gammas, cells = sorted({m.gamma for m in models.values()}), CELLS
+    blocks = packed(points, rows, tag="kernel-blocks")
+
+    def augmented(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two matrices whose product, of two blocks, is minus the squared distances."""
+        n, one = np.einsum("ij,ij->i", x, x)[:, None], np.ones((len(x), 1))
+        return np.hstack([2 * x, -n, -one]), np.hstack([x, one, n])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gap, exact = dict.fromkeys(held.value, 0.0), dict.fromkeys(gammas, 0.0)
+        last, some = None, False
+        for batch in batches:
+            for r in range(batch.num_rows):
+                a, b = batch.column("a_block")[r].as_py(), batch.column("b_block")[r].as_py()
+                if a != last:
+                    x, last = vectors(batch, r, "a_"), a
+                    left, z = augmented(x)[0], {name: m.embed(x) for name, m in held.value.items()}
+                y = vectors(batch, r, "b_")
+                right, w = augmented(y)[1].T, {name: m.embed(y).T for name, m in held.value.items()}
+                step, times, some = max(1, cells // len(y)), 1.0 if a == b else 2.0, True
+                for at in range(0, len(x), step):
+                    d2 = np.minimum(left[at : at + step] @ right, 0)
+                    for gamma in gammas:
+                        k = np.exp(d2 * gamma)
+                        if a == b:
+                            k[np.arange(len(k)), np.arange(at, at + len(k))] = 1.0
+                        exact[gamma] += times * float(np.vdot(k, k))
+                        for name, m in held.value.items():
+                            if m.gamma == gamma:
+                                e = z[name][at : at + step] @ w[name]
+                                e -= k
+                                gap[name] += times * float(np.vdot(e, e))
+        if some:
+            names = list(held.value)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([gap[n] for n in names]), pa.array([exact[held.value[n].gamma] for n in names])], names=["name", "gap", "exact"])
+
+    met = pairs(blocks, blocks, F.col("a_block") <= F.col("b_block"))
+    found = met.mapInArrow(run, "name string, gap double, exact double")
+    return found.groupBy("name").agg(F.sum("gap").alias("gap"), F.sum("exact").alias("exact"))
+
+
+def kernel_errors(points: DataFrame, model: Nystrom, rows: int = 2048) -> DataFrame:
+    """One row (gap, exact) of one model, null without points."""
+    return kernel_errors_of(points, {"": model}, rows).agg(F.sum("gap").alias("gap"), F.sum("exact").alias("exact"))
+
+
+def kernel_error_of(points: DataFrame, models: dict[str, Nystrom], rows: int = 2048) -> dict[str, float]:
+    """|ZZ' - K| / |K| in Frobenius norm over all points, of each model."""
+    found = {r["name"]: r for r in kernel_errors_of(points, models, rows).collect()}  # one row a model
+    return {name: float(np.sqrt(found[name]["gap"] / found[name]["exact"])) if name in found and found[name]["exact"] else 0.0 for name in models}
 
 
 def kernel_error(points: DataFrame, model: Nystrom, rows: int = 2048) -> float:
     """|ZZ' - K| / |K| in Frobenius norm over all points."""
-    found = kernel_errors(points, model, rows).first()
-    return float(np.sqrt(found["gap"] / found["exact"])) if found["exact"] else 0.0
+    return kernel_error_of(points, {"": model}, rows)[""]
 
 
 def structured(seeds: np.ndarray, n: int | None = None) -> np.ndarray:
