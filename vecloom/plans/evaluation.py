@@ -86,7 +86,7 @@ def nystrom_errors_exact(spark, sf_dir):
     pts = points(spark, sf_dir)
     model = lloyd.kmeans(pts, first_rows(pts, 16), max_iter=3)
     families = kn.landmark_families(pts, 16, model.centroids, seed=2)
-    rows = [(name, kn.kernel_error(pts, kn.Nystrom(u, GAMMA))) for name, u in families.items()]
+    rows = list(kn.kernel_error_of(pts, {name: kn.Nystrom(u, GAMMA) for name, u in families.items()}).items())
     return spark.createDataFrame(rows, "family string, error double").select("family", rounded("error", 4))
 
 
