@@ -5,8 +5,10 @@ from __future__ import annotations
 import tracemalloc
 
 import numpy as np
+import pytest
 
 from vecloom.operators import dense, kernels
+from vecloom.operators import evaluate as ev
 
 
 def peak_mb(run) -> float:
@@ -60,3 +62,22 @@ def test_kernel_of_several_models(spark):
     for name, model in models.items():
         k, z = np.exp(-model.gamma * ((x[:, None] - x[None]) ** 2).sum(axis=2)), model.embed(x)
         assert np.isclose(got[name], np.linalg.norm(z @ z.T - k) / np.linalg.norm(k), rtol=1e-9)
+
+
+def sides_of(spark, n=120, d=4, seed=4):
+    """Also with copies of a point, of which the lowest id counts."""
+    x = np.random.default_rng(seed).normal(size=(n, d))
+    x[60:80] = x[50]
+    pts = points_of(spark, x)
+    d2 = ((x[:40, None] - x[None, 40:]) ** 2).sum(axis=2)
+    return pts.filter("id >= 40"), pts.filter("id < 40").select("id", "x"), x, (d2.argmin(axis=1) + 40).tolist()
+
+
+@pytest.mark.parametrize("shape", ["ball", "box"])
+def test_other_cells_are_searched_without_copies_of_points(spark, shape):
+    """Test points were copied once a cell that they reach, and both sides once a block of the other."""
+    train, test, x, want = sides_of(spark)
+    found = ev.one_nn_in_cells(train, test, x[40:46], shape, rows=9)
+    plan = plan_of(found)
+    assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan and "Generate" not in plan
+    assert [r["train_id"] for r in sorted(found.collect())] == want

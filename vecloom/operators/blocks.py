@@ -25,8 +25,11 @@ BLOCK_VALUES = 131_072
 SCHEMA = "n int, d int, single boolean, x binary"
 
 
-def packed(points: DataFrame, rows: int, keep: tuple[str, ...] = (), tag: str = "blocks") -> DataFrame:
-    """Blocks of at most ``rows`` points (x and numbers ``keep``, which become bytes of longs or doubles), numbered by ``block``."""
+def packed(points: DataFrame, rows: int, keep: tuple[str, ...] = (), order: tuple[str, ...] = (), tag: str = "blocks") -> DataFrame:
+    """Blocks of at most ``rows`` points (x and numbers ``keep``, which become bytes of longs or doubles), numbered by ``block``.
+
+    The points of an Arrow batch stand by ``order`` of the numbers kept.
+    """
     ship(points.sparkSession)
     kinds = {name: np.float64 if kind in ("double", "float") else np.int64 for name, kind in points.select(*keep).dtypes}
 
@@ -34,6 +37,8 @@ def packed(points: DataFrame, rows: int, keep: tuple[str, ...] = (), tag: str =
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if order:
+                batch = batch.sort_by([(c, "ascending") for c in order])
             whole = matrix(batch.column("x"))
             step = max(1, min(rows, BLOCK_VALUES // max(1, whole.shape[1])))
             for at in range(0, batch.num_rows, step):

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecloom.durable import materialize
+from vecloom.operators.blocks import numbers, packed, pairs, vectors
 from vecloom.operators.dense import MAX_CENTROID_VALUES, assign, matrix, nearest
 from vecloom.shipping import ship
 
@@ -157,23 +158,74 @@ def one_nn_in_cells(train: DataFrame, test: DataFrame, centroids: np.ndarray, sh
         return nearest_in_group(placed, test.withColumn("k", F.lit(0)), "k", rows)
     asked = materialize(assign(test, centroids[used], keys=used.tolist(), keep=("id", "x")).drop("d2"), "asked")
     first = materialize(nearest_in_group(placed, asked, "k", rows), "first-neighbours")
-    held = train.sparkSession.sparkContext.broadcast((centroids[used], used, *(b[used] for b in bounds)))
+    bounded = asked.join(first.select("id", F.col("d2").alias("best")), "id", "left").select("id", "x", F.col("k").alias("own"), F.coalesce("best", F.lit(float("inf"))).alias("best"))
+    balls = (centroids, bounds[0]) if shape == "ball" else None
+    return best_of(first.unionByName(search_within(bounded, placed.withColumnRenamed("k", "node"), rows, balls).drop("compared")))
+
+
+#: Points of a block at most where blocks of both sides meet.
+MEETING_ROWS = 1024
+
+
+def _gap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The squared distance of points to the box of y."""
+    outside = np.maximum(np.maximum(y.min(axis=0) - x, x - y.max(axis=0)), 0)
+    return np.einsum("ij,ij->i", outside, outside)
+
+
+def search_within(asked: DataFrame, train: DataFrame, rows: int | None = None, balls: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(id, train_id, label, d2, compared): for points (id, x, own, best) what is nearest in the nodes but their own that come within ``best``.
+
+    Blocks of both sides meet by a cartesian product. A task passes over the blocks, and the nodes in a block, whose box, or ball
+    of (centers, radii) by node, is farther from a point than the best so far, which falls as it goes; it keeps one row a
+    point. Neither the points nor their pairs are shuffled.
+    """
+    size = min(rows or MEETING_ROWS, MEETING_ROWS)
+    left = packed(asked, size, ("id", "own", "best"), ("own",), "asked-blocks")
+    right = packed(train, size, ("id", "label", "node"), ("node", "id"), "train-blocks")
+    held = train.sparkSession.sparkContext.broadcast(balls)
+    reaches = lambda gap, best: gap <= best * (1 + 1e-9) + 1e-12
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+
+        def found() -> pa.RecordBatch:
+            some = compared > 0
+            columns = [pa.array(v[some]) for v in (ids, own_best, labels.astype(np.int32), d2, compared)]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "train_id", "label", "d2", "compared"])
 
-    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, names, low, high = held.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                x, best, own = matrix(part.column("x")), part.column("best").to_numpy(), part.column("k").to_numpy()
-                if shape == "ball":
-                    gap = np.maximum(np.sqrt(((x[:, None] - u[None]) ** 2).sum(axis=2)) - low.T, 0) ** 2
-                else:
-                    gap = (np.maximum(np.maximum(low[None] - x[:, None], x[:, None] - high[None]), 0) ** 2).sum(axis=2)
-                i, c = np.nonzero((gap <= best[:, None] * (1 + 1e-9) + 1e-12) & (names[None] != own[:, None]))
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(i)), part.column("x").take(pa.array(i)), pa.array(names[c].astype(np.int32))], names=["id", "x", "k"])
-
-    again = asked.join(first.select("id", F.col("d2").alias("best")), "id").select("id", "x", "k", "best").mapInArrow(reached, "id long, x array<double>, k int")
-    return best_of(first.unionByName(nearest_in_group(placed, again, "k", rows)))
+            for r in range(batch.num_rows):
+                if batch.column("a_block")[r].as_py() != last:
+                    if last is not None:
+                        yield found()
+                    last, x = batch.column("a_block")[r].as_py(), vectors(batch, r, "a_")
+                    ids, own, best = numbers(batch, r, "a_id"), numbers(batch, r, "a_own"), numbers(batch, r, "a_best", np.float64).copy()
+                    own_best, labels, compared, d2 = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+                    if held.value is not None:
+                        centers, radii = held.value
+                        to_balls = np.stack([np.maximum(np.sqrt(((x - u) ** 2).sum(axis=1)) - radius, 0) ** 2 for u, radius in zip(centers, radii.ravel())], axis=1)
+                y = vectors(batch, r, "b_")
+                near = np.flatnonzero(reaches(_gap(x, y), best))
+                if not len(near):
+                    continue
+                known, label, node = numbers(batch, r, "b_id"), numbers(batch, r, "b_label"), numbers(batch, r, "b_node")
+                starts = np.flatnonzero(np.diff(node, prepend=node[0] - 1))
+                for s, e in zip(starts, [*starts[1:], len(node)]):
+                    at = near[own[near] != node[s]]
+                    at = at[reaches(to_balls[at, node[s]] if held.value is not None else _gap(x[at], y[s:e]), best[at])]
+                    if not len(at):
+                        continue
+                    k, got = nearest(x[at], y[s:e])
+                    compared[at] += e - s
+                    better = (got < d2[at]) | ((got == d2[at]) & (known[s:e][k] < own_best[at]))
+                    at, k = at[better], k[better] + s
+                    d2[at], own_best[at], labels[at] = got[better], known[k], label[k]
+                    best[at] = np.minimum(best[at], d2[at])
+        if last is not None:
+            yield found()
+
+    return pairs(left, right).mapInArrow(run, "id long, train_id long, label int, d2 double, compared long")
 
 
 def accuracy(predicted: Column, actual: Column) -> Column:
