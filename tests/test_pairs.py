@@ -7,7 +7,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from vecloom.operators import dense, kernels
+from vecloom.operators import dense, kernels, trees
 from vecloom.operators import evaluate as ev
 
 
@@ -81,3 +81,25 @@ def test_other_cells_are_searched_without_copies_of_points(spark, shape):
     plan = plan_of(found)
     assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan and "Generate" not in plan
     assert [r["train_id"] for r in sorted(found.collect())] == want
+
+
+def test_tree_whose_top_is_cut_by_joins(spark, monkeypatch):
+    """Subtrees of 20 points a task; copies of one point are more than that, and one cut parts them from the others."""
+    monkeypatch.setattr(trees, "TASK_VALUES", 80)
+    train, test, x, want = sides_of(spark)
+    tree = trees.build(train, leaf=6)
+    nodes = {r["node"]: r for r in tree.nodes.collect()}
+    for n, r in nodes.items():
+        if r["at"] is not None:
+            assert nodes[2 * n]["n"] + nodes[2 * n + 1]["n"] == r["n"] and nodes[2 * n]["high"][r["at"]] <= r["cut"] < nodes[2 * n + 1]["low"][r["at"]]
+    leaves = {r["node"]: r["count"] for r in tree.points.groupBy("node").count().collect()}
+    assert leaves == {n: r["n"] for n, r in nodes.items() if r["at"] is None} and sum(leaves.values()) == 80
+    assert sorted(n for n in leaves.values() if n > 6) == [21]
+    assert [r["train_id"] for r in sorted(trees.one_nn_in_tree(train, test, 6, 9).collect())] == want
+
+
+def test_tree_search_makes_no_pairs(spark):
+    """Every pair of a point and a node that it reaches was a row with the point's vector, written once a level."""
+    train, test, _, _ = sides_of(spark)
+    plan = plan_of(trees.searches(trees.build(train, leaf=6), test, rows=9)[1])
+    assert "CartesianProduct" in plan and "Generate" not in plan
