@@ -6,6 +6,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vecloom.operators import dense, kernels, trees
 from vecloom.operators import evaluate as ev
@@ -103,3 +104,29 @@ def test_tree_search_makes_no_pairs(spark):
     train, test, _, _ = sides_of(spark)
     plan = plan_of(trees.searches(trees.build(train, leaf=6), test, rows=9)[1])
     assert "CartesianProduct" in plan and "Generate" not in plan
+
+
+def test_search_over_all_shuffles_no_points(spark, monkeypatch):
+    """Both sides were copied once a block of the other and shuffled, or every task held all test points. Ties, and points without a label or a number."""
+    monkeypatch.setattr(ev, "MAX_CENTROID_VALUES", 0)
+    train, test, x, want = sides_of(spark)
+    found = ev.one_nn(train, test)
+    assert "CartesianProduct" in plan_of(found) and "FlatMapCoGroups" not in plan_of(found) and "Generate" not in plan_of(found)
+    assert [r["train_id"] for r in sorted(found.collect())] == want
+    some = train.withColumn("label", F.when(F.col("id") != want[3], F.col("label")))
+    odd = spark.createDataFrame([(-1, [float("nan")] * 4)], "id long, x array<double>")
+    for rows in (None, 7):
+        got = {r["id"]: r for r in ev.one_nn(some, test.unionByName(odd), rows).collect()}
+        assert [got[i]["train_id"] for i in range(40)] == want and got[-1]["train_id"] == 40 and np.isnan(got[-1]["d2"])
+        assert [got[i]["label"] for i in range(40)] == [None if k == want[3] else k % 3 for k in want]
+
+
+def test_search_within_what_is_known():
+    rng = np.random.default_rng(5)
+    x, u = rng.integers(0, 3, (50, 3)).astype(float), rng.integers(0, 3, (20, 3)).astype(float)
+    k, d2 = dense.nearest(x, u)
+    got = dense.nearest(x, u, d2)
+    assert np.array_equal(got[0], k) and np.array_equal(got[1], d2)
+    near, at = dense.nearest(x, u, np.where(d2 > 0, d2 - 0.5, d2)), d2 > 0
+    assert (near[0][at] == -1).all() and np.array_equal(near[1][at], d2[at] - 0.5) and np.array_equal(near[0][~at], k[~at])
+    assert np.array_equal(dense.nearest(x, u, np.full(50, np.inf))[0], k)

@@ -37,13 +37,17 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(n, -1)
 
 
-def nearest(x: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def nearest(x: np.ndarray, u: np.ndarray, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index of the nearest row of u for each row of x (the lowest of ties), and the squared distance.
 
+    ``within``: squared distances known already, in no case changed; -1 and that distance where no row of u is as near.
+
     The matrix form |u|^2 - 2xu finds candidates, in tiles of both sides; all that are within rounding of a tile's best, and
     may be nearer than the best so far, are compared by squared differences.
     """
     k, d2 = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+    if within is not None:
+        k, d2 = np.where(np.isinf(within), 0, -1), np.nextafter(within, np.inf)  # what is as near counts
     norms, own_norms = np.einsum("ij,ij->i", u, u), np.einsum("ij,ij->i", x, x)
     largest = norms.max(initial=0)
     at_once = max(1, SCORES // max(1, u.shape[1]))
@@ -73,7 +77,7 @@ def nearest(x: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lost = np.isinf(d2)
     if lost.any():  # no comparison holds for what is not a number
         d2[lost] = ((x[lost] - u[0]) ** 2).sum(axis=1)
-    return k, d2
+    return k, d2 if within is None else np.where(k < 0, within, d2)
 
 
 def assign(points: DataFrame, centroids: np.ndarray, keys: list[int] | None = None, keep: tuple[str, ...] = ("id",)) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vecloom.durable import materialize
 from vecloom.operators.blocks import numbers, packed, pairs, vectors
-from vecloom.operators.dense import MAX_CENTROID_VALUES, assign, matrix, nearest
+from vecloom.operators.dense import MAX_CENTROID_VALUES, TILE, assign, matrix, nearest
 from vecloom.shipping import ship
 
 #: Rows of either side that meet in one task: as many as have so many values, within bounds.
@@ -115,9 +115,59 @@ def _in_blocks(train: DataFrame, test: DataFrame, group: str, rows: int) -> Data
     return left.groupBy(group, "a", "b").cogroup(right.groupBy("g", "s", "t")).applyInArrow(run, "id long, train_id long, label int, d2 double")
 
 
+#: Values of test points that every task of a search over all holds at most: each task gives a row for every one of them.
+MAX_TEST_VALUES = 1_000_000
+
+
 def one_nn(train: DataFrame, test: DataFrame, rows: int | None = None) -> DataFrame:
-    """The nearest of all training points, exactly: every pair of blocks is compared."""
-    return nearest_in_group(train.withColumn("all", F.lit(0)), test.withColumn("all", F.lit(0)), "all", rows)
+    """The nearest of all training points, exactly: every pair of blocks is compared.
+
+    If one side is few numbers, by its count, it goes to every task. Else, or with ``rows``, blocks of both sides meet where
+    they are packed: neither points nor copies of them are shuffled, and a task holds two blocks.
+    """
+    ship(train.sparkSession)
+    if rows is None:
+        widest = train.agg(F.max(F.size("x")).alias("d")).first()["d"] or 1
+        sides = [side.withColumn("all", F.lit(0)) for side in (train, test)]
+        if train.count() * widest <= MAX_CENTROID_VALUES:
+            return _with_held_train(*sides, "all")
+        if test.count() * widest <= min(MAX_TEST_VALUES, MAX_CENTROID_VALUES):
+            return best_of(_with_held_test(*sides, "all"))
+    return best_of(_in_packed_blocks(train, test, min(rows or TILE, TILE)))
+
+
+def _in_packed_blocks(train: DataFrame, test: DataFrame, rows: int) -> DataFrame:
+    """The best of every partition of training blocks for the test points that meet it."""
+    left = packed(test, rows, ("id",), tag="asked-blocks")
+    # labels as doubles: one that is null is not a number there
+    right = packed(train.withColumn("label", F.col("label").cast("double")), rows, ("id", "label"), ("id",), "train-blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+
+        def found() -> pa.RecordBatch:
+            none = np.isnan(labels)
+            columns = [pa.array(ids), pa.array(own), pa.array(np.where(none, 0, labels).astype(np.int32), mask=none), pa.array(np.where(odd, np.nan, d2))]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "train_id", "label", "d2"])
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                if batch.column("a_block")[r].as_py() != last:
+                    if last is not None:
+                        yield found()
+                    last, x, ids = batch.column("a_block")[r].as_py(), vectors(batch, r, "a_"), numbers(batch, r, "a_id")
+                    own, labels, d2, odd = np.full(len(x), np.iinfo(np.int64).max), np.zeros(len(x)), np.full(len(x), np.inf), np.zeros(len(x), bool)
+                known, label = numbers(batch, r, "b_id"), numbers(batch, r, "b_label", np.float64)
+                k, got = nearest(x, vectors(batch, r, "b_"), d2)
+                # what is not a number counts as farthest
+                nan = np.isnan(got)
+                got = np.where(nan, np.inf, got)
+                better = (k >= 0) & ((got < d2) | ((got == d2) & (known[k] < own)))
+                own[better], labels[better], d2[better], odd[better] = known[k[better]], label[k[better]], got[better], nan[better]
+        if last is not None:
+            yield found()
+
+    return pairs(left, right).mapInArrow(run, "id long, train_id long, label int, d2 double")
 
 
 def one_nn_pruned(train: DataFrame, test: DataFrame, centroids: np.ndarray, rows: int | None = None) -> DataFrame:
