@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vecloom import catalog
 from vecloom.operators import dense, kernels, trees
 from vecloom.operators import evaluate as ev
 
@@ -130,3 +131,12 @@ def test_search_within_what_is_known():
     near, at = dense.nearest(x, u, np.where(d2 > 0, d2 - 0.5, d2)), d2 > 0
     assert (near[0][at] == -1).all() and np.array_equal(near[1][at], d2[at] - 0.5) and np.array_equal(near[0][~at], k[~at])
     assert np.array_equal(dense.nearest(x, u, np.full(50, np.inf))[0], k)
+
+
+@pytest.mark.parametrize("name", ["accuracy", "f1"])
+def test_measures_of_a_search_over_all(spark, same_rows, sf_dir, name, monkeypatch):
+    """The search below them shuffled copies of both sides, or every task held all test points."""
+    monkeypatch.setattr(ev, "MAX_CENTROID_VALUES", 0)
+    plan = plan_of(catalog.queries()[name](spark, sf_dir))
+    assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan and "Generate" not in plan
+    same_rows(catalog.queries()[name], catalog.oracle_sql()[name])
